@@ -2,8 +2,8 @@
 
 Every window of WIDTH bytes belongs to the least of its SEED-byte hashes; runs of windows with one
 least hash are segments, so equal windows lie in segments of equal key. Equal segments are counted
-together before anything is gathered, so groups of copies collapse to one row. A key that occurs once
-has no repeats. Segments of the other keys are dealt into shards of about SHARD_BYTES by key, each
+together before anything is gathered, so groups of copies collapse to one row. A key that occurs once,
+with its seed once, has no repeats. Segments of the other keys are dealt into shards of about SHARD_BYTES by key, each
 shard's suffixes are sorted by induction with common prefixes carried along (induced.py), and a
 window repeats where a neighbour shares WIDTH bytes. The verdicts return to all equal segments.
 
@@ -118,9 +118,11 @@ def repeated_spans(texts: DataFrame, width: int = WIDTH, seed: int = SEED, shard
 
     rows = stage(map_arrow(texts.select("_rid", "_z"), cut, "_rid long, key long, digest long, start int, windows int"), "segments")
     groups = rows.groupBy("key", "digest").agg(F.count("*").alias("n"), F.min(F.struct("_rid", "start", "windows")).alias("rep"))
-    keys = groups.groupBy("key").agg(F.count("*").alias("m"), F.sum("n").alias("total")).filter("total > 1")
-    chosen = stage(groups.join(keys, "key").select("key", "digest", "n", "m", "rep"), "segment-groups")
-    several = chosen.filter("m > 1")
+    # a segment of more windows than hold one seed has its seed twice, and may repeat within itself
+    once = width - seed + 1
+    keys = groups.groupBy("key").agg(F.count("*").alias("m"), F.sum("n").alias("total"), F.max("rep.windows").alias("longest")).filter((F.col("total") > 1) | (F.col("longest") > once))
+    chosen = stage(groups.join(keys, "key").select("key", "digest", "n", ((F.col("m") > 1) | (F.col("longest") > once)).alias("sorts"), "rep"), "segment-groups")
+    several = chosen.filter("sorts")
     size = several.agg(F.sum(F.col("rep.windows") + (width - 1))).collect()[0][0] or 0
     shards = max(1, -(-int(size) // shard_bytes))
 
