@@ -40,12 +40,25 @@ def window_least(h: np.ndarray, w: int) -> np.ndarray:
 
 
 def segments_of(data: bytes, width: int, seed: int):
-    """key, digest, start and number of windows of each segment of a text of at least width bytes."""
+    """key, digest, start, number of windows, and whether the seed stands there twice, of each segment.
+
+    The text has at least width bytes. Only a segment with its seed twice can repeat within itself.
+    """
     spans = SpanHash(np.frombuffer(data, np.uint8))
-    least = window_least(spans.grams(seed), width - seed + 1)
+    w = width - seed + 1
+    h = spans.grams(seed)
+    least = window_least(h, w)
     start = np.append(0, np.flatnonzero(least[1:] != least[:-1]) + 1)
     windows = np.diff(np.append(start, len(least)))
-    return least[start].view(np.int64), spans.spans(start, start + windows + width - 1).view(np.int64), start, windows
+    keys = least[start]
+    # places of seeds that are the least of some window that holds them
+    pad = np.full(w - 1, np.iinfo(np.uint64).max, np.uint64)
+    seeds = np.flatnonzero(h == ~window_least(np.concatenate([pad, ~least, pad]), w))
+    names, own = np.unique(keys, return_inverse=True)
+    scale = len(h) + w + 1
+    code = np.sort(np.searchsorted(names, h[seeds]) * scale + seeds)
+    twice = np.searchsorted(code, own * scale + start + windows + w - 1) - np.searchsorted(code, own * scale + start) > 1
+    return keys.view(np.int64), spans.spans(start, start + windows + width - 1).view(np.int64), start, windows, twice
 
 
 def pruned(keys: np.ndarray, bodies: list[bytes], width: int, seed: int) -> np.ndarray:
@@ -111,17 +124,15 @@ def repeated_spans(texts: DataFrame, width: int = WIDTH, seed: int = SEED, shard
             for rid, z in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 data = coder.decompress(z)
                 if len(data) >= width:
-                    keys, digests, starts, windows = segments_of(data, width, seed)
-                    out.append((np.full(len(keys), rid), keys, digests, starts, windows))
+                    own = segments_of(data, width, seed)
+                    out.append((np.full(len(own[0]), rid), *own))
             if out:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c).astype(k)) for c, k in zip(zip(*out, strict=True), (np.int64, np.int64, np.int64, np.int32, np.int32), strict=True)], ["_rid", "key", "digest", "start", "windows"])
-
-    rows = stage(map_arrow(texts.select("_rid", "_z"), cut, "_rid long, key long, digest long, start int, windows int"), "segments")
-    groups = rows.groupBy("key", "digest").agg(F.count("*").alias("n"), F.min(F.struct("_rid", "start", "windows")).alias("rep"))
-    # a segment of more windows than hold one seed has its seed twice, and may repeat within itself
-    once = width - seed + 1
-    keys = groups.groupBy("key").agg(F.count("*").alias("m"), F.sum("n").alias("total"), F.max("rep.windows").alias("longest")).filter((F.col("total") > 1) | (F.col("longest") > once))
-    chosen = stage(groups.join(keys, "key").select("key", "digest", "n", ((F.col("m") > 1) | (F.col("longest") > once)).alias("sorts"), "rep"), "segment-groups")
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c).astype(k)) for c, k in zip(zip(*out, strict=True), (np.int64, np.int64, np.int64, np.int32, np.int32, np.bool_), strict=True)], ["_rid", "key", "digest", "start", "windows", "twice"])
+
+    rows = stage(map_arrow(texts.select("_rid", "_z"), cut, "_rid long, key long, digest long, start int, windows int, twice boolean"), "segments")
+    groups = rows.groupBy("key", "digest").agg(F.count("*").alias("n"), F.min(F.struct("_rid", "start", "windows")).alias("rep"), F.max("twice").alias("twice"))
+    keys = groups.groupBy("key").agg(F.count("*").alias("m"), F.sum("n").alias("total"), F.max("twice").alias("twice")).filter("total > 1 or twice")
+    chosen = stage(groups.drop("twice").join(keys, "key").select("key", "digest", "n", F.expr("m > 1 or twice").alias("sorts"), "rep"), "segment-groups")
     several = chosen.filter("sorts")
     size = several.agg(F.sum(F.col("rep.windows") + (width - 1))).collect()[0][0] or 0
     shards = max(1, -(-int(size) // shard_bytes))
