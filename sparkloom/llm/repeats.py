@@ -28,6 +28,8 @@ from sparkloom.llm.induced import repeated_windows
 WIDTH = 400
 SEED = 64
 SHARD_BYTES = 2_500_000
+#: Ranges of window places that candidates() tells apart.
+STEPS = 12
 
 
 def window_least(h: np.ndarray, w: int) -> np.ndarray:
@@ -61,34 +63,45 @@ def segments_of(data: bytes, width: int, seed: int):
     return keys.view(np.int64), spans.spans(start, start + windows + width - 1).view(np.int64), start, windows, twice
 
 
-def pruned(keys: np.ndarray, bodies: list[bytes], width: int, seed: int) -> np.ndarray:
-    """Whether a segment can share a window with another of its key.
+def candidates(keys: np.ndarray, bodies: list[bytes], width: int, seed: int, steps: int = STEPS) -> list[tuple[int, int, int]]:
+    """(segment, first window, end) of the windows that can stand in another segment of the key.
 
-    A shared window holds the key's seed bytes and, of the rest, at least half on one side of them;
-    a segment whose halves on both sides are its own alone is out. Segments where the seed stands
-    more than once stay.
+    A window's place is fixed by where it holds the seed. The places are cut into ``steps`` ranges; all
+    windows of a range hold one core of nearly ``width`` bytes, so windows whose core no other segment
+    has are out. Nothing is left out of keys with a segment where the seed stands more than once.
     """
     sizes = np.array([len(b) for b in bodies], np.int64)
     ends = np.cumsum(sizes)
     begins = ends - sizes
+    windows = sizes - width + 1
     spans = SpanHash(np.frombuffer(b"".join(bodies), np.uint8))
     grams = spans.grams(seed).view(np.int64)
     owner = np.repeat(np.arange(len(bodies)), sizes)[: len(grams)]
     at = np.flatnonzero(grams == keys[owner])
     at = at[at + seed <= ends[owner[at]]]
     times = np.bincount(owner[at], minlength=len(bodies))
-    keep = times != 1
-    one = at[times[owner[at]] == 1]
+    whole = np.isin(keys, np.unique(keys[times != 1]))
+    out = [(k, 0, int(windows[k])) for k in np.flatnonzero(whole)]
+    one = at[~whole[owner[at]]]
     who = owner[one]
-    half = (width - seed + 1) // 2
-    for lo, hi in ((one - half, one + seed), (one, one + seed + half)):
-        fits = (lo >= begins[who]) & (hi <= ends[who])
-        code = spans.spans(lo[fits], hi[fits]) ^ keys[who[fits]].view(np.uint64)
+    edges = np.linspace(0, width - seed + 1, steps + 1).astype(np.int64)
+    found: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+    for low, high in zip(edges, edges[1:] - 1, strict=False):
+        first = np.maximum(one - high - begins[who], 0)
+        end = np.minimum(one - low - begins[who] + 1, windows[who])
+        has = first < end
+        code = spans.spans(one[has] - low, one[has] - high + width) ^ keys[who[has]].view(np.uint64)
         _, back, counts = np.unique(code, return_inverse=True, return_counts=True)
-        keep[who[fits][counts[back] > 1]] = True
-    # texts of keys with a segment that stays for its many seeds stay too
-    many = np.unique(keys[times != 1])
-    return keep | np.isin(keys, many)
+        shared = counts[back] > 1
+        found.append((who[has][shared], first[has][shared], end[has][shared]))
+    own, first, end = (np.concatenate(x) for x in zip(*found, strict=True))
+    order = np.lexsort((first, own))
+    for k, x, y in zip(own[order].tolist(), first[order].tolist(), end[order].tolist(), strict=True):
+        if out and out[-1][0] == k and out[-1][2] >= x and not whole[k]:
+            out[-1] = (k, out[-1][1], max(y, out[-1][2]))
+        else:
+            out.append((k, x, y))
+    return out
 
 
 def window_runs(starts: np.ndarray) -> list[int]:
@@ -152,13 +165,17 @@ def repeated_spans(texts: DataFrame, width: int = WIDTH, seed: int = SEED, shard
     dealt = dealt.repartition(shards, "shard").sortWithinPartitions("shard", "key", "digest")
 
     def sort_shard(held: list) -> Iterator[pa.RecordBatch]:
-        keep = pruned(np.array([x[0] for x in held], np.int64), [x[3] for x in held], width, seed)
-        held = [x for x, k in zip(held, keep.tolist(), strict=True) if k]
-        if not held:
+        bodies_ = [x[3] for x in held]
+        parts = candidates(np.array([x[0] for x in held], np.int64), bodies_, width, seed)
+        if not parts:
             return
-        found = [window_runs(x) for x in repeated_windows([x[3] for x in held], width)]
-        own = [(x[0], x[1], runs) for x, runs in zip(held, found, strict=True) if runs and x[2] == 1]
-        if own:
+        found = repeated_windows([bodies_[k][x : y + width - 1] for k, x, y in parts], width)
+        runs: dict[int, list[int]] = {}
+        for (k, x, _), starts in zip(parts, found, strict=True):
+            if len(starts) and held[k][2] == 1:
+                runs.setdefault(k, []).extend(window_runs(starts + x))
+        if runs:
+            own = [(*held[k][:2], r) for k, r in runs.items()]
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*own, strict=True), (pa.int64(), pa.int64(), pa.list_(pa.int32())), strict=True)], ["key", "digest", "runs"])
 
     def sort_all(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
