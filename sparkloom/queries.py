@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from sparkloom.plans import conversations  # noqa: F401
+from sparkloom.plans import conversations, custom, sqlplans  # noqa: F401
 from sparkloom.registry import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]
