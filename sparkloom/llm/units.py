@@ -10,6 +10,8 @@ from __future__ import annotations
 import re
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
 _ADJACENT = re.compile(r"\s\s")
 _CUT = re.compile(r"(?<=\S)(?= \S)")
@@ -46,9 +48,9 @@ class UnitEncoder:
         rows: list[tuple[str, np.ndarray]] = [(names[k], np.array(self.tokenizer.encode(units[k], add_special_tokens=False).ids, np.uint32)) for k in odd]
         skip = set(odd)
         plain = [k for k in range(len(units)) if k not in skip] if skip else range(len(units))
-        chunks = [plain[at : at + 512] for at in range(0, len(plain), 512)]
-        for at in range(0, len(chunks), 8):  # the library may spread a batch over threads
-            some = chunks[at : at + 8]
+        chunks = [plain[at : at + 64] for at in range(0, len(plain), 64)]
+        for at in range(0, len(chunks), 64):  # the library may spread a batch over threads
+            some = chunks[at : at + 64]
             batch = self.tokenizer.encode_batch_fast([self.mark.join([units[k] for k in part]) for part in some], add_special_tokens=False)
             for part, one in zip(some, batch, strict=True):
                 self._put(memo, [names[k] for k in part], np.array(one.ids, np.uint32), self.mark_id)
@@ -76,19 +78,28 @@ class UnitEncoder:
         """Unit numbers of all texts in order, and how many units each text has."""
         if self.units > self.memo_units:
             self._clear()
-        parts, sizes, loose = [], [], {}
-        for k, text in enumerate(texts):
-            if _ADJACENT.search(text):
-                loose[k] = _CUT.split(text)
-                sizes.append(len(loose[k]))
-                continue
-            units = text.split(" ")
-            loose[k] = units[:1]
-            parts += units[1:]
-            sizes.append(len(units))
-        self._add(self.inner, [x for x in set(parts) if x not in self.inner], " ")
+        loose = {k: _CUT.split(text) for k, text in enumerate(texts) if _ADJACENT.search(text)}
+        plain = [k for k in range(len(texts)) if k not in loose]
+        # Arrow splits at each space and numbers the distinct units, so Python handles each of them once
+        split = pc.split_pattern(pa.array([texts[k] for k in plain], pa.large_string()), " ")
+        coded = split.flatten().dictionary_encode()
+        names, codes = coded.dictionary.to_pylist(), coded.indices.to_numpy()
+        begins = split.offsets.to_numpy()
+        first = np.zeros(len(codes), bool)
+        first[begins[:-1]] = True
+        for k, code in zip(plain, codes[first].tolist(), strict=True):
+            loose[k] = [names[code]]
+        used = np.flatnonzero(np.bincount(codes[~first], minlength=len(names)))
+        inside = [names[j] for j in used.tolist()]
+        found = np.array([-1 if at is None else at for at in map(self.inner.get, inside)], np.int64)
+        missing = np.flatnonzero(found < 0)
+        self._add(self.inner, [inside[j] for j in missing.tolist()], " ")
+        found[missing] = [self.inner[inside[j]] for j in missing.tolist()]
         self._add(self.outer, [x for x in {u for own in loose.values() for u in own} if x not in self.outer], "")
-        counts = np.array(sizes, np.int64)
+        number = np.zeros(len(names), np.int64)
+        number[used] = found
+        counts = np.array([len(loose[k]) for k in range(len(texts))], np.int64)
+        counts[plain] = np.diff(begins)
         index = np.empty(int(counts.sum()), np.int64)
         ends = np.cumsum(counts)
         own = np.ones(len(index), bool)
@@ -96,7 +107,7 @@ class UnitEncoder:
             at = int(ends[k] - counts[k])
             index[at : at + len(units)] = [self.outer[x] for x in units]
             own[at : at + len(units)] = False
-        index[own] = np.fromiter(map(self.inner.__getitem__, parts), np.int64, len(parts))
+        index[own] = number[codes[~first]]
         return index, counts
 
     def counts(self, texts: list[str]) -> np.ndarray:
