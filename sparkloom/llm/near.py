@@ -256,50 +256,80 @@ def verify(pairs: DataFrame, loads: DataFrame) -> DataFrame:
     return map_arrow(pairs.join(left, "a").join(right, "b").select("a", "b", "h1", "w1", "h2", "w2"), run, "a binary, b binary, sim double")
 
 
+def _roots(pairs):
+    """The least label of each component of a band's label pairs."""
+    root: dict[bytes, bytes] = {}
+
+    def top(x: bytes) -> bytes:
+        while root.setdefault(x, x) != x:
+            root[x] = root[root[x]]
+            x = root[x]
+        return x
+
+    for x, y in pairs:
+        low, high = sorted((top(bytes(x)), top(bytes(y))))
+        root[high] = low
+    return [(x, top(x)) for x in list(root)]
+
+
 def links(bands: DataFrame, loads: DataFrame, least: float = SIMILARITY) -> DataFrame | None:
     """Verified pairs that join all texts of each band that are linked, from bands (key, tid).
 
-    The first round compares a band's members with one pivot, later ones with up to PIVOTS. With d the
-    distance to one pivot, two members can be within 1 - least only if their d differ by no more than
-    that, and two that are that near the pivot are joined through it already. What is left in doubt
-    goes to the next round, with pivots from those not joined; bands with few left are compared whole.
+    The first round compares a band's members with one pivot, later ones with up to PIVOTS. Each member
+    carries a label: its own tid, or one that is shared by members of the band that verified pairs join
+    already. A pair is settled if both are of one label, or if their distances to a pivot differ by more
+    than 1 - least. Members with an unsettled pair go to the next round, pivots do not, as they have met
+    all of their band; bands with few left are compared whole.
     """
     reach = 1 - least + 1e-9
+    joined = F.udf(_roots, "array<struct<label: binary, root: binary>>")
     found = None
-    active = bands.withColumn("out", F.lit(True))
+    active = bands.withColumn("label", F.col("tid"))
     for turn in range(60):
         first = turn == 0
-        sizes = active.groupBy("key").agg(F.count("*").alias("n"), F.max("out").alias("any")).filter("n > 1 and any").drop("any")
+        sizes = active.groupBy("key").agg(F.count("*").alias("n"), F.min("label").alias("low"), F.max("label").alias("high")).filter("n > 1 and low <> high").drop("low", "high")
         active = stage(join_groups(active, sizes, ["key"], "n", max(1, active.count())), "band-members")
         if active.isEmpty():
             break
         large = active if first else active.filter(F.col("n") > SMALL)
         slot = F.lit(0) if first else F.pmod(F.xxhash64("tid", F.lit(turn)), F.lit(PIVOTS))
-        pivots = large.filter("out").groupBy("key", slot.alias("slot")).agg(F.min("tid").alias("pivot"), F.first("n").alias("n")).drop("slot")
+        # members that are not joined come first
+        pivots = large.groupBy("key", slot.alias("slot")).agg(F.min(F.struct(F.col("label") != F.col("tid"), "tid", "label")).alias("p"), F.first("n").alias("n"))
+        pivots = stage(pivots.select("key", F.col("p.tid").alias("pivot"), F.col("p.label").alias("own"), "n"), "band-pivots")
         if first:
-            one = pivots.select("key", "pivot", "n")
-            asked = join_groups(large.drop("n"), one, ["key"], "n", max(1, large.count()))
+            asked = join_groups(large.drop("n"), pivots.select("key", "pivot", "n"), ["key"], "n", max(1, large.count()))
         else:
             asked = large.drop("n").join(pivots.select("key", "pivot"), "key")
-        asked = asked.filter(F.col("tid") != F.col("pivot")).select("key", "tid", "pivot")
+        asked = asked.filter(F.col("tid") != F.col("pivot")).select("key", "tid", "label", "pivot")
         tested = asked.select(F.col("tid").alias("a"), F.col("pivot").alias("b"))
         if not first:
             rest = active.filter(F.col("n") <= SMALL)
-            one = rest.select("key", F.col("tid").alias("a"), F.col("out").alias("oa"))
-            two = rest.select("key", F.col("tid").alias("b"), F.col("out").alias("ob"))
-            tested = tested.unionByName(one.join(two, "key").filter("a < b and (oa or ob)").select("a", "b"))
+            one = rest.select("key", F.col("tid").alias("a"), F.col("label").alias("la"))
+            two = rest.select("key", F.col("tid").alias("b"), F.col("label").alias("lb"))
+            tested = tested.unionByName(one.join(two, "key").filter("a < b and la <> lb").select("a", "b"))
         sims = stage(verify(tested.distinct(), loads), "band-sims")
         good = sims.filter(F.col("sim") >= least).select(F.col("a").alias("u"), F.col("b").alias("v"))
         found = good if found is None else found.unionByName(good)
-        told = asked.join(sims.select(F.col("a").alias("tid"), F.col("b").alias("pivot"), (1 - F.col("sim")).alias("d")), ["tid", "pivot"])
-        # of each member the least distance, and the distance to the band's first pivot
-        told = told.groupBy("key", "tid").agg(F.min("d").alias("near"), F.min(F.struct("pivot", "d")).alias("to"))
-        told = told.join(pivots.select("key", F.col("pivot").alias("tid")), ["key", "tid"], "left_anti").select("key", "tid", (F.col("near") > reach).alias("out"), "to")
+        told = asked.join(sims.select(F.col("a").alias("tid"), F.col("b").alias("pivot"), "sim"), ["tid", "pivot"])
+        # of each member the pivots that it is joined to, and the distance to the band's first pivot
+        near = F.array_sort(F.collect_list(F.when(F.col("sim") >= least, F.col("pivot"))))
+        told = told.groupBy("key", "tid", "label").agg(near.alias("near"), F.min(F.struct("pivot", "sim")).alias("to"))
+        told = stage(told.select("key", "tid", "label", "near", (1 - F.col("to.sim")).alias("d")), "band-told")
+        # labels that a member joins: the pivots near it, the label that it had, and the pivots' own
+        had = F.when(F.col("label") != F.col("tid"), F.array("label")).otherwise(F.array().cast("array<binary>"))
+        names = told.filter(F.size("near") > 0).select("key", F.concat("near", had).alias("s"))
+        pairs = names.select("key", F.col("s")[0].alias("u"), F.explode("s").alias("v")).unionByName(pivots.select("key", F.col("pivot").alias("u"), F.col("own").alias("v"))).distinct()
+        roots = pairs.groupBy("key").agg(joined(F.collect_list(F.struct("u", "v"))).alias("r")).select("key", F.explode("r").alias("r"))
+        roots = stage(roots.select("key", "r.label", "r.root"), "band-roots")
+        told = told.join(pivots.select("key", F.col("pivot").alias("tid")), ["key", "tid"], "left_anti")
+        told = told.withColumn("label", F.when(F.size("near") > 0, F.col("near")[0]).otherwise(F.col("label")))
+        told = told.join(roots, ["key", "label"], "left").select("key", "tid", F.coalesce("root", "label").alias("label"), F.floor(F.col("d") / reach).alias("at"))
         told = stage(told, "band-doubts")
-        doubt = told.filter("out").groupBy("key").agg(F.min("to.d").alias("low"), F.max("to.d").alias("high"), F.count("*").alias("far"))
-        active = join_groups(told, doubt, ["key"], "far", max(1, told.count()))
-        # a member that is itself a pivot's slot-mate may know another pivot as its first; it stays in doubt then
-        active = active.filter(F.col("out") | F.col("to.d").between(F.col("low") - reach, F.col("high") + reach)).select("key", "tid", "out")
+        # two within reach of each other are in one or in neighbouring steps of the distance to the first pivot
+        steps = told.groupBy("key", "at").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.count("*").alias("m"))
+        steps = steps.select("key", F.explode(F.array(F.col("at") - 1, "at", F.col("at") + 1)).alias("at"), "low", "high", "m")
+        steps = steps.groupBy("key", "at").agg(F.min("low").alias("low"), F.max("high").alias("high"), F.sum("m").alias("m")).filter("low <> high").select("key", "at", "m")
+        active = join_groups(told, steps, ["key", "at"], "m", max(1, told.count())).select("key", "tid", "label")
     else:
         raise RuntimeError("bands did not settle")
     return found
