@@ -19,9 +19,11 @@ are; an empty table gives no rows; further columns are ignored.
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -41,6 +43,8 @@ PART_ROWS = 512
 SMALL = 24
 #: Pivots of a band in each round after the first.
 PIVOTS = 16
+#: The round in which bands that are still large are split, and members of each that are looked at for it.
+SPLIT, SAMPLE = 2, 64
 #: Texts within a similarity differ in total weight by no more than this power of its inverse.
 STEP = float(np.log(1 / SIMILARITY))
 _LOW = np.int64(-(1 << 63))
@@ -272,6 +276,49 @@ def _roots(pairs):
     return [(x, top(x)) for x in list(root)]
 
 
+def split(active: DataFrame, loads: DataFrame, least: float = SIMILARITY) -> DataFrame:
+    """Large bands (key, tid, label) as smaller ones, of which each linked pair of a band shares one.
+
+    In any order of the shingles, two texts within the similarity share one of those that come first
+    and hold over 1 - least of a text's weight. Those frequent in a sample of the band come last, so
+    a passage common to the band puts no texts together.
+    """
+    sample = active.groupBy("key", F.pmod(F.xxhash64("tid", F.lit("sample")), F.lit(SAMPLE)).alias("slot")).agg(F.min("tid").alias("tid"))
+
+    def common(key, part: pd.DataFrame) -> pd.DataFrame:
+        names, n = np.unique(np.concatenate([np.frombuffer(x, "<u4") for x in part["h"]]), return_counts=True)
+        names, n = names[n > 1], n[n > 1]
+        order = np.argsort(n, kind="stable")
+        return pd.DataFrame({"key": [key[0]], "last": [names[order].tobytes()]})
+
+    last = sample.select("key", "tid").join(loads.select("tid", "h"), "tid").groupBy("key").applyInPandas(common, "key long, last binary")
+    # a band's members go on in parts, each with the band's list once
+    deals = active.groupBy("key").agg(F.ceil(F.count("*") / PART_ROWS).cast("int").alias("deals"))
+    lists = stage(last.join(deals, "key"), "band-lists")
+    dealt = join_groups(active, active.groupBy("key").agg(F.count("*").alias("m")).join(lists.select("key", "deals"), "key"), ["key"], "m", max(1, active.count()))
+    dealt = dealt.select("key", F.pmod(F.xxhash64("tid"), F.col("deals")).cast("int").alias("deal"), "tid", "label").join(loads, "tid")
+    lists = lists.select("key", F.explode(F.sequence(F.lit(0), F.col("deals") - 1)).alias("deal"), "last")
+
+    def parts(key, own: pd.DataFrame, listed: pd.DataFrame) -> pd.DataFrame:
+        out = []
+        names = np.frombuffer(listed["last"].iloc[0], "<u4") if len(own) else np.zeros(0, "<u4")
+        by = np.argsort(names)
+        for tid, label, h, w in zip(own["tid"], own["label"], own["h"], own["w"], strict=True):
+            h, w = np.frombuffer(h, "<u4"), np.frombuffer(w, "<u4").astype(float)
+            w = np.broadcast_to(w, len(h)) if len(w) == 1 else w
+            place = np.zeros(len(h), np.int64)
+            if len(names):
+                at = np.minimum(np.searchsorted(names, h, sorter=by), len(names) - 1)
+                place = np.where(names[by[at]] == h, by[at] + 1, 0)
+            order = np.lexsort((h, place))
+            n = int(np.searchsorted(np.cumsum(w[order]), (1 - least) * w.sum() * (1 + 1e-9), "right")) + 1
+            keys = mix64(h[order[:n]].astype(np.uint64) ^ mix64(np.array([key[0]], np.int64).view(np.uint64)))
+            out.append(pd.DataFrame({"key": keys.view(np.int64), "tid": tid, "label": label}))
+        return pd.concat(out) if out else pd.DataFrame({"key": np.zeros(0, np.int64), "tid": [], "label": []})
+
+    return dealt.groupBy("key", "deal").cogroup(lists.groupBy("key", "deal")).applyInPandas(parts, "key long, tid binary, label binary").distinct()
+
+
 def links(bands: DataFrame, loads: DataFrame, least: float = SIMILARITY) -> DataFrame | None:
     """Verified pairs that join all texts of each band that are linked, from bands (key, tid).
 
@@ -279,18 +326,24 @@ def links(bands: DataFrame, loads: DataFrame, least: float = SIMILARITY) -> Data
     carries a label: its own tid, or one that is shared by members of the band that verified pairs join
     already. A pair is settled if both are of one label, or if their distances to a pivot differ by more
     than 1 - least. Members with an unsettled pair go to the next round, pivots do not, as they have met
-    all of their band; bands with few left are compared whole.
+    all of their band; bands with few left are compared whole. Bands still large at the turn SPLIT are
+    split by shared shingles. Rounds go on until no pair is left: each takes a pivot out of every band.
     """
     reach = 1 - least + 1e-9
     joined = F.udf(_roots, "array<struct<label: binary, root: binary>>")
     found = None
     active = bands.withColumn("label", F.col("tid"))
-    for turn in range(60):
+    for turn in itertools.count():
         first = turn == 0
         sizes = active.groupBy("key").agg(F.count("*").alias("n"), F.min("label").alias("low"), F.max("label").alias("high")).filter("n > 1 and low <> high").drop("low", "high")
         active = stage(join_groups(active, sizes, ["key"], "n", max(1, active.count())), "band-members")
         if active.isEmpty():
             break
+        if turn == SPLIT:
+            big = active.filter(F.col("n") > SMALL).drop("n")
+            if not big.isEmpty():
+                active = stage(active.filter(F.col("n") <= SMALL).drop("n").unionByName(split(big, loads, least)), "band-splits")
+                continue
         large = active if first else active.filter(F.col("n") > SMALL)
         slot = F.lit(0) if first else F.pmod(F.xxhash64("tid", F.lit(turn)), F.lit(PIVOTS))
         # members that are not joined come first
@@ -330,8 +383,6 @@ def links(bands: DataFrame, loads: DataFrame, least: float = SIMILARITY) -> Data
         steps = steps.select("key", F.explode(F.array(F.col("at") - 1, "at", F.col("at") + 1)).alias("at"), "low", "high", "m")
         steps = steps.groupBy("key", "at").agg(F.min("low").alias("low"), F.max("high").alias("high"), F.sum("m").alias("m")).filter("low <> high").select("key", "at", "m")
         active = join_groups(told, steps, ["key", "at"], "m", max(1, told.count())).select("key", "tid", "label")
-    else:
-        raise RuntimeError("bands did not settle")
     return found
 
 

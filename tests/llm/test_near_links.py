@@ -49,3 +49,14 @@ def test_chains(spark):
         base = np.random.default_rng(k).integers(0, 1 << 32, 3000)
         bands.append([set(base[at : at + 100].tolist()) for at in range(0, 1400, 10)])
     hold(spark, bands)
+
+
+def test_shared_passage(spark):
+    # more dissimilar texts than rounds of pivots can settle, of which each holds the same passage; some have near copies
+    rng = np.random.default_rng(3)
+    passage = rng.integers(0, 1 << 32, 40).tolist()
+    sets = [set(passage + rng.integers(0, 1 << 32, 40).tolist()) for _ in range(1200)]
+    for k in range(0, 1200, 50):
+        own = sorted(sets[k])
+        sets += [set(own[i + 1 :] + own[:i]) for i in range(3)]
+    hold(spark, [sets])
