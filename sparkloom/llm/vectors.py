@@ -1,7 +1,9 @@
 """Nearest neighbours by an inverted file with product-quantised residuals.
 
 Coarse centroids and codebooks are fitted on a bounded sample. Every vector is assigned to its
-nearest centroid and its residual coded, one byte a subspace. A query probes the nearest lists;
+nearest centroid and its residual coded, one byte a subspace. How many lists a query probes, and how
+many of a list are ranked exactly, is set from the recall of sampled queries against brute force over
+all rows, as the share of lists that holds the neighbours depends on the data and its size. A query probes the nearest lists;
 asymmetric distance tables rank a list's codes, and the best of them are ranked again by exact
 distance in double precision. Lists are split into chunks of bounded size, so that a list with very
 many equal vectors never meets in one task.
@@ -23,13 +25,18 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from sparkloom.llm.common import stage
+
 #: Vectors that the index is fitted on, at most.
 FIT_ROWS = 16_384
 LIST_ROWS = 256
 MOST_LISTS = 4096
+#: Lists probed, and rows of a list ranked exactly, at least.
 PROBES = 32
 CHUNK_ROWS = 4096
 RERANK = 128
+#: Recall that both are raised for, on this many sampled queries.
+RECALL, SAMPLE = 0.98, 64
 SUBSPACES = 16
 NEIGHBOURS = 10
 
@@ -103,8 +110,33 @@ def usable(vectors: DataFrame) -> DataFrame:
     return rows.filter(F.size("embedding") == sizes[0]["n"]) if sizes else rows
 
 
+def exact_neighbours(coded: DataFrame, ids: np.ndarray, x: np.ndarray, k: int) -> pd.DataFrame:
+    """query (place in ids), vec_id and list of the k nearest rows to each of a few queries, by brute force."""
+
+    def near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kept = [np.zeros((len(x), 0), np.int64), np.zeros((len(x), 0), np.int64), np.zeros((len(x), 0))]
+        for batch in batches:
+            if batch.num_rows:
+                own, at = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+                rows = np.array(batch.column(2).to_pylist(), np.float64)
+                d = np.stack([np.sqrt(((rows - q) ** 2).sum(1)) for q in x])
+                d[ids[:, None] == own] = np.inf
+                kept = [np.concatenate([a, np.broadcast_to(b, d.shape)], 1) for a, b in zip(kept, (own, at, d), strict=True)]
+                order = np.lexsort((kept[0], kept[2]), axis=-1)[:, :k]
+                kept = [np.take_along_axis(a, order, 1) for a in kept]
+        good = np.isfinite(kept[2])
+        yield pa.RecordBatch.from_arrays([pa.array(np.nonzero(good)[0], pa.int32()), *(pa.array(a[good]) for a in kept)], ["query", "vec_id", "list", "d"])
+
+    found = coded.select("vec_id", "list", "embedding").mapInArrow(near, "query int, vec_id long, list long, d double")
+    order = Window.partitionBy("query").orderBy("d", "vec_id")
+    return found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).toPandas()
+
+
 def search(vectors: DataFrame, query_every: int = 100, k: int = NEIGHBOURS, probes: int = PROBES, rerank: int = RERANK) -> DataFrame:
-    """The k nearest found for each row whose vec_id is divisible by query_every: query_id, rank, vec_id, score."""
+    """The k nearest found for each row whose vec_id is divisible by query_every: query_id, rank, vec_id, score.
+
+    probes and rerank are the least that is taken.
+    """
     spark = vectors.sparkSession
     rows = usable(vectors)
     n = rows.count()
@@ -120,41 +152,59 @@ def search(vectors: DataFrame, query_every: int = 100, k: int = NEIGHBOURS, prob
                 own, codes = index.encode(x)
                 yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(own, pa.int32()), pa.array([c.tobytes() for c in codes], pa.binary()), batch.column(1)], ["vec_id", "list", "code", "embedding"])
 
-    coded = rows.mapInArrow(assign, "vec_id long, list int, code binary, embedding array<double>")
+    coded = stage(rows.mapInArrow(assign, "vec_id long, list int, code binary, embedding array<double>"), "coded")
     sizes = {x["list"]: x["count"] for x in coded.groupBy("list").count().collect()}  # a row for each list at most
     chunks = [max(1, -(-sizes.get(i, 0) // CHUNK_ROWS)) for i in range(len(index.centroids))]
     per = F.array(*map(F.lit, chunks)) if len(chunks) <= 1 else F.lit(chunks)
     dealt = coded.withColumn("chunk", F.pmod(F.xxhash64("vec_id"), F.element_at(per, F.col("list") + 1)).cast("int"))
 
-    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if batch.num_rows:
-                x = np.array(batch.column(1).to_pylist(), np.float64)
-                out = [(r, int(i), c) for r, own in enumerate(index.probes(x, probes)) for i in own for c in range(chunks[i])]
-                at = pa.array([r for r, _, _ in out], pa.int32())
-                yield pa.RecordBatch.from_arrays([batch.column(0).take(at), pa.array([i for _, i, _ in out], pa.int32()), pa.array([c for _, _, c in out], pa.int32()), batch.column(1).take(at)], ["query_id", "list", "chunk", "query"])
-
-    queries = rows.filter(F.col("vec_id") % query_every == 0).mapInArrow(ask, "query_id long, list int, chunk int, query array<double>")
-
-    def best(key, own: pd.DataFrame, asked: pd.DataFrame) -> pd.DataFrame:
-        if not len(own) or not len(asked):
-            return pd.DataFrame({"query_id": [], "vec_id": [], "score": []}).astype({"query_id": "int64", "vec_id": "int64", "score": "float64"})
-        own = own.sort_values("vec_id", kind="stable")
-        ids = own["vec_id"].to_numpy()
-        x = np.array(own["embedding"].tolist(), np.float64)
-        codes = np.frombuffer(b"".join(own["code"]), np.uint8).reshape(len(own), -1)
-        out = []
-        for query_id, query in zip(asked["query_id"], asked["query"], strict=True):
-            q = np.array(query, np.float64)
-            rough = index.distances(q, int(key[0]), codes)
-            rough[ids == query_id] = np.inf
-            at = np.sort(np.argsort(rough, kind="stable")[:rerank])
-            at = at[ids[at] != query_id]
-            exact = np.sqrt(((x[at] - q) ** 2).sum(1))
-            top = np.argsort(exact, kind="stable")[:k]
-            out.append(pd.DataFrame({"query_id": query_id, "vec_id": ids[at[top]], "score": exact[top]}))
-        return pd.concat(out)
-
-    found = dealt.groupBy("list", "chunk").cogroup(queries.groupBy("list", "chunk")).applyInPandas(best, "query_id long, vec_id long, score double")
-    order = Window.partitionBy("query_id").orderBy("score", "vec_id")
-    return found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    def answers(queries: DataFrame, probes: int, rerank: int) -> DataFrame:
+        def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                if batch.num_rows:
+                    x = np.array(batch.column(1).to_pylist(), np.float64)
+                    out = [(r, int(i), c) for r, own in enumerate(index.probes(x, probes)) for i in own for c in range(chunks[i])]
+                    at = pa.array([r for r, _, _ in out], pa.int32())
+                    yield pa.RecordBatch.from_arrays([batch.column(0).take(at), pa.array([i for _, i, _ in out], pa.int32()), pa.array([c for _, _, c in out], pa.int32()), batch.column(1).take(at)], ["query_id", "list", "chunk", "query"])
+
+        asked = queries.mapInArrow(ask, "query_id long, list int, chunk int, query array<double>")
+
+        def best(key, own: pd.DataFrame, asked: pd.DataFrame) -> pd.DataFrame:
+            if not len(own) or not len(asked):
+                return pd.DataFrame({"query_id": [], "vec_id": [], "score": []}).astype({"query_id": "int64", "vec_id": "int64", "score": "float64"})
+            own = own.sort_values("vec_id", kind="stable")
+            ids = own["vec_id"].to_numpy()
+            x = np.array(own["embedding"].tolist(), np.float64)
+            codes = np.frombuffer(b"".join(own["code"]), np.uint8).reshape(len(own), -1)
+            out = []
+            for query_id, query in zip(asked["query_id"], asked["query"], strict=True):
+                q = np.array(query, np.float64)
+                rough = index.distances(q, int(key[0]), codes)
+                rough[ids == query_id] = np.inf
+                at = np.sort(np.argsort(rough, kind="stable")[:rerank])
+                at = at[ids[at] != query_id]
+                exact = np.sqrt(((x[at] - q) ** 2).sum(1))
+                top = np.argsort(exact, kind="stable")[:k]
+                out.append(pd.DataFrame({"query_id": query_id, "vec_id": ids[at[top]], "score": exact[top]}))
+            return pd.concat(out)
+
+        found = dealt.groupBy("list", "chunk").cogroup(asked.groupBy("list", "chunk")).applyInPandas(best, "query_id long, vec_id long, score double")
+        order = Window.partitionBy("query_id").orderBy("score", "vec_id")
+        return found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+
+    # the rows in picked are in hash order, so the first of them are a sample
+    some = picked.drop_duplicates("vec_id").head(SAMPLE)
+    x = np.array(some["embedding"].tolist(), np.float64)
+    true = exact_neighbours(coded, some["vec_id"].to_numpy(), x, k)
+    if len(true):
+        place = np.argsort(index.probes(x, len(index.centroids)), 1)[true["query"], true["list"]]
+        # the least number of lists that holds RECALL of the neighbours, with room for what the codes lose
+        probes = max(probes, int(np.sort(place)[math.ceil((1 + RECALL) / 2 * len(place)) - 1]) + 1)
+        sampled = spark.createDataFrame(some[["vec_id", "embedding"]].assign(embedding=list(map(list, some["embedding"]))), "vec_id long, embedding array<double>")
+        want = set(zip(some["vec_id"].to_numpy()[true["query"]].tolist(), true["vec_id"].tolist(), strict=True))
+        while rerank < CHUNK_ROWS:
+            got = {(r.query_id, r.vec_id) for r in answers(sampled, probes, rerank).collect()}
+            if len(got & want) >= RECALL * len(want):
+                break
+            rerank *= 2
+    return answers(rows.filter(F.col("vec_id") % query_every == 0), probes, rerank)
