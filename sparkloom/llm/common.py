@@ -2,41 +2,108 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 import zlib
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
+from typing import ClassVar
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Rows per Arrow batch on the way to Python; keeps a batch of texts small.
 ARROW_ROWS = 256
+ARROW_BYTES = 16_000_000
 MASK64 = (1 << 64) - 1
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, else a new one of this process."""
+    """The folder that driver and executors share: spark.checkpoint.dir.
+
+    Where it is unset, a local session gets a temporary folder of its own; a cluster must name one.
+    """
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         found = "file://" + tempfile.mkdtemp(prefix="sparkloom-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
 
 
+class Scratch:
+    """Folders staged while recording, deleted together once nothing reads them any more."""
+
+    _recording: ClassVar[list[Scratch]] = []
+
+    def __init__(self):
+        self.paths: list[str] = []
+
+    def __enter__(self) -> Scratch:
+        Scratch._recording.append(self)
+        return self
+
+    def __exit__(self, *_) -> None:
+        Scratch._recording.remove(self)
+
+    def release(self, spark: SparkSession) -> None:
+        for path in self.paths:
+            delete_folder(spark, path)
+        if self.paths:
+            free_shuffles(spark)
+        self.paths.clear()
+
+
+def delete_folder(spark: SparkSession, path: str) -> None:
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+
+
+def free_shuffles(spark: SparkSession) -> None:
+    """Let go of shuffle files of finished jobs, which Spark keeps until the driver collects their handles."""
+    gc.collect()
+    spark.sparkContext._jvm.java.lang.System.gc()
+
+
 def stage(df: DataFrame, tag: str) -> DataFrame:
     """Write ``df`` as Parquet into the shared folder and read it back, so that lineage ends there."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/sparkloom/{tag}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    for scratch in Scratch._recording:
+        scratch.paths.append(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._staged_at = path
+    return out
+
+
+def discard(*staged: DataFrame, shuffles: bool = False) -> None:
+    """Delete staged frames that nothing reads any more; with ``shuffles`` the shuffle files of finished jobs too."""
+    for df in staged:
+        delete_folder(df.sparkSession, df._staged_at)
+        for scratch in Scratch._recording:
+            if df._staged_at in scratch.paths:
+                scratch.paths.remove(df._staged_at)
+    if shuffles:
+        free_shuffles(staged[0].sparkSession)
+
+
+def fresh(name: str, taken: Iterable[str]) -> str:
+    """``name``, longer by underscores until no column in ``taken`` has it in any case."""
+    used = {x.lower() for x in taken}
+    while name.lower() in used:
+        name += "_"
+    return name
 
 
 def small_batches(spark: SparkSession) -> None:
-    """Arrow batches of few rows, as texts may be long."""
+    """Bounds of Arrow batches, the same for all operators: few rows, as texts may be long, and few bytes."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ARROW_ROWS))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(ARROW_BYTES))
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -117,3 +184,43 @@ class SpanHash:
         if m <= 0:
             return np.zeros(0, np.uint64)
         return mix64((self.prefix[width:] - self.prefix[:m]) * self.inverse[:m])
+
+
+def pack_array(x: np.ndarray) -> bytes:
+    return zstandard.ZstdCompressor(level=1).compress(np.ascontiguousarray(x).tobytes())
+
+
+def unpack_array(data: bytes, kind: str) -> np.ndarray:
+    return np.frombuffer(zstandard.ZstdDecompressor().decompress(data), kind)
+
+
+def pack_keys(keys: np.ndarray) -> bytes:
+    """Rising keys as differences, their bytes in planes, which compress well."""
+    gaps = np.diff(keys, prepend=np.uint64(0)).astype("<u8")
+    return pack_array(gaps.view(np.uint8).reshape(-1, 8).T)
+
+
+def unpack_keys(data: bytes) -> np.ndarray:
+    planes = unpack_array(data, "u1").reshape(8, -1)
+    return np.cumsum(np.ascontiguousarray(planes.T).view("<u8").ravel(), dtype=np.uint64)
+
+
+def by_shard(rows: DataFrame, shards: int, done: Callable[[int, list], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
+    """Call done(shard, [(block_id, packed keys, packed counts)]) for each shard of rows, and yield its batches.
+
+    Shards are dealt over the tasks evenly; a task holds packed keys of one shard at a time.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, held = None, []
+        for batch in batches:
+            for shard, *rest in zip(*(batch.column(k).to_pylist() for k in range(4)), strict=True):
+                if shard != now and held:
+                    yield from done(now, held)
+                    held = []
+                now = shard
+                held.append(rest)
+        if held:
+            yield from done(now, held)
+
+    return map_arrow(rows.repartition(2 * shards, "shard").sortWithinPartitions("shard", "block_id"), run, schema)

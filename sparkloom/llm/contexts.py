@@ -27,11 +27,12 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sparkloom.llm.common import SpanHash, crc_of_id, map_arrow, mix64, stage, texts_of
+from sparkloom.llm.common import SpanHash, by_shard, crc_of_id, map_arrow, mix64, pack_array, pack_keys, stage, texts_of, unpack_array, unpack_keys
 
 DEPTH = 5
 BLOCK_BYTES = 4_000_000
-SHARDS = 96
+#: Bytes of blocks that a shard of byte strings stands for, and the least number of shards.
+SHARD_BYTES, LEAST_SHARDS = 12_000_000, 32
 _LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
 _HALF = np.log(0.5)
 
@@ -42,25 +43,6 @@ def canonical(text: str) -> tuple[bytes, int]:
     return b" ".join(words) + b"\n", len(words) + 1
 
 
-def pack_array(x: np.ndarray) -> bytes:
-    return zstandard.ZstdCompressor(level=1).compress(np.ascontiguousarray(x).tobytes())
-
-
-def unpack_array(data: bytes, kind: str) -> np.ndarray:
-    return np.frombuffer(zstandard.ZstdDecompressor().decompress(data), kind)
-
-
-def pack_keys(keys: np.ndarray) -> bytes:
-    """Rising keys as differences, their bytes in planes, which compress well."""
-    gaps = np.diff(keys, prepend=np.uint64(0)).astype("<u8")
-    return pack_array(gaps.view(np.uint8).reshape(-1, 8).T)
-
-
-def unpack_keys(data: bytes) -> np.ndarray:
-    planes = unpack_array(data, "u1").reshape(8, -1)
-    return np.cumsum(np.ascontiguousarray(planes.T).view("<u8").ravel(), dtype=np.uint64)
-
-
 def log_kt(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """log of the Krichevsky-Trofimov probability of a zeros and b ones."""
     return log_gamma(a + 0.5) + log_gamma(b + 0.5) - log_gamma(a + b + 1.0) - np.log(np.pi)
@@ -161,16 +143,16 @@ def merge(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.nd
     return keys[first], np.add.reduceat(counts, first)
 
 
-def shard_of(keys: np.ndarray, kind: int, depth: int) -> np.ndarray:
+def shard_of(keys: np.ndarray, kind: int, depth: int, shards: int) -> np.ndarray:
     """Byte strings go by their last two context bytes, words by their hash."""
     base = keys if kind else keys >> np.uint64(8 * (depth - 1))
-    return (mix64(base + np.uint64(1)) % np.uint64(SHARDS)).astype(np.int64) + kind * SHARDS
+    return (mix64(base + np.uint64(1)) % np.uint64(shards)).astype(np.int64) + kind * shards
 
 
 REQUEST = "shard int, block_id long, keys binary, counts binary"
 
 
-def requests(staged: DataFrame, depth: int) -> DataFrame:
+def requests(staged: DataFrame, depth: int, shards: int) -> DataFrame:
     """Distinct keys of each block by shard, with training counts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -182,16 +164,15 @@ def requests(staged: DataFrame, depth: int) -> DataFrame:
                 out = []
                 for kind, keys, of in ((0, own.bytes, np.repeat(train, sizes)), (1, own.tokens, train[own.token_doc])):
                     keys, counts = distinct(keys, of)
-                    shard = shard_of(keys, kind, depth)
+                    shard = shard_of(keys, kind, depth, shards)
                     order = np.argsort(shard, kind="stable")
-                    cuts = np.searchsorted(shard[order], np.arange(kind * SHARDS, (kind + 1) * SHARDS + 1))
-                    for s, (a, b) in enumerate(zip(cuts, cuts[1:], strict=False), kind * SHARDS):
+                    cuts = np.searchsorted(shard[order], np.arange(kind * shards, (kind + 1) * shards + 1))
+                    for s, (a, b) in enumerate(zip(cuts, cuts[1:], strict=False), kind * shards):
                         if b > a:
                             out.append((s, row["block_id"], pack_keys(keys[order[a:b]]), pack_array(counts[order[a:b]].astype("<u4"))))
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), (pa.int32(), pa.int64(), pa.binary(), pa.binary()), strict=True)], ["shard", "block_id", "keys", "counts"])
 
-    staged.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2")
-    return staged.select("block_id", "held", "sizes", "payload").mapInArrow(run, REQUEST)
+    return map_arrow(staged.select("block_id", "held", "sizes", "payload"), run, REQUEST)
 
 
 class Subtrees:
@@ -286,29 +267,6 @@ class Roots:
         self.stop0, self.kt0 = np.exp(_HALF + log_e - log_w0), (b + 0.5) / (a + b + 1)
 
 
-def by_shard(rows: DataFrame, done, schema: str) -> DataFrame:
-    """Call done(shard, [(block_id, packed keys, packed counts)]) for each shard, and yield its batches.
-
-    Shards are dealt over the tasks evenly; a task holds packed keys of one shard at a time.
-    """
-    spark = rows.sparkSession
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, held = None, []
-        for batch in batches:
-            for shard, *rest in zip(*(batch.column(k).to_pylist() for k in range(4)), strict=True):
-                if shard != now and held:
-                    yield from done(now, held)
-                    held = []
-                now = shard
-                held.append(rest)
-        if held:
-            yield from done(now, held)
-
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "64")
-    return rows.repartition(2 * SHARDS, "shard").sortWithinPartitions("shard", "block_id").mapInArrow(run, schema)
-
-
 def shard_counts(held: list) -> tuple[np.ndarray, np.ndarray]:
     """Merged keys and counts; merged now and then, so that memory follows distinct keys."""
     parts, size = [], 0
@@ -323,31 +281,32 @@ def shard_counts(held: list) -> tuple[np.ndarray, np.ndarray]:
 
 def log_scores(docs: DataFrame, held_rule=None, depth: int = DEPTH) -> DataFrame:
     """Per row: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score."""
-    spark = docs.sparkSession
     rule = (crc_of_id() % 5 == 1) if held_rule is None else held_rule
     staged = stage(blocks(docs, rule), "lm-blocks")
-    asked = stage(requests(staged, depth), "lm-requests")
+    size = staged.agg(F.sum(F.aggregate("sizes", F.lit(0).cast("long"), lambda s, x: s + x))).first()[0] or 0
+    shards = max(LEAST_SHARDS, int(size) // SHARD_BYTES)
+    asked = stage(requests(staged, depth, shards), "lm-requests")
 
     def root_rows(shard: int, held: list) -> Iterator[pa.RecordBatch]:
         keys, counts = shard_counts(held)
-        if shard >= SHARDS:
+        if shard >= shards:
             out = [(1, 0, 0, float(counts.sum()), float((counts > 0).sum()), 0.0)]
         else:
             out = [(0, *x) for x in Subtrees(keys, counts, depth).roots()]
         yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), (pa.int32(), pa.int32(), pa.int32(), pa.float64(), pa.float64(), pa.float64()), strict=True)], ["kind", "last", "node", "zeros", "ones", "log_w"])
 
-    tops = by_shard(asked, root_rows, "kind int, last int, node int, zeros double, ones double, log_w double")
+    tops = by_shard(asked, shards, root_rows, "kind int, last int, node int, zeros double, ones double, log_w double")
     tops = tops.groupBy("kind", "last", "node").agg(F.sum("zeros"), F.sum("ones"), F.sum("log_w")).collect()  # 256 x 255 rows and one at most
     roots = Roots([tuple(x)[1:] for x in tops if x["kind"] == 0])
     train_tokens, known = next(((int(x[3]), int(x[4])) for x in tops if x["kind"] == 1), (0, 0))
 
     def answers(shard: int, held: list) -> Iterator[pa.RecordBatch]:
         keys, counts = shard_counts(held)
-        values = counts.astype("<f8") if shard >= SHARDS else Subtrees(keys, counts, depth).predict(roots).astype("<f4")
+        values = counts.astype("<f8") if shard >= shards else Subtrees(keys, counts, depth).predict(roots).astype("<f4")
         for block_id, own, _ in held:
             yield pa.RecordBatch.from_arrays([pa.array([block_id]), pa.array([shard], pa.int32()), pa.array([pack_array(values[np.searchsorted(keys, unpack_keys(own))])], pa.binary())], ["block_id", "shard", "found"])
 
-    told = by_shard(asked, answers, "block_id long, shard int, found binary").groupBy("block_id").agg(F.collect_list(F.struct("shard", "found")).alias("told"))
+    told = by_shard(asked, shards, answers, "block_id long, shard int, found binary").groupBy("block_id").agg(F.collect_list(F.struct("shard", "found")).alias("told"))
     joined = staged.join(told, "block_id")
 
     def total(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -360,7 +319,7 @@ def log_scores(docs: DataFrame, held_rule=None, depth: int = DEPTH) -> DataFrame
                 values = []
                 for kind, keys in ((0, own.bytes), (1, own.tokens)):
                     names, back = np.unique(keys, return_inverse=True)
-                    shard = shard_of(names, kind, depth)
+                    shard = shard_of(names, kind, depth, shards)
                     order = np.argsort(shard, kind="stable")
                     here = np.empty(len(names))
                     here[order] = np.concatenate([unpack_array(found[s], "<f8" if kind else "<f4") for s in np.unique(shard).tolist()])
@@ -374,8 +333,4 @@ def log_scores(docs: DataFrame, held_rule=None, depth: int = DEPTH) -> DataFrame
                     ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"],
                 )
 
-    def small(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        return total(batches)
-
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2")
-    return joined.select("ids", "held", "tokens", "sizes", "payload", "told").mapInArrow(small, "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
+    return map_arrow(joined.select("ids", "held", "tokens", "sizes", "payload", "told"), total, "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")

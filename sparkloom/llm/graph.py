@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sparkloom.llm.common import stage
+from sparkloom.llm.common import discard, stage
 
 
 def _least(edges: DataFrame) -> DataFrame:
@@ -13,25 +13,29 @@ def _least(edges: DataFrame) -> DataFrame:
     return edges.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
 
 
-def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
+def _print(edges: DataFrame) -> tuple:
+    """Number of edges and a sum of their hashes."""
+    return tuple(edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
+
+
+def components(edges: DataFrame) -> DataFrame:
     """node and root for each node of edges (u, v); the root is the least node of its component.
 
     Large-star links each node's greater neighbours to its least one, small-star the others; both
     keep the edges linear in number. Skewed nodes are split by AQE, as all joins are inner ones.
     """
     now = stage(edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).filter("u <> v").distinct(), "edges")
-    for _ in range(most_rounds):
+    seen = _print(now)
+    while True:
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
         large = both.join(_least(both), "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").distinct()
         large = stage(large, "large-star")
         least = _least(large)
         small = large.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least.select("u", F.col("m").alias("v"))).filter("u <> v").distinct()
         after = stage(small, "small-star")
-        done = after.count() == now.count() and after.exceptAll(now).isEmpty()
-        now = after
-        if done:
+        discard(now, large)
+        now, before, seen = after, seen, _print(after)
+        if seen == before:
             break
-    else:
-        raise RuntimeError("components did not settle")
     roots = now.select(F.col("u").alias("node"), F.col("v").alias("root"))
     return roots.unionByName(roots.select(F.col("root").alias("node"), "root").distinct())

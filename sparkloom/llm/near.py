@@ -3,63 +3,76 @@
 A text is the multiset of its five-word shingles, each weighted by its count times an inverse
 document frequency; a text with fewer words is one shingle. ICWS samples, HASHES of them in BANDS
 bands, agree with probability equal to the weighted Jaccard similarity. Texts that share a band are
-compared with the band's pivot; as one minus the similarity is a metric, only members that the
-pivot's distances leave in doubt are compared further, so no group makes all its pairs. Verified
-pairs are joined to classes by star contraction.
-
-The inverse document frequency of a shingle in a share s of all rows is 1 - log10(max(s, FLOOR)):
-only shingles in more than FLOOR of the rows weigh less, and there are few of those whatever the
-input, found exactly by local counts (a shingle above a share overall is above half of it in the
-parts that hold half its rows) and counted over all rows.
-
-Defined cases: a null text counts as empty; equal texts are of one class, empty ones too; repeated
-rows and null ids keep their rows; the class id is the least doc_id of the class, null only if all
-are; an empty table gives no rows; further columns are ignored.
+candidates, candidates are verified by their weighted Jaccard similarity, and verified pairs are
+joined to classes by star contraction.
+
+The inverse document frequency of a shingle in n of N rows is 1 + log(N / n) / log(N): 2 for one row,
+1 for all. The logarithm is measured against log(N), so that shingles of a large group of copies keep
+at least half the weight of an edited word's, at any N. Frequencies are exact: each block of texts
+sends its distinct shingles, counted, to shards by hash, and the shards' totals come back.
+
+No group makes all its pairs. Each round compares a band's members with some of them, its pivots,
+and joins what is verified; bands that lie in one class are settled, and pivots leave, having met all.
+Where a band still spans classes after SPLIT rounds, it is split by the shingles of its members'
+prefixes: in one order of all shingles, the rarest first, two texts within the similarity share one of
+those that make up the first 1 - SIMILARITY of a text's weight. Pivots double every round up to PIVOTS,
+rounds go on until every band has ended, and no pair of a band goes unverified unless its texts are of one class, too unlike in weight, or
+without a common prefix shingle.
+
+Defined cases: a null text counts as empty; texts without words have no candidates; equal texts are
+of one class, empty ones too; repeated rows and null ids keep their rows; the class id is the least
+doc_id of the class, null only if all are; a text of any length is taken whole, in one worker's memory;
+an empty table gives no rows; further columns are ignored.
 """
 
 from __future__ import annotations
 
+import hashlib
 import itertools
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sparkloom.llm.common import SpanHash, join_groups, map_arrow, mix64, stage, texts_of
+from sparkloom.llm.common import SpanHash, by_shard, discard, fresh, join_groups, map_arrow, mix64, pack_array, pack_keys, stage, texts_of, unpack_array, unpack_keys
 from sparkloom.llm.graph import components
-from sparkloom.llm.units import sliced
 
 WORDS = 5
 SIMILARITY = 0.8
 BANDS, ROWS = 10, 3
 HASHES = BANDS * ROWS
-FLOOR = 1 / 16
-#: Rows of a part whose local counts name candidates for frequent shingles.
-PART_ROWS = 512
-#: Members of a band still in doubt after the pivot rounds that are compared with each other.
-SMALL = 24
-#: Pivots of a band in each round after the first.
-PIVOTS = 16
-#: The round in which bands that are still large are split, and members of each that are looked at for it.
-SPLIT, SAMPLE = 2, 64
-#: Texts within a similarity differ in total weight by no more than this power of its inverse.
-STEP = float(np.log(1 / SIMILARITY))
+#: Bytes of text in a block, and about how many bytes of text a shard of shingles stands for.
+BLOCK_BYTES, SHARD_BYTES = 2_000_000, 24_000_000
+#: The round in which bands that still span classes are split by prefix shingles.
+SPLIT = 3
+#: Pivots of a band in one round at most; what they don't settle goes to further rounds.
+PIVOTS = 1024
+#: Pairs with one pivot that a task verifies.
+DEAL = 1024
+#: Steps of a weight of one: weights are whole numbers of them, so that sums are exact.
+STEPS = 64
 _LOW = np.int64(-(1 << 63))
+_FREQUENCY_BITS = np.uint64(0xFFFFFFFFFFFFFF00)
 
 
-def shingles(texts: list[str], words: int = WORDS) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of all shingles, and the number of shingles of each text."""
-    split = [x.lower().encode("utf-8", "replace").split() for x in texts]
-    sizes = np.array([len(x) for x in split], np.int64)
-    data = np.frombuffer(b" ".join([w for own in split for w in own]) + b" ", np.uint8)
-    spans = SpanHash(data)
-    ends = np.flatnonzero(data == 32)
-    if len(ends) != sizes.sum():  # no words at all
-        ends = ends[: int(sizes.sum())]
-    begins = np.append(0, ends[:-1] + 1) if len(ends) else ends
+def words_of(text: str) -> list[bytes]:
+    return text.lower().encode("utf-8", "replace").split()
+
+
+def shingles(data: bytes, sizes: np.ndarray, words: int = WORDS) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of all shingles, and the number of shingles of each text.
+
+    ``data`` holds the words of all texts, each with a space after it; ``sizes`` counts each text's words.
+    """
+    if not sizes.sum():
+        return np.zeros(0, np.uint64), np.zeros(len(sizes), np.int64)
+    raw = np.frombuffer(data, np.uint8)
+    spans = SpanHash(raw)
+    ends = np.flatnonzero(raw == 32)
+    begins = np.append(0, ends[:-1] + 1)
     counts = np.where(sizes >= words, sizes - words + 1, np.minimum(sizes, 1))
     first = np.repeat(np.cumsum(sizes) - sizes, counts) + np.arange(int(counts.sum())) - np.repeat(np.cumsum(counts) - counts, counts)
     last = first + np.repeat(np.minimum(sizes, words), counts) - 1
@@ -90,8 +103,8 @@ def _gamma_quantiles(n: int = 65_536) -> np.ndarray:
     return lo
 
 
-_R = _gamma_quantiles().astype(np.float32)
-_LOG_C = np.log(_gamma_quantiles()).astype(np.float32)
+_GAMMA = _gamma_quantiles()
+_R, _LOG_C = _GAMMA.astype(np.float32), np.log(_GAMMA).astype(np.float32)
 _SEEDS = mix64(np.arange(1, HASHES + 1, dtype=np.uint64) * np.uint64(0x632BE59BD9B4E019))
 
 
@@ -122,297 +135,312 @@ def samples(h: np.ndarray, weights: np.ndarray, sizes: np.ndarray) -> np.ndarray
     return out
 
 
-class Weights:
-    """Count times inverse document frequency; only the frequent shingles are listed."""
+def idf_steps(frequency: np.ndarray, n_rows: int) -> np.ndarray:
+    """The inverse document frequency in whole steps."""
+    scale = np.log(max(n_rows, 2))
+    return np.round(STEPS * (1 + np.log(n_rows / np.minimum(frequency, n_rows)) / scale)).astype(np.int64)
+
 
-    def __init__(self, names: np.ndarray, shares: np.ndarray, floor: float = FLOOR):
-        order = np.argsort(names)
-        self.names = names[order]
-        self.idf = 1 - np.log10(np.maximum(shares[order], floor))
-        self.top = 1 - np.log10(floor)
+BLOCK = "block_id long, ids array<long>, tids array<binary>, words array<int>, payload binary"
 
-    def __call__(self, h: np.ndarray, times: np.ndarray) -> np.ndarray:
-        idf = np.full(len(h), self.top)
-        if len(self.names):
-            at = np.minimum(np.searchsorted(self.names, h), len(self.names) - 1)
-            hit = self.names[at] == h
-            idf[hit] = self.idf[at[hit]]
-        # whole steps of 1/64, so that sums are exact
-        return np.maximum(np.round(64 * idf * times), 1)
 
+def text_blocks(docs: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """Rows in blocks: doc_id, the text's own id (16 bytes of its sha256), and its lower-cased words."""
 
-def frequent(docs: DataFrame, n_rows: int, floor: float = FLOOR) -> Weights:
-    """Weights from the exact document frequencies of all shingles in more than ``floor`` of the rows."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark import TaskContext
 
-    def local(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[np.ndarray] = []
-        rows = 0
+        number = TaskContext.get().partitionId() << 32
+        ids, tids, sizes, parts = [], [], [], []
+        total = 0
 
         def flush() -> pa.RecordBatch:
-            names, counts = np.unique(np.concatenate(held), return_counts=True)
-            big = counts >= floor / 2 * rows
-            held.clear()
-            return pa.RecordBatch.from_arrays([pa.array(names[big].view(np.int64)), pa.array(counts[big])], ["h", "n"])
+            data = zstandard.ZstdCompressor(level=1).compress(b" ".join([w for own in parts for w in own]) + b" ")
+            row = [[number], [list(ids)], [list(tids)], [list(sizes)], [data]]
+            kinds = [pa.int64(), pa.list_(pa.int64()), pa.list_(pa.binary()), pa.list_(pa.int32()), pa.binary()]
+            for x in (ids, tids, sizes, parts):
+                x.clear()
+            return pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip(row, kinds, strict=True)], ["block_id", "ids", "tids", "words", "payload"])
 
         for batch in batches:
-            texts = texts_of(batch.column(0))
-            for a, b in sliced(texts):
-                held.append(multisets(*shingles(texts[a:b]))[0])
-                rows += b - a
-                if rows >= PART_ROWS:
+            for doc_id, text in zip(batch.column(0).to_pylist(), texts_of(batch.column(1)), strict=True):
+                if ids and total + len(text) > block_bytes:
                     yield flush()
-                    rows = 0
-        if held:
+                    number, total = number + 1, 0
+                own = words_of(text)
+                ids.append(doc_id)
+                tids.append(hashlib.sha256(text.encode("utf-8", "replace")).digest()[:16])
+                sizes.append(len(own))
+                if own:
+                    parts.append(own)
+                total += len(text)
+        if ids:
             yield flush()
 
-    parts = map_arrow(docs.select("text"), local, "h long, n long")
-    found = parts.groupBy("h").agg(F.sum("n").alias("n")).filter(F.col("n") >= floor / 2 * n_rows).select("h").toPandas()["h"]
-    # at most 2 / floor times the mean number of shingles of a row pass that filter
-    names = np.sort(found.to_numpy(np.int64).view(np.uint64))
-    if not len(names):
-        return Weights(names, np.zeros(0), floor)
-
-    def exact(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(len(names), np.int64)
-        for batch in batches:
-            texts = texts_of(batch.column(0))
-            for a, b in sliced(texts):
-                h = multisets(*shingles(texts[a:b]))[0]
-                at = np.minimum(np.searchsorted(names, h), len(names) - 1)
-                total += np.bincount(at[names[at] == h], minlength=len(names))
-        yield pa.RecordBatch.from_arrays([pa.array(names.view(np.int64)), pa.array(total)], ["h", "n"])
+    return map_arrow(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), run, BLOCK)
 
-    counts = map_arrow(docs.select("text"), exact, "h long, n long").groupBy("h").agg(F.sum("n").alias("n")).toPandas()
-    return Weights(counts["h"].to_numpy(np.int64).view(np.uint64), counts["n"].to_numpy() / max(n_rows, 1), floor)
 
+def block_multisets(payload: bytes, words: list[int]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    return multisets(*shingles(zstandard.ZstdDecompressor().decompress(payload), np.array(words, np.int64)))
 
-def with_id(docs: DataFrame) -> DataFrame:
-    """doc_id, text and the text's own id, the first 16 bytes of its sha256."""
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.substring(F.unhex(F.sha2(F.coalesce(F.col("text"), F.lit("")).cast("binary"), 256)), 1, 16).alias("tid"))
 
+def frequencies(blocks: DataFrame, shards: int) -> DataFrame:
+    """block_id and, by shard, the numbers of rows of all blocks that have each of its distinct shingles.
 
-def signatures(docs: DataFrame, weights: Weights) -> DataFrame:
-    """doc_id, tid and the band keys of each row (none for texts without words)."""
+    A shard is a range of hashes, so a block's shingles in rising order are those of its shards in order.
+    Frequencies tell shingles apart by 56 bits of their hash.
+    """
+    edges = np.array([(k << 64) // shards for k in range(1, shards)], np.uint64)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = texts_of(batch.column(1))
-            for a, b in sliced(texts, 500_000):
-                h, times, sizes = multisets(*shingles(texts[a:b]))
-                found = samples(h, weights(h, times), sizes).reshape(b - a, BANDS, ROWS)
-                keys = np.zeros((b - a, BANDS), np.uint64)
-                for r in range(ROWS):
-                    keys = mix64(keys + found[:, :, r] + np.uint64(r + 1))
-                # in a band, texts meet only those of a total weight that allows the similarity: each stands at
-                # the step of its weight and at the next one, so two within a step meet at one of them
-                owner = np.repeat(np.arange(b - a), sizes)
-                total = np.maximum(np.bincount(owner, weights(h, times), b - a), 1)
-                step = np.floor(np.log(total) / STEP + 1e-9).astype(np.int64)
-                both = np.concatenate([mix64(keys + mix64((step + k).astype(np.uint64))[:, None]) for k in (0, 1)], 1)
-                bands = [k.tolist() if s else [] for k, s in zip(both.view(np.int64), sizes.tolist(), strict=True)]
-                yield pa.RecordBatch.from_arrays([batch.column(0)[a:b], batch.column(2)[a:b], pa.array(bands, pa.list_(pa.int64()))], ["doc_id", "tid", "bands"])
-
-    return map_arrow(docs, run, "doc_id long, tid binary, bands array<long>")
-
-
-def payloads(docs: DataFrame, weights: Weights) -> DataFrame:
-    """tid, its distinct shingles (32 bits each, rising) and their weights, and the sum of weights."""
+            for block_id, words, payload in zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True):
+                keys, counts = np.unique(block_multisets(payload, words)[0] & _FREQUENCY_BITS, return_counts=True)
+                cuts = np.concatenate([[0], np.searchsorted(keys, edges), [len(keys)]])
+                out = [(s, block_id, pack_keys(keys[a:b]), pack_array(counts[a:b].astype("<u4"))) for s, (a, b) in enumerate(itertools.pairwise(cuts.tolist())) if b > a]
+                if out:
+                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), (pa.int32(), pa.int64(), pa.binary(), pa.binary()), strict=True)], ["shard", "block_id", "keys", "counts"])
+
+    def answer(shard: int, held: list) -> Iterator[pa.RecordBatch]:
+        parts = [unpack_keys(keys) for _, keys, _ in held]
+        keys = np.concatenate(parts)
+        order = np.argsort(keys, kind="stable")
+        ordered = keys[order]
+        first = np.flatnonzero(np.append(True, ordered[1:] != ordered[:-1]))
+        counts = np.concatenate([unpack_array(counts, "<u4") for _, _, counts in held])
+        totals = np.empty(len(keys), np.int64)
+        totals[order] = np.repeat(np.add.reduceat(counts[order].astype(np.int64), first), np.diff(np.append(first, len(keys))))
+        at = 0
+        for (block_id, _, _), own in zip(held, parts, strict=True):
+            yield pa.RecordBatch.from_arrays([pa.array([block_id]), pa.array([shard], pa.int32()), pa.array([pack_array(totals[at : at + len(own)].astype("<i8"))], pa.binary())], ["block_id", "shard", "found"])
+            at += len(own)
+
+    asked = map_arrow(blocks.select("block_id", "words", "payload"), ask, "shard int, block_id long, keys binary, counts binary")
+    told = by_shard(asked, shards, answer, "block_id long, shard int, found binary")
+    return told.groupBy("block_id").agg(F.collect_list(F.struct("shard", "found")).alias("told"))
+
+
+def _short(x: np.ndarray, coder: zstandard.ZstdCompressor) -> bytes:
+    """An array as one value where all are equal, else compressed."""
+    if len(x) and (x == x[0]).all():
+        return x[:1].tobytes()
+    return coder.compress(x.tobytes()) if len(x) else b""
+
+
+SIGNED = "doc_id long, tid binary, bands array<long>, total long, h binary, q binary, t binary"
+
+
+def signatures(told: DataFrame, n_rows: int) -> DataFrame:
+    """Of each row: doc_id, tid, band keys (none for texts without words), total weight, and its payload.
+
+    The payload is the shingles (32 bits each, rising), their inverse document frequencies and counts.
+    ``told`` holds the blocks with their frequencies.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        coder = zstandard.ZstdCompressor(level=1)
         for batch in batches:
-            texts = texts_of(batch.column(1))
-            for a, b in sliced(texts):
-                h, times, sizes = multisets(*shingles(texts[a:b]))
-                w = weights(h, times)
-                short = (h >> np.uint64(32)).astype("<u4")
+            for ids, tids, words, payload, found in zip(*(batch.column(k).to_pylist() for k in range(5)), strict=True):
+                h, times, sizes = block_multisets(payload, words)
+                names, back = np.unique(h & _FREQUENCY_BITS, return_inverse=True)
+                own = [unpack_array(x["found"], "<i8") for x in sorted(found or (), key=lambda x: x["shard"])]
+                q = idf_steps(np.concatenate(own), n_rows)[back] if own else np.zeros(0, np.int64)
+                assert sum(map(len, own)) == len(names)
+                w = q * times
                 ends = np.cumsum(sizes)
-                cuts = list(zip((ends - sizes).tolist(), ends.tolist(), strict=True))
-                w4 = w.astype("<u4")
-                yield pa.RecordBatch.from_arrays([batch.column(2)[a:b], pa.array([short[x:y].tobytes() for x, y in cuts], pa.binary()), pa.array([b"" if y == x else w4[x:x + 1].tobytes() if (w4[x:y] == w4[x]).all() else w4[x:y].tobytes() for x, y in cuts], pa.binary())], ["tid", "h", "w"])
-
-    return map_arrow(docs, run, "tid binary, h binary, w binary")
+                starts = ends - sizes
+                total = np.add.reduceat(np.append(w, 0), starts) * (sizes > 0)
+                short, q2, t4 = (h >> np.uint64(32)).astype("<u4"), q.astype("<u2"), times.astype("<u4")
+                first = 0
+                while first < len(ids):  # some 50,000 shingles at a time stay in the processor's caches
+                    last = max(first + 1, int(np.searchsorted(ends, starts[first] + 50_000, "right")))
+                    a, b = int(starts[first]), int(ends[last - 1])
+                    found30 = samples(h[a:b], w[a:b], sizes[first:last]).reshape(last - first, BANDS, ROWS)
+                    keys = np.zeros((last - first, BANDS), np.uint64)
+                    for r in range(ROWS):
+                        keys = mix64(keys + found30[:, :, r] + np.uint64(r + 1))
+                    cuts = list(zip(starts[first:last].tolist(), ends[first:last].tolist(), strict=True))
+                    yield pa.RecordBatch.from_arrays(
+                        [
+                            pa.array(ids[first:last], pa.int64()),
+                            pa.array(tids[first:last], pa.binary()),
+                            pa.array([k.tolist() if y > x else [] for k, (x, y) in zip(keys.view(np.int64), cuts, strict=True)], pa.list_(pa.int64())),
+                            pa.array(total[first:last], pa.int64()),
+                            pa.array([short[x:y].tobytes() for x, y in cuts], pa.binary()),
+                            pa.array([_short(q2[x:y], coder) for x, y in cuts], pa.binary()),
+                            pa.array([_short(t4[x:y], coder) for x, y in cuts], pa.binary()),
+                        ],
+                        ["doc_id", "tid", "bands", "total", "h", "q", "t"],
+                    )
+                    first = last
+
+    return map_arrow(told.select("ids", "tids", "words", "payload", "told"), run, SIGNED)
+
+
+def _long(data: bytes, kind: str, n: int) -> np.ndarray:
+    one = np.dtype(kind).itemsize
+    return np.broadcast_to(np.frombuffer(data, kind), n) if len(data) == one else unpack_array(data, kind)
+
+
+def shingle_weights(h: bytes, q: bytes, t: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Shingles, their inverse document frequencies, and their weights."""
+    names = np.frombuffer(h, "<u4")
+    if not len(names):
+        return names, np.zeros(0, np.int64), np.zeros(0, np.int64)
+    idf = _long(q, "<u2", len(names)).astype(np.int64)
+    return names, idf, idf * _long(t, "<u4", len(names))
 
 
-def similarity(h1: bytes, w1: bytes, h2: bytes, w2: bytes) -> float:
-    """Weighted Jaccard similarity of two payloads."""
-    a, b = np.frombuffer(h1, "<u4"), np.frombuffer(h2, "<u4")
-    x, y = np.frombuffer(w1, "<u4").astype(float), np.frombuffer(w2, "<u4").astype(float)
-    x = np.broadcast_to(x, len(a)) if len(x) == 1 else x
-    y = np.broadcast_to(y, len(b)) if len(y) == 1 else y
+def similarity(a: np.ndarray, x: np.ndarray, b: np.ndarray, y: np.ndarray) -> float:
+    """Weighted Jaccard similarity of shingles a, b (rising) with weights x, y."""
     if not len(a) or not len(b):
         return 0.0
     at = np.minimum(np.searchsorted(b, a), len(b) - 1)
     hit = b[at] == a
-    both = np.minimum(x[hit], y[at[hit]]).sum()
-    return float(both / (x.sum() + y.sum() - both))
+    both = int(np.minimum(x[hit], y[at[hit]]).sum())
+    return both / (int(x.sum()) + int(y.sum()) - both)
 
 
 def verify(pairs: DataFrame, loads: DataFrame) -> DataFrame:
-    """sim of each pair (a, b). Each side of the joins is a pair once, so AQE can split a hot pivot."""
+    """sim of each pair (a, b). A pivot a with many pairs is dealt over tasks, each of which gets it once."""
+    met = pairs.groupBy("a").agg(F.count("*").alias("pairs"))
+    deals = stage(met.withColumn("deals", F.ceil(F.col("pairs") / DEAL).cast("int")), "pair-deals")
+    dealt = join_groups(pairs, deals, ["a"], "pairs", max(1, pairs.count())).select("a", F.pmod(F.xxhash64("b"), F.col("deals")).cast("int").alias("deal"), "b")
+    left = deals.join(loads.withColumnRenamed("uid", "a"), "a").select("a", F.explode(F.sequence(F.lit(0), F.col("deals") - 1)).alias("deal"), F.lit(_LOW.item()).alias("b"), "h", "q", "t")
+    right = dealt.join(loads.withColumnRenamed("uid", "b"), "b").select("a", "deal", "b", "h", "q", "t")
+    rows = left.unionByName(right).repartition("a", "deal").sortWithinPartitions("a", "deal", "b")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pivot: tuple = ()
         for batch in batches:
-            sim = [similarity(*x) for x in zip(*(batch.column(k).to_pylist() for k in range(2, 6)), strict=True)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(sim, pa.float64())], ["a", "b", "sim"])
+            out = []
+            for a, b, h, q, t in zip(*(batch.column(k).to_pylist() for k in (0, 2, 3, 4, 5)), strict=True):
+                names, _, weights = shingle_weights(h, q, t)
+                if b == _LOW:
+                    pivot = (names, weights)
+                else:
+                    out.append((a, b, similarity(*pivot, names, weights)))
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), (pa.int64(), pa.int64(), pa.float64()), strict=True)], ["a", "b", "sim"])
 
-    left = loads.select(F.col("tid").alias("a"), F.col("h").alias("h1"), F.col("w").alias("w1"))
-    right = loads.select(F.col("tid").alias("b"), F.col("h").alias("h2"), F.col("w").alias("w2"))
-    return map_arrow(pairs.join(left, "a").join(right, "b").select("a", "b", "h1", "w1", "h2", "w2"), run, "a binary, b binary, sim double")
+    return map_arrow(rows, run, "a long, b long, sim double")
 
 
-def _roots(pairs):
-    """The least label of each component of a band's label pairs."""
-    root: dict[bytes, bytes] = {}
+def prefix(names: np.ndarray, idf: np.ndarray, weights: np.ndarray, least: float) -> np.ndarray:
+    """Places of the shingles, the rarest first, that hold over 1 - least of a text's weight."""
+    order = np.lexsort((names, -idf))
+    n = int(np.searchsorted(np.cumsum(weights[order]), (1 - least) * weights.sum() * (1 + 1e-9), "right")) + 1
+    return order[:n]
 
-    def top(x: bytes) -> bytes:
-        while root.setdefault(x, x) != x:
-            root[x] = root[root[x]]
-            x = root[x]
-        return x
 
-    for x, y in pairs:
-        low, high = sorted((top(bytes(x)), top(bytes(y))))
-        root[high] = low
-    return [(x, top(x)) for x in list(root)]
+def split(active: DataFrame, loads: DataFrame, least: float = SIMILARITY) -> DataFrame:
+    """Bands (key, uid, total, root) as smaller ones, of which each linked pair of a band shares one."""
+    single = 2 * STEPS  # the inverse document frequency of one row
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for uid, total, root, keys, h, q, t in zip(*(batch.column(k).to_pylist() for k in range(7)), strict=True):
+                names, idf, weights = shingle_weights(h, q, t)
+                at = prefix(names, idf, weights, least)
+                at = at[idf[at] < single]  # no other text has those of one row
+                if not len(at):
+                    continue
+                own = names[at].astype(np.uint64) | (idf[at].astype(np.uint64) << np.uint64(32))
+                parts = np.unique(np.concatenate([mix64(own ^ mix64(np.array([k], np.int64).view(np.uint64))) for k in keys]))
+                n = len(parts)
+                yield pa.RecordBatch.from_arrays([pa.array(parts.view(np.int64)), pa.array(np.full(n, uid)), pa.array(np.full(n, total)), pa.array(np.full(n, root))], ["key", "uid", "total", "root"])
+
+    texts = active.groupBy("uid", "total", "root").agg(F.collect_set("key").alias("keys"))
+    return map_arrow(texts.join(loads, "uid").select("uid", "total", "root", "keys", "h", "q", "t"), run, "key long, uid long, total long, root long")
+
+
+def spanning(active: DataFrame) -> DataFrame:
+    """Staged members of the bands that hold more than one class, with the band's size n."""
+    sizes = active.groupBy("key").agg(F.count("*").alias("n"), F.min("root").alias("low"), F.max("root").alias("high")).filter("low <> high").select("key", "n")
+    sizes = stage(sizes, "band-sizes")
+    out = stage(join_groups(active, sizes, ["key"], "n", max(1, active.count())), "band-members")
+    discard(sizes)
+    return out
 
-def split(active: DataFrame, loads: DataFrame, least: float = SIMILARITY) -> DataFrame:
-    """Large bands (key, tid, label) as smaller ones, of which each linked pair of a band shares one.
 
-    In any order of the shingles, two texts within the similarity share one of those that come first
-    and hold over 1 - least of a text's weight. Those frequent in a sample of the band come last, so
-    a passage common to the band puts no texts together.
-    """
-    sample = active.groupBy("key", F.pmod(F.xxhash64("tid", F.lit("sample")), F.lit(SAMPLE)).alias("slot")).agg(F.min("tid").alias("tid"))
-
-    def common(key, part: pd.DataFrame) -> pd.DataFrame:
-        names, n = np.unique(np.concatenate([np.frombuffer(x, "<u4") for x in part["h"]]), return_counts=True)
-        names, n = names[n > 1], n[n > 1]
-        order = np.argsort(n, kind="stable")
-        return pd.DataFrame({"key": [key[0]], "last": [names[order].tobytes()]})
-
-    last = sample.select("key", "tid").join(loads.select("tid", "h"), "tid").groupBy("key").applyInPandas(common, "key long, last binary")
-    # a band's members go on in parts, each with the band's list once
-    deals = active.groupBy("key").agg(F.ceil(F.count("*") / PART_ROWS).cast("int").alias("deals"))
-    lists = stage(last.join(deals, "key"), "band-lists")
-    dealt = join_groups(active, active.groupBy("key").agg(F.count("*").alias("m")).join(lists.select("key", "deals"), "key"), ["key"], "m", max(1, active.count()))
-    dealt = dealt.select("key", F.pmod(F.xxhash64("tid"), F.col("deals")).cast("int").alias("deal"), "tid", "label").join(loads, "tid")
-    lists = lists.select("key", F.explode(F.sequence(F.lit(0), F.col("deals") - 1)).alias("deal"), "last")
-
-    def parts(key, own: pd.DataFrame, listed: pd.DataFrame) -> pd.DataFrame:
-        out = []
-        names = np.frombuffer(listed["last"].iloc[0], "<u4") if len(own) else np.zeros(0, "<u4")
-        by = np.argsort(names)
-        for tid, label, h, w in zip(own["tid"], own["label"], own["h"], own["w"], strict=True):
-            h, w = np.frombuffer(h, "<u4"), np.frombuffer(w, "<u4").astype(float)
-            w = np.broadcast_to(w, len(h)) if len(w) == 1 else w
-            place = np.zeros(len(h), np.int64)
-            if len(names):
-                at = np.minimum(np.searchsorted(names, h, sorter=by), len(names) - 1)
-                place = np.where(names[by[at]] == h, by[at] + 1, 0)
-            order = np.lexsort((h, place))
-            n = int(np.searchsorted(np.cumsum(w[order]), (1 - least) * w.sum() * (1 + 1e-9), "right")) + 1
-            keys = mix64(h[order[:n]].astype(np.uint64) ^ mix64(np.array([key[0]], np.int64).view(np.uint64)))
-            out.append(pd.DataFrame({"key": keys.view(np.int64), "tid": tid, "label": label}))
-        return pd.concat(out) if out else pd.DataFrame({"key": np.zeros(0, np.int64), "tid": [], "label": []})
-
-    return dealt.groupBy("key", "deal").cogroup(lists.groupBy("key", "deal")).applyInPandas(parts, "key long, tid binary, label binary").distinct()
-
-
-def links(bands: DataFrame, loads: DataFrame, least: float = SIMILARITY) -> DataFrame | None:
-    """Verified pairs that join all texts of each band that are linked, from bands (key, tid).
-
-    The first round compares a band's members with one pivot, later ones with up to PIVOTS. Each member
-    carries a label: its own tid, or one that is shared by members of the band that verified pairs join
-    already. A pair is settled if both are of one label, or if their distances to a pivot differ by more
-    than 1 - least. Members with an unsettled pair go to the next round, pivots do not, as they have met
-    all of their band; bands with few left are compared whole. Bands still large at the turn SPLIT are
-    split by shared shingles. Rounds go on until no pair is left: each takes a pivot out of every band.
-    """
-    reach = 1 - least + 1e-9
-    joined = F.udf(_roots, "array<struct<label: binary, root: binary>>")
-    found = None
-    active = bands.withColumn("label", F.col("tid"))
+def links(bands: DataFrame, loads: DataFrame, least: float = SIMILARITY, split_at: int = SPLIT) -> DataFrame:
+    """node and root of all texts that are linked within a band, from bands (key, uid, total)."""
+    active = spanning(bands.withColumn("root", F.col("uid")))
+    tested = roots = None
     for turn in itertools.count():
-        first = turn == 0
-        sizes = active.groupBy("key").agg(F.count("*").alias("n"), F.min("label").alias("low"), F.max("label").alias("high")).filter("n > 1 and low <> high").drop("low", "high")
-        active = stage(join_groups(active, sizes, ["key"], "n", max(1, active.count())), "band-members")
         if active.isEmpty():
             break
-        if turn == SPLIT:
-            big = active.filter(F.col("n") > SMALL).drop("n")
-            if not big.isEmpty():
-                active = stage(active.filter(F.col("n") <= SMALL).drop("n").unionByName(split(big, loads, least)), "band-splits")
-                continue
-        large = active if first else active.filter(F.col("n") > SMALL)
-        slot = F.lit(0) if first else F.pmod(F.xxhash64("tid", F.lit(turn)), F.lit(PIVOTS))
-        # members that are not joined come first
-        pivots = large.groupBy("key", slot.alias("slot")).agg(F.min(F.struct(F.col("label") != F.col("tid"), "tid", "label")).alias("p"), F.first("n").alias("n"))
-        pivots = stage(pivots.select("key", F.col("p.tid").alias("pivot"), F.col("p.label").alias("own"), "n"), "band-pivots")
-        if first:
-            asked = join_groups(large.drop("n"), pivots.select("key", "pivot", "n"), ["key"], "n", max(1, large.count()))
+        if turn == split_at:
+            parts = stage(split(active, loads, least), "band-parts")
+            discard(active)
+            active = spanning(parts)
+            discard(parts)
+        # one pivot at first, the least of a band, as it is that of many bands; then more, single texts first
+        if turn == 0:
+            pivots = active.groupBy("key").agg(F.first("n").alias("n"), F.min(F.struct("uid", "total", "root")).alias("p"))
+            pivots = pivots.select("key", "n", F.array("p").alias("pivots"))
         else:
-            asked = large.drop("n").join(pivots.select("key", "pivot"), "key")
-        asked = asked.filter(F.col("tid") != F.col("pivot")).select("key", "tid", "label", "pivot")
-        tested = asked.select(F.col("tid").alias("a"), F.col("pivot").alias("b"))
-        if not first:
-            rest = active.filter(F.col("n") <= SMALL)
-            one = rest.select("key", F.col("tid").alias("a"), F.col("label").alias("la"))
-            two = rest.select("key", F.col("tid").alias("b"), F.col("label").alias("lb"))
-            tested = tested.unionByName(one.join(two, "key").filter("a < b and la <> lb").select("a", "b"))
-        sims = stage(verify(tested.distinct(), loads), "band-sims")
-        good = sims.filter(F.col("sim") >= least).select(F.col("a").alias("u"), F.col("b").alias("v"))
-        found = good if found is None else found.unionByName(good)
-        told = asked.join(sims.select(F.col("a").alias("tid"), F.col("b").alias("pivot"), "sim"), ["tid", "pivot"])
-        # of each member the pivots that it is joined to, and the distance to the band's first pivot
-        near = F.array_sort(F.collect_list(F.when(F.col("sim") >= least, F.col("pivot"))))
-        told = told.groupBy("key", "tid", "label").agg(near.alias("near"), F.min(F.struct("pivot", "sim")).alias("to"))
-        told = stage(told.select("key", "tid", "label", "near", (1 - F.col("to.sim")).alias("d")), "band-told")
-        # labels that a member joins: the pivots near it, the label that it had, and the pivots' own
-        had = F.when(F.col("label") != F.col("tid"), F.array("label")).otherwise(F.array().cast("array<binary>"))
-        names = told.filter(F.size("near") > 0).select("key", F.concat("near", had).alias("s"))
-        pairs = names.select("key", F.col("s")[0].alias("u"), F.explode("s").alias("v")).unionByName(pivots.select("key", F.col("pivot").alias("u"), F.col("own").alias("v"))).distinct()
-        roots = pairs.groupBy("key").agg(joined(F.collect_list(F.struct("u", "v"))).alias("r")).select("key", F.explode("r").alias("r"))
-        roots = stage(roots.select("key", "r.label", "r.root"), "band-roots")
-        told = told.join(pivots.select("key", F.col("pivot").alias("tid")), ["key", "tid"], "left_anti")
-        told = told.withColumn("label", F.when(F.size("near") > 0, F.col("near")[0]).otherwise(F.col("label")))
-        told = told.join(roots, ["key", "label"], "left").select("key", "tid", F.coalesce("root", "label").alias("label"), F.floor(F.col("d") / reach).alias("at"))
-        told = stage(told, "band-doubts")
-        # two within reach of each other are in one or in neighbouring steps of the distance to the first pivot
-        steps = told.groupBy("key", "at").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.count("*").alias("m"))
-        steps = steps.select("key", F.explode(F.array(F.col("at") - 1, "at", F.col("at") + 1)).alias("at"), "low", "high", "m")
-        steps = steps.groupBy("key", "at").agg(F.min("low").alias("low"), F.max("high").alias("high"), F.sum("m").alias("m")).filter("low <> high").select("key", "at", "m")
-        active = join_groups(told, steps, ["key", "at"], "m", max(1, told.count())).select("key", "tid", "label")
-    return found
+            slot = F.pmod(F.xxhash64("uid", "key", F.lit(turn)), F.lit(min(1 << turn, PIVOTS)))
+            single = F.lit(False) if turn < split_at else F.col("root") != F.col("uid")
+            pivots = active.groupBy("key", slot.alias("slot")).agg(F.first("n").alias("n"), F.min(F.struct(single.alias("joined"), "uid", "total", "root")).alias("p"))
+            pivots = pivots.groupBy("key").agg(F.first("n").alias("n"), F.collect_list(F.struct("p.uid", "p.total", "p.root")).alias("pivots"))
+        pivots = stage(pivots, "band-pivots")
+        met = join_groups(active.drop("n"), pivots, ["key"], "n", max(1, active.count()))
+        met = met.select("uid", "total", "root", F.explode("pivots").alias("p")).filter("root <> p.root and uid <> p.uid")
+        met = met.filter(F.least("total", "p.total") >= F.greatest("total", "p.total") * (least - 1e-9))
+        # the pivot is the first of a pair, whichever is less, unless both are pivots
+        pairs = met.select(F.col("p.uid").alias("a"), F.col("uid").alias("b")).distinct()
+        if tested is not None:
+            done = tested.select("a", "b").unionByName(tested.select(F.col("b").alias("a"), F.col("a").alias("b")))
+            pairs = pairs.join(done, ["a", "b"], "left_anti")
+        pairs = stage(pairs, "band-pairs")
+        if not pairs.isEmpty():
+            sims = stage(verify(pairs, loads), "band-sims")
+            edges = sims.filter(F.col("sim") >= least).select(F.col("a").alias("u"), F.col("b").alias("v"))
+            if roots is not None:
+                edges = edges.unionByName(roots.select(F.col("node").alias("u"), F.col("root").alias("v")))
+            roots = stage(components(edges), "band-roots")
+            tested = sims if tested is None else tested.unionByName(sims)
+        discard(pairs)
+        # pivots leave, as they have met their whole band
+        left = active.drop("root", "n").join(pivots.select("key", F.explode("pivots.uid").alias("uid")), ["key", "uid"], "left_anti")
+        if roots is not None:
+            left = left.join(roots.withColumnRenamed("node", "uid"), "uid", "left")
+        after = spanning(left.withColumn("root", F.coalesce("root", "uid") if roots is not None else F.col("uid")))
+        discard(active, pivots, shuffles=True)
+        active = after
+    return roots if roots is not None else bands.select(F.col("uid").alias("node"), F.col("uid").alias("root")).limit(0)
 
 
 def classes(docs: DataFrame) -> DataFrame:
     """Per row: doc_id, tid, class_id, class_size (rows), n_texts (distinct texts of the class)."""
-    spark = docs.sparkSession
-    named = with_id(docs)
-    n_rows = docs.count()
-    weights = frequent(docs, n_rows)
-    signed = stage(signatures(named, weights), "signatures")
-    texts = stage(signed.groupBy("tid").agg(F.count("*").alias("n"), F.min("doc_id").alias("first_id"), F.first("bands").alias("bands")), "texts")
-    keys = texts.select("tid", F.posexplode("bands").alias("band", "value")).select(F.xxhash64(F.col("band") % BANDS, "value").alias("key"), "tid")
-    sizes = keys.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1")
-    bands = stage(join_groups(keys, sizes, ["key"], "n", max(1, texts.count())).select("key", "tid"), "bands")
-    # one row of each candidate text goes on; the least id is unique to it within its copies
+    blocks = stage(text_blocks(docs), "near-blocks")
+    n_rows, n_words = blocks.agg(F.sum(F.size("ids")), F.sum(F.aggregate("words", F.lit(0).cast("long"), lambda s, x: s + x))).first()
+    n_rows = int(n_rows or 0)
+    shards = max(8, 6 * int(n_words or 0) // SHARD_BYTES)
+    signed = stage(signatures(blocks.join(frequencies(blocks, shards), "block_id", "left"), n_rows), "near-signed")
+    discard(blocks, shuffles=True)
+    rows = stage(signed.select("doc_id", "tid"), "near-rows")
+    texts = signed.groupBy("tid").agg(F.count("*").alias("n"), F.min("doc_id").alias("first_id"), F.first("bands").alias("bands"), F.first("total").alias("total"))
+    texts = stage(texts.withColumn("uid", F.monotonically_increasing_id()), "near-texts")
+    n_texts = max(1, texts.count())
+    keys = texts.select("uid", "total", F.posexplode("bands").alias("band", "value")).select(F.xxhash64("band", "value").alias("key"), "uid", "total")
+    sizes = stage(keys.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1"), "near-sizes")
+    bands = stage(join_groups(keys, sizes, ["key"], "n", n_texts).select("key", "uid", "total"), "near-bands")
+    # one row of each candidate text goes on: that of the least id, and one of those that repeat it
     low = F.lit(int(_LOW))
-    wanted = bands.select("tid").distinct().join(texts.select("tid", F.coalesce("first_id", low).alias("at")), "tid")
-    chosen = named.withColumn("at", F.coalesce("doc_id", low)).join(wanted, ["tid", "at"], "left_semi").select("doc_id", "text", "tid")
-    loads = stage(payloads(chosen, weights).dropDuplicates(["tid"]), "payloads")
-    edges = links(bands, loads)
-    if edges is None:
-        roots = spark.createDataFrame([], "node binary, root binary")
-    else:
-        roots = stage(components(edges), "components")
-    rooted = texts.select("tid", "n", "first_id").join(roots.withColumnRenamed("node", "tid"), "tid", "left").withColumn("root", F.coalesce("root", "tid"))
-    rooted = stage(rooted, "rooted")
-    whole = rooted.groupBy("root").agg(F.min("first_id").alias("class_id"), F.sum("n").alias("class_size"), F.count("*").alias("n_texts"))
-    by_text = join_groups(rooted.select("tid", "n", "root"), whole, ["root"], "n_texts", max(1, rooted.count()))
+    wanted = bands.select("uid").distinct().join(texts.select("uid", "tid", F.coalesce("first_id", low).alias("at")), "uid")
+    loads = signed.withColumn("at", F.coalesce("doc_id", low)).select("tid", "at", "h", "q", "t").join(wanted, ["tid", "at"])
+    loads = stage(loads.select("uid", "h", "q", "t").dropDuplicates(["uid"]), "near-loads")
+    discard(signed, sizes, shuffles=True)
+    roots = links(bands, loads)
+    rooted = texts.select("tid", "uid", "n", "first_id").join(roots.withColumnRenamed("node", "uid"), "uid", "left").withColumn("root", F.coalesce("root", "uid"))
+    rooted = stage(rooted.drop("uid"), "near-rooted")
+    discard(loads, bands, texts, shuffles=True)
+    whole = stage(rooted.groupBy("root").agg(F.min("first_id").alias("class_id"), F.sum("n").alias("class_size"), F.count("*").alias("n_texts")), "near-classes")
+    by_text = join_groups(rooted.select("tid", "n", "root"), whole, ["root"], "n_texts", n_texts)
     by_text = stage(by_text.select("tid", "n", "class_id", "class_size", "n_texts"), "text-classes")
-    return join_groups(signed.select("doc_id", "tid"), by_text, ["tid"], "n", max(1, n_rows)).drop("n")
+    return join_groups(rows, by_text, ["tid"], "n", max(1, n_rows)).drop("n")
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
@@ -422,6 +450,8 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 
 def one_of_each(docs: DataFrame) -> DataFrame:
     """The row with the least doc_id of each class, with its own columns; repeated rows count once."""
-    kept = classes(docs).filter(F.col("doc_id").eqNullSafe(F.col("class_id"))).select("tid", F.coalesce("doc_id", F.lit(int(_LOW))).alias("at")).distinct()
-    marked = docs.withColumns({"_tid": F.substring(F.unhex(F.sha2(F.coalesce(F.col("text"), F.lit("")).cast("binary"), 256)), 1, 16), "_at": F.coalesce(F.col("doc_id").cast("long"), F.lit(int(_LOW)))})
-    return marked.join(kept.withColumnsRenamed({"tid": "_tid", "at": "_at"}), ["_tid", "_at"], "left_semi").dropDuplicates(["_tid", "_at"]).select(*docs.columns)
+    tid, at = fresh("tid", docs.columns), fresh("at", docs.columns)
+    low = F.lit(int(_LOW))
+    kept = classes(docs).filter(F.col("doc_id").eqNullSafe(F.col("class_id"))).select(F.col("tid").alias(tid), F.coalesce("doc_id", low).alias(at)).distinct()
+    marked = docs.withColumns({tid: F.substring(F.unhex(F.sha2(F.coalesce(F.col("text"), F.lit("")).cast("binary"), 256)), 1, 16), at: F.coalesce(F.col("doc_id").cast("long"), low)})
+    return marked.join(kept, [tid, at], "left_semi").dropDuplicates([tid, at]).select(*docs.columns)

@@ -219,8 +219,7 @@ def read_corpus(spark, path: str) -> DataFrame:
                 names = pa.array([None if x == NULL_ID else x for x in block.doc_ids.tolist()], pa.int64())
                 yield pa.RecordBatch.from_arrays([names, pa.array(begin + ends - sizes), pa.array(sizes), pa.array(crc, pa.int64())], ["doc_id", "start", "n_tokens", "ids_crc32"])
 
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "4")
-    return rows.mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long")
+    return map_arrow(rows, run, "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
 def token_files(docs: DataFrame, tokenizer_path: str) -> DataFrame:

@@ -1,13 +1,17 @@
-"""Links within bands against all pairs."""
+"""Links within bands, and whole classes, against all pairs."""
+
+import collections
+import math
+import random
 
 import numpy as np
 
 from sparkloom.llm import near
 
 
-def payload(own, weight=64):
+def payload(own, idf=128):
     h = np.sort(np.array(sorted(own), "<u4"))
-    return h.tobytes(), np.array([weight], "<u4").tobytes()
+    return h.tobytes(), np.array([idf], "<u2").tobytes(), np.array([1], "<u4").tobytes()
 
 
 def roots(names, edges):
@@ -23,40 +27,99 @@ def roots(names, edges):
     return {x: top(x) for x in names}
 
 
-def hold(spark, bands):
+def alike(x, y):
+    a, _, u = near.shingle_weights(*x)
+    b, _, v = near.shingle_weights(*y)
+    return near.similarity(a, u, b, v)
+
+
+def hold(spark, bands, **how):
     """links() joins the texts of each band as all its pairs do; bands are lists of sets of shingles."""
     keys, loads = [], {}
     for key, sets in enumerate(bands):
         for own in sets:
-            tid = near.mix64(np.array([len(loads) + 1], np.uint64)).tobytes()
-            loads[tid] = payload(own)
-            keys.append((key, tid))
-    rows = [(tid, *x) for tid, x in loads.items()]
+            uid = int(near.mix64(np.array([len(loads) + 1], np.uint64)).view(np.int64)[0])
+            loads[uid] = payload(own, 100)
+            keys.append((key, uid, 100 * len(own)))
     want = []
     for key in range(len(bands)):
-        own = [t for k, t in keys if k == key]
-        want += [(a, b) for i, a in enumerate(own) for b in own[:i] if near.similarity(*loads[a], *loads[b]) >= near.SIMILARITY]
-    table = spark.createDataFrame(rows, "tid binary, h binary, w binary")
-    edges = near.links(spark.createDataFrame(keys, "key long, tid binary"), table)
-    got = [(bytes(r.u), bytes(r.v)) for r in edges.collect()]
+        own = [t for k, t, _ in keys if k == key]
+        want += [(a, b) for i, a in enumerate(own) for b in own[:i] if alike(loads[a], loads[b]) >= near.SIMILARITY]
+    table = spark.createDataFrame([(uid, *x) for uid, x in loads.items()], "uid long, h binary, q binary, t binary")
+    found = near.links(spark.createDataFrame(keys, "key long, uid long, total long"), table, **how)
+    got = [(r.node, r.root) for r in found.collect()]
     assert roots(loads, got) == roots(loads, want)
 
 
 def test_chains(spark):
     # texts of a chain are windows over a row of shingles, so that only neighbours are similar enough
     bands = []
-    for k in range(6):
+    for k in range(1):
         base = np.random.default_rng(k).integers(0, 1 << 32, 3000)
-        bands.append([set(base[at : at + 100].tolist()) for at in range(0, 1400, 10)])
+        bands.append([set(base[at : at + 100].tolist()) for at in range(0, 250, 10)])
     hold(spark, bands)
 
 
 def test_shared_passage(spark):
-    # more dissimilar texts than rounds of pivots can settle, of which each holds the same passage; some have near copies
+    # dissimilar texts that hold one passage; some have near copies
     rng = np.random.default_rng(3)
     passage = rng.integers(0, 1 << 32, 40).tolist()
-    sets = [set(passage + rng.integers(0, 1 << 32, 40).tolist()) for _ in range(1200)]
-    for k in range(0, 1200, 50):
+    sets = [set(passage + rng.integers(0, 1 << 32, 40).tolist()) for _ in range(60)]
+    for k in range(0, 60, 20):
         own = sorted(sets[k])
         sets += [set(own[i + 1 :] + own[:i]) for i in range(3)]
-    hold(spark, [sets])
+    hold(spark, [sets], split_at=2)
+
+
+def weighted_classes(rows):
+    """class_id by doc_id from the weighted Jaccard similarity of all pairs of texts."""
+    bags = {}
+    for _, text in rows:
+        words = (text or "").lower().split()
+        bags[text or ""] = collections.Counter(tuple(words[k : k + 5]) for k in range(max(1, len(words) - 4))) if words else collections.Counter()
+    df = collections.Counter(x for _, text in rows for x in bags[text or ""])
+    n = len(rows)
+    idf = {x: round(64 * (1 + math.log(n / c) / math.log(n))) for x, c in df.items()}
+    texts = sorted(bags)
+    edges = []
+    for i, a in enumerate(texts):
+        for b in texts[:i]:
+            both = sum(idf[x] * min(c, bags[b][x]) for x, c in bags[a].items())
+            total = sum(idf[x] * c for x, c in (bags[a] + bags[b]).items()) - both
+            if total and both / total >= near.SIMILARITY:
+                edges.append((a, b))
+    root = roots(texts, edges)
+    least = {}
+    for doc_id, text in rows:
+        least.setdefault(root[text or ""], []).append(doc_id)
+    return {doc_id: min(least[root[text or ""]]) for doc_id, text in rows}
+
+
+def test_classes_equal_all_pairs(spark):
+    rng = random.Random(11)
+    words = [f"w{k}" for k in range(500)]
+    passage = [rng.choice(words) for _ in range(60)]
+    rows, base = [], [rng.choice(words) for _ in range(60)]
+    for _ in range(60):  # a large group of near copies, a tenth of which are edited heavily
+        own = list(base)
+        for _ in range(rng.choice([0, 1, 1, 2, 2, 3, 3, 4, 9])):
+            own[rng.randrange(len(own))] = rng.choice(words)
+        rows.append(" ".join(own))
+    for _ in range(40):  # texts with one passage in common
+        rows.append(" ".join([rng.choice(words) for _ in range(rng.choice([5, 30, 90]))] + passage))
+    for _ in range(40):
+        own = [rng.choice(words) for _ in range(rng.choice([1, 3, 5, 6, 40, 400]))]
+        rows += [" ".join(own), " ".join(own[:-1]), "  ".join(own).upper()]
+    rows += ["", None, " \n", "same text of six words here", "same text of six words here"]
+    rows = list(enumerate(rows))
+    got = {r.doc_id: r.class_id for r in near.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == weighted_classes(rows)
+
+
+def test_clashing_names_and_empty(spark):
+    rows = [(1, "a b c d e f g", "x", "y", 1, 2), (2, "a b c d e f g", "x", "y", 1, 2), (3, None, "x", "y", 1, 2), (None, "no id", "x", "y", 1, 2)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, tid string, at string, uid int, n int")
+    got = near.one_of_each(docs)
+    assert got.columns == docs.columns
+    assert sorted((r.doc_id or 0, r.tid, r.at) for r in got.collect()) == [(0, "x", "y"), (1, "x", "y"), (3, "x", "y")]
+    assert near.one_of_each(docs.limit(0)).count() == 0
