@@ -27,7 +27,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sparkloom.llm.common import SpanHash, by_shard, crc_of_id, map_arrow, mix64, pack_array, pack_keys, stage, texts_of, unpack_array, unpack_keys
+from sparkloom.llm.common import SpanHash, by_shard, crc_of_id, discard, free_shuffles, map_arrow, mix64, pack_array, pack_keys, stage, texts_of, unpack_array, unpack_keys
 
 DEPTH = 5
 BLOCK_BYTES = 4_000_000
@@ -297,6 +297,7 @@ def log_scores(docs: DataFrame, held_rule=None, depth: int = DEPTH) -> DataFrame
 
     tops = by_shard(asked, shards, root_rows, "kind int, last int, node int, zeros double, ones double, log_w double")
     tops = tops.groupBy("kind", "last", "node").agg(F.sum("zeros"), F.sum("ones"), F.sum("log_w")).collect()  # 256 x 255 rows and one at most
+    free_shuffles(docs.sparkSession)
     roots = Roots([tuple(x)[1:] for x in tops if x["kind"] == 0])
     train_tokens, known = next(((int(x[3]), int(x[4])) for x in tops if x["kind"] == 1), (0, 0))
 
@@ -307,6 +308,8 @@ def log_scores(docs: DataFrame, held_rule=None, depth: int = DEPTH) -> DataFrame
             yield pa.RecordBatch.from_arrays([pa.array([block_id]), pa.array([shard], pa.int32()), pa.array([pack_array(values[np.searchsorted(keys, unpack_keys(own))])], pa.binary())], ["block_id", "shard", "found"])
 
     told = by_shard(asked, shards, answers, "block_id long, shard int, found binary").groupBy("block_id").agg(F.collect_list(F.struct("shard", "found")).alias("told"))
+    told = stage(told, "lm-answers")
+    discard(asked, shuffles=True)
     joined = staged.join(told, "block_id")
 
     def total(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
