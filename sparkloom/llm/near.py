@@ -13,11 +13,11 @@ sends its distinct shingles, counted, to shards by hash, and the shards' totals
 
 No group makes all its pairs. Each round compares a band's members with some of them, its pivots,
 and joins what is verified; bands that lie in one class are settled, and pivots leave, having met all.
-Where a band still spans classes after SPLIT rounds, it is split by the shingles of its members'
-prefixes: in one order of all shingles, the rarest first, two texts within the similarity share one of
-those that make up the first 1 - SIMILARITY of a text's weight. Pivots double every round up to PIVOTS,
-rounds go on until every band has ended, and no pair of a band goes unverified unless its texts are of one class, too unlike in weight, or
-without a common prefix shingle.
+Texts whose bands still span classes after SPLIT rounds meet by the shingles of their prefixes instead:
+in one order of all shingles, the rarest first, two texts within the similarity share one of those that
+make up the first 1 - SIMILARITY of a text's weight. Pivots grow in number every round up to PIVOTS,
+rounds go on until every band has ended, and no pair of a band goes unverified unless its texts are of
+one class, too unlike in weight, or without a common prefix shingle.
 
 Defined cases: a null text counts as empty; texts without words have no candidates; equal texts are
 of one class, empty ones too; repeated rows and null ids keep their rows; the class id is the least
@@ -37,7 +37,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sparkloom.llm.common import SpanHash, by_shard, discard, fresh, join_groups, map_arrow, mix64, pack_array, pack_keys, stage, texts_of, unpack_array, unpack_keys
+from sparkloom.llm.common import SpanHash, by_shard, discard, free_shuffles, fresh, join_groups, map_arrow, mix64, pack_array, pack_keys, stage, texts_of, unpack_array, unpack_keys
 from sparkloom.llm.graph import components
 
 WORDS = 5
@@ -47,9 +47,9 @@ HASHES = BANDS * ROWS
 #: Bytes of text in a block, and about how many bytes of text a shard of shingles stands for.
 BLOCK_BYTES, SHARD_BYTES = 2_000_000, 24_000_000
 #: The round in which bands that still span classes are split by prefix shingles.
-SPLIT = 3
-#: Pivots of a band in one round at most; what they don't settle goes to further rounds.
-PIVOTS = 1024
+SPLIT = 2
+#: Pivots of a band in one round: a power of GROWTH, at most PIVOTS; what they don't settle goes to further rounds.
+GROWTH, PIVOTS = 8, 1024
 #: Pairs with one pivot that a task verifies.
 DEAL = 1024
 #: Steps of a weight of one: weights are whole numbers of them, so that sums are exact.
@@ -334,24 +334,24 @@ def prefix(names: np.ndarray, idf: np.ndarray, weights: np.ndarray, least: float
 
 
 def split(active: DataFrame, loads: DataFrame, least: float = SIMILARITY) -> DataFrame:
-    """Bands (key, uid, total, root) as smaller ones, of which each linked pair of a band shares one."""
+    """Bands (key, uid, total, root) of one prefix shingle each; texts of a band that are linked share one."""
     single = 2 * STEPS  # the inverse document frequency of one row
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for uid, total, root, keys, h, q, t in zip(*(batch.column(k).to_pylist() for k in range(7)), strict=True):
+            for uid, total, root, h, q, t in zip(*(batch.column(k).to_pylist() for k in range(6)), strict=True):
                 names, idf, weights = shingle_weights(h, q, t)
                 at = prefix(names, idf, weights, least)
                 at = at[idf[at] < single]  # no other text has those of one row
                 if not len(at):
                     continue
                 own = names[at].astype(np.uint64) | (idf[at].astype(np.uint64) << np.uint64(32))
-                parts = np.unique(np.concatenate([mix64(own ^ mix64(np.array([k], np.int64).view(np.uint64))) for k in keys]))
+                parts = np.unique(mix64(own))
                 n = len(parts)
                 yield pa.RecordBatch.from_arrays([pa.array(parts.view(np.int64)), pa.array(np.full(n, uid)), pa.array(np.full(n, total)), pa.array(np.full(n, root))], ["key", "uid", "total", "root"])
 
-    texts = active.groupBy("uid", "total", "root").agg(F.collect_set("key").alias("keys"))
-    return map_arrow(texts.join(loads, "uid").select("uid", "total", "root", "keys", "h", "q", "t"), run, "key long, uid long, total long, root long")
+    texts = active.select("uid", "total", "root").distinct()
+    return map_arrow(texts.join(loads, "uid").select("uid", "total", "root", "h", "q", "t"), run, "key long, uid long, total long, root long")
 
 
 def spanning(active: DataFrame) -> DataFrame:
@@ -380,16 +380,15 @@ def links(bands: DataFrame, loads: DataFrame, least: float = SIMILARITY, split_a
             pivots = active.groupBy("key").agg(F.first("n").alias("n"), F.min(F.struct("uid", "total", "root")).alias("p"))
             pivots = pivots.select("key", "n", F.array("p").alias("pivots"))
         else:
-            slot = F.pmod(F.xxhash64("uid", "key", F.lit(turn)), F.lit(min(1 << turn, PIVOTS)))
+            slot = F.pmod(F.xxhash64("uid", "key", F.lit(turn)), F.lit(min(GROWTH**turn, PIVOTS)))
             single = F.lit(False) if turn < split_at else F.col("root") != F.col("uid")
             pivots = active.groupBy("key", slot.alias("slot")).agg(F.first("n").alias("n"), F.min(F.struct(single.alias("joined"), "uid", "total", "root")).alias("p"))
             pivots = pivots.groupBy("key").agg(F.first("n").alias("n"), F.collect_list(F.struct("p.uid", "p.total", "p.root")).alias("pivots"))
         pivots = stage(pivots, "band-pivots")
         met = join_groups(active.drop("n"), pivots, ["key"], "n", max(1, active.count()))
-        met = met.select("uid", "total", "root", F.explode("pivots").alias("p")).filter("root <> p.root and uid <> p.uid")
-        met = met.filter(F.least("total", "p.total") >= F.greatest("total", "p.total") * (least - 1e-9))
-        # the pivot is the first of a pair, whichever is less, unless both are pivots
-        pairs = met.select(F.col("p.uid").alias("a"), F.col("uid").alias("b")).distinct()
+        unlike = f"least(total, p.total) < greatest(total, p.total) * {least - 1e-9}"
+        met = met.select("uid", F.explode(F.expr(f"transform(filter(pivots, p -> p.root <> root and p.uid <> uid and not {unlike}), p -> p.uid)")).alias("pivot"))
+        pairs = met.select(F.col("pivot").alias("a"), F.col("uid").alias("b")).distinct()
         if tested is not None:
             done = tested.select("a", "b").unionByName(tested.select(F.col("b").alias("a"), F.col("a").alias("b")))
             pairs = pairs.join(done, ["a", "b"], "left_anti")
@@ -418,8 +417,10 @@ def classes(docs: DataFrame) -> DataFrame:
     n_rows, n_words = blocks.agg(F.sum(F.size("ids")), F.sum(F.aggregate("words", F.lit(0).cast("long"), lambda s, x: s + x))).first()
     n_rows = int(n_rows or 0)
     shards = max(8, 6 * int(n_words or 0) // SHARD_BYTES)
-    signed = stage(signatures(blocks.join(frequencies(blocks, shards), "block_id", "left"), n_rows), "near-signed")
-    discard(blocks, shuffles=True)
+    told = stage(frequencies(blocks, shards), "near-frequencies")
+    free_shuffles(docs.sparkSession)
+    signed = stage(signatures(blocks.join(told, "block_id", "left"), n_rows), "near-signed")
+    discard(blocks, told, shuffles=True)
     rows = stage(signed.select("doc_id", "tid"), "near-rows")
     texts = signed.groupBy("tid").agg(F.count("*").alias("n"), F.min("doc_id").alias("first_id"), F.first("bands").alias("bands"), F.first("total").alias("total"))
     texts = stage(texts.withColumn("uid", F.monotonically_increasing_id()), "near-texts")
