@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sparkloom.llm.common import join_groups, map_arrow, shared_dir, stage
+from sparkloom.llm.common import delete_folder, discard, join_groups, map_arrow, shared_dir, stage
 from sparkloom.llm.units import encoder, sliced
 
 LIMIT_TOKENS = 2048
@@ -75,6 +75,9 @@ def token_counts(docs: DataFrame, tokenizer_path: str, cache_path: str | None =
     # rows that repeat both id and text were encoded each; one count of each digest goes into the cache
     counted = count_texts(texts, tokenizer_path).dropDuplicates(["digest"])
     cache.append(counted.withColumn("tokenizer", F.lit(version)))
-    known = groups.select("digest", "rows_here").join(cache.read(version), "digest")
+    known = stage(groups.select("digest", "rows_here").join(cache.read(version), "digest"), "count-known")
+    discard(groups)
+    if not cache_path:
+        delete_folder(spark, cache.path)
     joined = join_groups(rows, known, ["digest"], "rows_here", rows.count())
     return joined.select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"))

@@ -16,7 +16,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sparkloom.llm.common import join_groups, stage
+from sparkloom.llm.common import discard, fresh, join_groups, stage
 
 BUCKETS = 16
 _COLUMNS = "digest binary, keep struct<doc_id:bigint,rid:bigint>, group_size bigint"
@@ -59,7 +59,8 @@ def dedup_rows(rows: DataFrame, index: DigestIndex) -> DataFrame:
     groups = stage(groups, "digest-groups")
     index.append(index.fresh(groups))
     sizes = groups.select("digest", F.col("group_size").alias("rows_here"))
-    known = sizes.join(index.read(), "digest")
+    known = stage(sizes.join(index.read(), "digest"), "digest-known")
+    discard(groups)
     joined = join_groups(rows, known, ["digest"], "rows_here", rows.count())
     return joined.select(
         "rid",
@@ -75,14 +76,19 @@ def exact_dedup(docs: DataFrame, table: str | None = None) -> DataFrame:
     """Decisions for every row of docs; with no table named, against a new and empty index."""
     spark = docs.sparkSession
     index = DigestIndex(spark, table or f"digest_index_{uuid.uuid4().hex}")
-    return dedup_rows(stage(digests(docs), "digests"), index).drop("rid")
+    out = dedup_rows(stage(digests(docs), "digests"), index).drop("rid")
+    if not table:
+        spark.sql(f"DROP TABLE {index.table}")
+    return out
 
 
 def kept_rows(docs: DataFrame) -> DataFrame:
     """The rows of docs that stay, with their own columns; rows that repeat id and text count once."""
-    rows = exact_dedup(docs).filter("kept").select(F.unhex("text_sha256").alias("_digest"), F.coalesce("doc_id", F.lit(-(1 << 63))).alias("_at"))
-    marked = docs.withColumns({"_digest": F.unhex(F.sha2(F.coalesce(F.col("text"), F.lit("")).cast("binary"), 256)), "_at": F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63)))})
-    return marked.join(rows, ["_digest", "_at"], "left_semi").dropDuplicates(["_digest", "_at"]).select(*docs.columns)
+    digest, at = fresh("digest", docs.columns), fresh("at", docs.columns)
+    low = F.lit(-(1 << 63))
+    rows = exact_dedup(docs).filter("kept").select(F.unhex("text_sha256").alias(digest), F.coalesce("doc_id", low).alias(at))
+    marked = docs.withColumns({digest: F.unhex(F.sha2(F.coalesce(F.col("text"), F.lit("")).cast("binary"), 256)), at: F.coalesce(F.col("doc_id").cast("long"), low)})
+    return marked.join(rows, [digest, at], "left_semi").dropDuplicates([digest, at]).select(*docs.columns)
 
 
 ORACLE = """
