@@ -22,10 +22,12 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sparkloom.llm.common import SpanHash, join_groups, map_arrow, stage, texts_of
+from sparkloom.llm.common import SpanHash, discard, free_shuffles, join_groups, map_arrow, stage, texts_of
 from sparkloom.llm.induced import repeated_windows
 
 WIDTH = 400
+#: Bytes of a passage of 50 words, counted as four letters and a space each: the width for corpora.
+PASSAGE_BYTES = 250
 SEED = 64
 SHARD_BYTES = 2_500_000
 #: Ranges of window places that candidates() tells apart.
@@ -190,11 +192,15 @@ def repeated_spans(texts: DataFrame, width: int = WIDTH, seed: int = SEED, shard
         if held:
             yield from sort_shard(held)
 
+    free_shuffles(spark)
     sorted_ = dealt.select("shard", "key", "digest", "n", "body").mapInArrow(sort_all, "key long, digest long, runs array<int>")
     whole = chosen.filter("n > 1").select("key", "digest", F.array(F.lit(0), F.col("rep.windows")).alias("runs"), "n")
     verdicts = stage(whole.unionByName(sorted_.withColumn("n", F.lit(1).cast("long"))), "segment-verdicts")
+    discard(chosen, shuffles=True)
     told = join_groups(rows.select("_rid", "key", "digest", "start"), verdicts, ["key", "digest"], "n", max(1, rows.count()))
-    return told.groupBy("_rid").agg(F.collect_list(F.struct("start", "runs")).alias("runs"))
+    told = stage(told.groupBy("_rid").agg(F.collect_list(F.struct("start", "runs")).alias("runs")), "repeat-runs")
+    discard(rows, verdicts, shuffles=True)
+    return told
 
 
 def covered(size: int, runs: list | None, width: int) -> np.ndarray:
@@ -231,12 +237,15 @@ def removal(docs: DataFrame, width: int = WIDTH) -> DataFrame:
 def without_repeats(docs: DataFrame, width: int = WIDTH) -> DataFrame:
     """docs with repeated passages cut out of text (and n_chars, if there, of what is left).
 
-    A cut inside a character drops what remains of the character.
+    A cut inside a character drops what remains of the character. Columns of any names are kept.
     """
-    keep = [c for c in docs.columns if c != "text"]
+    columns, names = docs.schema, docs.columns
+    # own names, so that none clashes with those of the operator
+    held = [f"kept{k}" for k in range(len(names))]
+    docs = docs.toDF(*("text" if c == "text" else h for c, h in zip(names, held, strict=True)))
+    keep = [h for c, h in zip(names, held, strict=True) if c != "text"]
     texts = staged_texts(docs, keep)
     joined = texts.join(repeated_spans(texts, width), "_rid", "left")
-    columns, names = docs.schema, docs.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = zstandard.ZstdDecompressor()
@@ -247,7 +256,7 @@ def without_repeats(docs: DataFrame, width: int = WIDTH) -> DataFrame:
                 out.append(np.frombuffer(data, np.uint8)[~covered(len(data), runs, width)].tobytes().decode("utf-8", "ignore") if runs else data.decode())
             made = {"text": pa.array(out, pa.string())}
             if "n_chars" in names:
-                made["n_chars"] = pa.array([len(x) for x in out], batch.schema.field("n_chars").type)
-            yield pa.RecordBatch.from_arrays([made.get(c, batch.column(c) if c != "text" else None) for c in names], names)
+                made["n_chars"] = pa.array([len(x) for x in out], batch.column(held[names.index("n_chars")]).type)
+            yield pa.RecordBatch.from_arrays([made[c] if c in made else batch.column(h) for c, h in zip(names, held, strict=True)], names)
 
     return map_arrow(joined.select(*keep, "_z", "runs"), run, columns)
