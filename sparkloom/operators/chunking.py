@@ -6,25 +6,26 @@ import pandas as pd
 from pyspark.sql import functions as F
 
 
+def boundary(text: str, start: int, end: int, marks: tuple[str, ...], least: int) -> int:
+    """Where a chunk from start ends: before the last mark past ``least``, trying the marks in order, or at end."""
+    places = (text.rfind(mark, least, end) for mark in marks)
+    return next((at for at in places if at > start), end)
+
+
 def cut(text: str, most: int, overlap: int, marks: tuple[str, ...], floor: float) -> list[str]:
-    """Chunks of at most ``most`` characters. A cut goes before the last mark that lies past ``floor`` of
-    the room, trying the marks in order; the next chunk begins ``overlap`` characters before the cut."""
-    out, start = [], 0
+    """Chunks of at most ``most`` characters; a text that fits is its own chunk, unchanged.
+
+    A cut goes before a mark past ``floor`` of the room; the next chunk begins ``overlap`` characters before it.
+    """
+    if len(text) <= most:
+        return [text] if text.strip() else []
+    spans, start = [], 0
     while start < len(text):
-        end = start + most
-        if end < len(text):
-            for mark in marks:
-                at = text.rfind(mark, start + int(most * floor), end)
-                if at > start:
-                    end = at
-                    break
-        piece = text[start:end].strip()
-        if piece:
-            out.append(piece)
-        if end >= len(text):
-            break
-        start = max(end - overlap, start + 1)
-    return out
+        whole = start + most >= len(text)
+        end = len(text) if whole else boundary(text, start, start + most, marks, start + int(most * floor))
+        spans.append((start, end))
+        start = len(text) if whole else max(end - overlap, start + 1)
+    return [piece for a, b in spans if (piece := text[a:b].strip())]
 
 
 KINDS = {"heading": (("\n#", "\n\n"), 0.55, True), "paragraph": (("\n\n",), 0.55, True), "newline": (("\n",), 0.6, False)}

@@ -1,7 +1,7 @@
 """Token batches for several ranks: the longest run of samples that fits, spread by longest first.
 
 The order of samples fixes the batches, so planning is sequential; it runs over (id, length) alone,
-in shards of consecutive samples that pack in parallel.
+in hashed shards that pack in parallel.
 """
 
 from __future__ import annotations
@@ -9,7 +9,7 @@ from __future__ import annotations
 import heapq
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
@@ -48,23 +48,37 @@ def batches(lengths: list[int], capacity: int, ranks: int):
         at += low
 
 
-def pack(rows: DataFrame, capacity: int, ranks: int, shard_rows: int = 100_000) -> DataFrame:
-    """shard, batch, rank, sample_id of the packed samples of rows (sample_id, length)."""
-    n = rows.count()
-    shards = max(1, -(-n // shard_rows))
-    dealt = rows.withColumn("shard", F.pmod(F.xxhash64("sample_id"), F.lit(shards)).cast("int"))
+PACKED = "shard int, batch long, rank int, sample_id long"
+
+
+def _pack_shards(dealt: DataFrame, capacity: int, ranks: int) -> DataFrame:
+    """Packed samples of each shard, and its tail as rows without a batch."""
 
     def run(own: pd.DataFrame) -> pd.DataFrame:
         own = own.sort_values("sample_id")
-        ids, out = own["sample_id"].tolist(), []
-        for number, (a, _, place) in enumerate(batches(own["length"].tolist(), capacity, ranks)):
-            out += [(int(own["shard"].iloc[0]), number, rank, ids[a + k], k) for k, rank in enumerate(place)]
-        return pd.DataFrame(out, columns=["shard", "batch", "rank", "sample_id", "k"]).drop(columns="k")
+        shard, ids = int(own["shard"].iloc[0]), own["sample_id"].tolist()
+        out, done = [], 0
+        for number, (a, end, place) in enumerate(batches(own["length"].tolist(), capacity, ranks)):
+            out += [(shard, number, rank, ids[a + k]) for k, rank in enumerate(place)]
+            done = end
+        out += [(shard, None, None, x) for x in ids[done:]]
+        return pd.DataFrame(out, columns=["shard", "batch", "rank", "sample_id"]).astype({"batch": "Int64", "rank": "Int32"})
 
-    return dealt.groupBy("shard").applyInPandas(run, "shard int, batch long, rank int, sample_id long")
+    return dealt.groupBy("shard").applyInPandas(run, PACKED)
 
 
-def lengths_with_ends(packed: DataFrame, lengths: DataFrame) -> DataFrame:
-    """Each packed sample with the running end of its sequence within its batch and rank."""
-    order = Window.partitionBy("shard", "batch", "rank").orderBy("sample_id").rowsBetween(Window.unboundedPreceding, 0)
-    return packed.join(lengths, "sample_id").withColumn("end", F.sum("length").over(order))
+def pack(rows: DataFrame, capacity: int, ranks: int, shard_rows: int = 100_000) -> DataFrame:
+    """shard, batch, rank, sample_id of the packed samples of rows (sample_id, length).
+
+    What a shard leaves over, fewer samples than ranks, goes to one more shard, numbered after the
+    others; only there are fewer samples than ranks dropped. Results are repeatable for a number of rows.
+    """
+    n = rows.count()
+    shards = max(1, -(-n // shard_rows))
+    dealt = rows.withColumn("shard", F.pmod(F.xxhash64("sample_id"), F.lit(shards)).cast("int"))
+    first = _pack_shards(dealt, capacity, ranks)
+    packed = first.filter(F.col("batch").isNotNull())
+    if shards == 1:
+        return packed
+    left = first.filter(F.col("batch").isNull()).select("sample_id").join(rows, "sample_id").withColumn("shard", F.lit(shards))
+    return packed.unionByName(_pack_shards(left, capacity, ranks).filter(F.col("batch").isNotNull()))

@@ -33,15 +33,15 @@ def normal(text):
     return F.regexp_replace(text, r"(?U)[\s\x1c-\x1f\u2460-\u2469]+", "")
 
 
-def anchors(text: str) -> np.ndarray:
-    """The least gram hash of each window of HEAD characters; two texts with a window in common share its one."""
+def anchors(text: str, width_of_window: int = HEAD) -> np.ndarray:
+    """The least gram hash of each window of some characters; two texts with a window in common share its one."""
     h = np.frombuffer(text.encode("utf-32-le", "replace"), "<u4").astype(np.uint64) + np.uint64(1)
     width = 1
     while width < GRAM:
         h = (h[:-width] * np.uint64(0x9E3779B97F4A7C15)) ^ (h[width:] * np.uint64(0xD6E8FEB86659FD93)) if len(h) > width else h[:0]
         h ^= h >> np.uint64(29)
         width *= 2
-    span = HEAD - GRAM + 1
+    span = width_of_window - GRAM + 1
     return np.lib.stride_tricks.sliding_window_view(h, span).min(1) if len(h) >= span else h[:0]
 
 
@@ -65,6 +65,44 @@ def held(whole: DataFrame, heads: DataFrame, whole_id: str, head_id: str) -> Dat
     return texts.filter(F.contains("norm", "head")).select(whole_id, head_id)
 
 
+def containing(docs: DataFrame, held_out: DataFrame) -> DataFrame:
+    """doc_id and item_id where the document holds the whole item, by an equi-join on anchors of two widths.
+
+    Items shorter than a gram have no anchor; they are compared with every document.
+    """
+    found = []
+    items = held_out.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").alias("item"))
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    for width, most in ((HEAD, None), (2 * GRAM, HEAD), (GRAM, 2 * GRAM)):
+        size = F.length("item")
+        own = items.filter((size >= width) if most is None else (size >= width) & (size < most))
+        if own.isEmpty():
+            continue
+
+        def keys(first: bool, width: int = width):
+            def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+                for batch in batches:
+                    ids, values = [], []
+                    for i, x in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                        values.append(np.unique(anchors(x[:width] if first else x, width)))
+                        ids.append(np.full(len(values[-1]), i))
+                    if ids:
+                        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(ids)), pa.array(np.concatenate(values).view(np.int64))], ["id", "anchor"])
+
+            return run
+
+        left = texts.filter("doc_id is not null and text is not null").mapInArrow(keys(False), "id long, anchor long").withColumnRenamed("id", "doc_id")
+        right = own.filter("item_id is not null").mapInArrow(keys(True), "id long, anchor long").withColumnRenamed("id", "item_id")
+        pairs = left.join(right, "anchor").select("doc_id", "item_id").distinct()
+        found.append(pairs.join(texts, "doc_id").join(own, "item_id").filter(F.contains("text", "item")).select("doc_id", "item_id"))
+    short = items.filter(F.length("item") < GRAM)
+    found.append(texts.join(short, F.contains("text", "item")).select("doc_id", "item_id"))
+    out = found[0]
+    for other in found[1:]:
+        out = out.unionByName(other)
+    return out
+
+
 def best_ratio(docs: DataFrame, held_out: DataFrame) -> DataFrame:
     """The best ratio of each document that passes the gates or the tests before them: doc_id, item_id, similarity.
 

@@ -10,7 +10,7 @@ from sparkloom.registry import load, query
 
 
 def _chunks(spark: SparkSession, sf_dir: str, kind: str) -> DataFrame:
-    docs = load(spark, sf_dir, "documents").select("doc_id", F.replace("text", F.lit("\n"), F.lit("\n\n")).alias("text"))
+    docs = load(spark, sf_dir, "documents").select("doc_id", "text")
     rows = docs.select("doc_id", F.posexplode(chunking.chunks(kind, 1200, 160)("text")).alias("chunk_index", "body"))
     return rows.select("doc_id", "chunk_index", F.length("body").alias("n"), F.md5("body").alias("h"))
 
@@ -32,6 +32,7 @@ def chunk_newline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("lpt_pack")
 def lpt_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Samples are at most as long as a rank's sequence: longer documents are taken as cut to it, as sample_policies does."""
     rows = load(spark, sf_dir, "documents").select(F.col("doc_id").alias("sample_id"), F.least(F.size(F.split("text", " ")), F.lit(2048)).alias("length"))
     return multipack.pack(rows, capacity=2048, ranks=4)
 
@@ -39,3 +40,8 @@ def lpt_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("decontaminate_ratio")
 def decontaminate_ratio(spark: SparkSession, sf_dir: str) -> DataFrame:
     return similar.best_ratio(load(spark, sf_dir, "documents"), load(spark, sf_dir, "benchmark"))
+
+
+@query("decontaminate_containment", "SELECT d.doc_id, b.item_id FROM documents d JOIN benchmark b ON instr(d.text, b.text) > 0")
+def decontaminate_containment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return similar.containing(load(spark, sf_dir, "documents"), load(spark, sf_dir, "benchmark"))

@@ -1,27 +1,13 @@
 """Record builders, predicates, generators and scalar rules in one text for both dialects.
 
-A word led by @ names a function that the dialects call differently; see _WORDS.
+A word led by @ names a function that the dialects call differently; see dialects.py.
 """
 
 from __future__ import annotations
 
-import re
-
+from sparkloom.plans.dialects import both
 from sparkloom.plans.sqlplans import plan
 
-#: Spark's and DuckDB's word for each.
-_WORDS = {
-    "like": ("regexp_like", "regexp_matches"), "each": ("explode", "unnest"), "len": ("size", "len"), "split": ("split", "string_split"),
-    "bytes": ("octet_length", "strlen"), "seq": ("sequence", "generate_series"), "all": ("", ", 'g'"),
-}
-
-
-def both(name: str, sql: str) -> None:
-    """Register a query whose text differs between the dialects by _WORDS alone."""
-    spark, duck = (re.sub(r"@(\w+)", lambda m: _WORDS[m[1]][k], sql) for k in (0, 1))
-    plan(name, spark, duck)
-
-
 # aggregates
 both("chars_per_token", "SELECT lang, round(sum(length(text)) / CAST(sum(@len(@split(text, ' '))) AS DOUBLE), 9) AS chars_per_token FROM {documents} GROUP BY lang")
 both(

@@ -35,16 +35,6 @@ plan("doc_exact_dedup_first", "SELECT doc_id, source FROM (SELECT *, row_number(
 plan("doc_dedup_last_wins", "SELECT md5(text) AS k, max(doc_id) AS doc_id FROM {documents} GROUP BY md5(text)")
 plan("doc_duplicate_count", "SELECT count(*) - count(DISTINCT md5(text)) AS duplicates FROM {documents}")
 plan("doc_source_caps", "SELECT doc_id, source FROM (SELECT doc_id, source, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS r FROM {documents}) t WHERE r <= 20")
-plan(
-    "doc_byte_budget_prefix",
-    "SELECT doc_id, cum FROM (SELECT doc_id, source, sum(octet_length(text) + 1) OVER (PARTITION BY source ORDER BY doc_id ROWS UNBOUNDED PRECEDING) AS cum FROM {documents}) t WHERE cum <= 50000",
-    "SELECT doc_id, cum::BIGINT AS cum FROM (SELECT doc_id, source, sum(strlen(text) + 1) OVER (PARTITION BY source ORDER BY doc_id ROWS UNBOUNDED PRECEDING) AS cum FROM documents) t WHERE cum <= 50000",
-)
-plan(
-    "doc_token_budget_prefix",
-    "SELECT doc_id, n FROM (SELECT doc_id, n, sum(n) OVER (PARTITION BY source ORDER BY doc_id ROWS UNBOUNDED PRECEDING) AS cum FROM (SELECT doc_id, source, size(split(text, ' ')) AS n FROM {documents}) a) t WHERE cum - n < 5000",
-    "SELECT doc_id, n::INT AS n FROM (SELECT doc_id, n, sum(n) OVER (PARTITION BY source ORDER BY doc_id ROWS UNBOUNDED PRECEDING) AS cum FROM (SELECT doc_id, source, len(string_split(text, ' ')) AS n FROM documents) a) t WHERE cum - n < 5000",
-)
 plan("doc_clean_whitespace", r"SELECT doc_id, md5(regexp_replace(regexp_replace(replace(text, '\r\n', '\n'), '[ \t]+\n', '\n'), '\n\n\n\n+', '\n\n\n')) AS h FROM {documents}", "SELECT doc_id, md5(regexp_replace(regexp_replace(replace(text, chr(13) || chr(10), chr(10)), '[ \\t]+\\n', chr(10), 'g'), '\\n\\n\\n\\n+', chr(10) || chr(10) || chr(10), 'g')) AS h FROM documents")
 plan("doc_title_fallback", "SELECT doc_id, coalesce(nullif(split_part(text, chr(10), 1), ''), concat('doc-', doc_id)) AS title FROM {documents}", "SELECT doc_id, coalesce(nullif(split_part(text, chr(10), 1), ''), 'doc-' || doc_id) AS title FROM documents")
 plan("doc_first_sentences", "SELECT doc_id, CASE WHEN p > 120 THEN substring(head, 1, p) ELSE head END AS summary FROM (SELECT doc_id, head, CASE WHEN instr(head, '.') = 0 THEN 0 ELSE 301 - instr(reverse(rpad(head, 300, ' ')), '.') END AS p FROM (SELECT doc_id, substring(replace(text, chr(10), ' '), 1, 300) AS head FROM {documents}) a) b")
@@ -56,9 +46,7 @@ plan("union_mix", "SELECT 0 AS ord, doc_id AS id, md5(text) AS h FROM {documents
 plan("source_share", "SELECT source, round(sum(n_chars) / sum(sum(n_chars)) OVER (), 9) AS share FROM {documents} GROUP BY source")
 plan("anti_join_exclude", "SELECT d.doc_id FROM {documents} d LEFT ANTI JOIN {labels} l ON d.doc_id = l.doc_id", "SELECT d.doc_id FROM documents d ANTI JOIN labels l ON d.doc_id = l.doc_id")
 plan("semi_join_wanted", "SELECT d.doc_id, d.source FROM {documents} d LEFT SEMI JOIN {labels} l ON d.doc_id = l.doc_id AND l.quality = 1", "SELECT d.doc_id, d.source FROM documents d SEMI JOIN (SELECT * FROM labels WHERE quality = 1) l ON d.doc_id = l.doc_id")
-plan("epoch_permutation", "SELECT e.epoch, row_number() OVER (PARTITION BY e.epoch, d.source ORDER BY md5(concat('7|', e.epoch, '|', d.doc_id)), d.doc_id) - 1 AS pos, d.source, d.doc_id FROM {documents} d CROSS JOIN (SELECT 0 AS epoch UNION ALL SELECT 1) e")
 plan("hash_sample_sorted", "SELECT doc_id FROM (SELECT doc_id FROM {documents} ORDER BY md5(concat('s|', doc_id)), doc_id LIMIT 50) t ORDER BY doc_id")
-plan("quota_per_group", "SELECT lang, doc_id FROM (SELECT lang, doc_id, row_number() OVER (PARTITION BY lang ORDER BY md5(concat('q', doc_id)), doc_id) AS r FROM {documents}) t WHERE r <= CASE lang WHEN 'en' THEN 30 WHEN 'de' THEN 20 ELSE 10 END")
 plan("weighted_replication", "SELECT doc_id, explode(sequence(1, 1 + quality + 2 * toxic)) AS copy FROM {labels}", "SELECT doc_id, unnest(range(1, 2 + quality + 2 * toxic))::INT AS copy FROM labels")
 plan("keep_latest_k", "SELECT user_id, event_id FROM (SELECT user_id, event_id, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS r FROM {events}) t WHERE r <= 3")
 plan("repeat_epoch_sampling", "SELECT g.d, t.doc_id FROM (SELECT doc_id, p.pass, row_number() OVER (PARTITION BY p.pass ORDER BY md5(concat(p.pass, '|', doc_id)), doc_id) - 1 AS r, count(*) OVER (PARTITION BY p.pass) AS n FROM (SELECT doc_id FROM {labels} WHERE toxic = 1) x CROSS JOIN (SELECT 0 AS pass UNION ALL SELECT 1 UNION ALL SELECT 2) p) t JOIN (SELECT 0 AS d) g ON t.r >= g.d WHERE t.pass * t.n + t.r < 2 * t.n + 5")
@@ -76,9 +64,7 @@ def sample_plan(name: str, head: str) -> None:
 sample_plan("prepare_samples", "SELECT doc_id, CAST(3 + i + r + 1 AS BIGINT) AS sample_len, CASE WHEN 3 + i + r + 1 <= 1024 THEN 'kept' WHEN 1024 - (r + 1) - 3 > 0 THEN 'truncated' ELSE 'dropped' END AS fate FROM @S s")
 sample_plan("prepare_drop_counters", "SELECT count(*) AS total, CAST(sum(CASE WHEN 4 + i + r > 1024 THEN 1 ELSE 0 END) AS BIGINT) AS over, CAST(sum(CASE WHEN 1024 - r - 4 <= 0 THEN 1 ELSE 0 END) AS BIGINT) AS no_room, CAST(max(4 + i + r) AS BIGINT) AS longest FROM @S s")
 sample_plan("context_fit_filter", "SELECT doc_id, CAST(least(r, 512 - least(i, 512)) AS BIGINT) AS kept FROM @S s WHERE r >= 4 AND 512 - least(i, 512) > 0")
-sample_plan("prepare_offsets", "SELECT source, doc_id, CAST(sum(4 + i + r) OVER (PARTITION BY source ORDER BY doc_id ROWS UNBOUNDED PRECEDING) - (4 + i + r) AS BIGINT) AS inst_start FROM @S s")
 sample_plan("merge_offsets", "SELECT source, CAST(sum(t) OVER (ORDER BY source) - t AS BIGINT) AS base FROM (SELECT source, sum(4 + i + r) AS t FROM @S s GROUP BY source) g")
-sample_plan("sample_budget", "SELECT source, doc_id FROM (SELECT source, doc_id, n, sum(n) OVER (PARTITION BY source ORDER BY md5(concat('b', doc_id)), doc_id ROWS UNBOUNDED PRECEDING) AS cum FROM (SELECT source, doc_id, i + r AS n FROM @S s WHERE r >= 8) a) b WHERE cum - n < 4000")
 plan("cu_seqlens", "SELECT conv_id, turn, CAST(sum(length(text)) OVER (PARTITION BY conv_id ORDER BY turn ROWS UNBOUNDED PRECEDING) AS BIGINT) AS ends, CAST(sum(length(text)) OVER (PARTITION BY conv_id ORDER BY turn ROWS UNBOUNDED PRECEDING) - length(text) AS BIGINT) AS starts FROM {conversations}")
 
 # conversations
@@ -104,10 +90,8 @@ plan("qa_count_grid", "SELECT n.n_name, s.st, coalesce(a.c, 0) AS c, coalesce(a.
 plan("required_files_complete", "SELECT o_custkey, size(array_except(array('F', 'O', 'P'), collect_set(o_orderstatus))) = 0 AS complete FROM {orders} GROUP BY o_custkey", "SELECT o_custkey, count(DISTINCT o_orderstatus) FILTER (WHERE o_orderstatus IN ('F', 'O', 'P')) = 3 AS complete FROM orders GROUP BY o_custkey")
 plan("asof_version", "SELECT o_custkey, max_by(o_orderkey, struct(o_orderdate, o_orderkey)) AS version FROM {orders} WHERE o_orderdate <= timestamp '1997-06-30 00:00:00' GROUP BY o_custkey", "SELECT o_custkey, arg_max(o_orderkey, (o_orderdate, o_orderkey)) AS version FROM orders WHERE o_orderdate <= timestamp '1997-06-30 00:00:00' GROUP BY o_custkey")
 plan("prefix_config_first_match", "SELECT p_partkey, coalesce(cap, 7) AS cap FROM (SELECT p.p_partkey, c.cap, row_number() OVER (PARTITION BY p.p_partkey ORDER BY c.ord NULLS LAST) AS r FROM {part} p LEFT JOIN (SELECT 1 AS ord, 'a' AS pre, 10 AS cap UNION ALL SELECT 2, 'al', 20 UNION ALL SELECT 3, 'b', 30) c ON substring(p.p_name, 1, length(c.pre)) = c.pre) t WHERE r = 1")
-plan("distractor_sampling", "SELECT doc_id, other FROM (SELECT a.doc_id, b.doc_id AS other, row_number() OVER (PARTITION BY a.doc_id ORDER BY md5(concat(a.doc_id, '|', b.doc_id)), b.doc_id) AS r FROM {labels} a JOIN (SELECT doc_id, toxic, quality FROM (SELECT *, row_number() OVER (PARTITION BY toxic, quality ORDER BY md5(concat('d', doc_id)), doc_id) AS p FROM {labels}) z WHERE p <= 40) b ON a.toxic = b.toxic AND a.quality = b.quality AND a.doc_id <> b.doc_id) t WHERE r <= 4")
 
 # overlap with held-out texts and retrieval
-plan("decontaminate_containment", "SELECT d.doc_id, b.item_id FROM {documents} d JOIN {benchmark} b ON instr(d.text, b.text) > 0")
 _TOK = "SELECT DISTINCT {0} AS id, w FROM (SELECT {0}, explode(split(lower(text), '[^a-z]+')) AS w FROM {{{1}}}) x WHERE length(w) >= 6"
 _DTOK = "SELECT DISTINCT {0} AS id, w FROM (SELECT {0}, unnest(regexp_split_to_array(lower(text), '[^a-z]+')) AS w FROM {1}) x WHERE length(w) >= 6"
 _OVER = "SELECT m.doc_id, m.item_id, round(CAST(m.n AS DOUBLE) / least(a.n, b.n), 9) AS overlap FROM (SELECT d.id AS doc_id, q.id AS item_id, count(*) AS n FROM (@D) d JOIN (@B) q ON d.w = q.w GROUP BY d.id, q.id) m JOIN (SELECT id, count(*) AS n FROM (@D) x GROUP BY id) a ON a.id = m.doc_id JOIN (SELECT id, count(*) AS n FROM (@B) y GROUP BY id) b ON b.id = m.item_id WHERE CAST(m.n AS DOUBLE) / least(a.n, b.n) >= 0.5"

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from sparkloom.plans import conversations, custom, records, sqlplans  # noqa: F401
+from sparkloom.plans import budgets, conversations, custom, frames, questions, records, rules, sqlplans  # noqa: F401
 from sparkloom.registry import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -23,6 +23,11 @@ def read_csv(spark: SparkSession, path: str) -> DataFrame:
     return rows.withColumnsRenamed({c: c.lstrip("﻿") for c in rows.columns})
 
 
+def with_whole_number(rows: DataFrame, column: str, low: int, high: int) -> DataFrame:
+    """Rows whose text column is a whole number in a range; others are left out."""
+    return rows.withColumn(column, F.expr(f"try_cast(trim(`{column}`) AS INT)")).filter(F.col(column).between(low, high))
+
+
 def read_pages_xml(spark: SparkSession, path: str) -> DataFrame:
     """Pages of a wiki dump in the main namespace that have a title and text."""
     schema = "title string, ns string, redirect struct<_title string>, revision struct<text struct<_VALUE string>>"
@@ -37,20 +42,7 @@ def read_markdown(spark: SparkSession, root: str) -> DataFrame:
     return rows.select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("text")).filter(~F.col("path").endswith("/README.md"))
 
 
-def capped_rows(rows: DataFrame, cap: int, order: str) -> DataFrame:
-    """At most ``cap`` rows of each file, in the order of a column."""
-    own = Window.partitionBy("file").orderBy(order)
-    return rows.withColumn("_r", F.row_number().over(own)).filter(F.col("_r") <= cap).drop("_r")
-
-
-def write_jsonl(rows: DataFrame, path: str) -> DataFrame:
-    """Write JSON lines and return rows and bytes by source, as read from the lines written."""
-    rows.write.json(path)
-    lines = rows.sparkSession.read.text(path)
-    source = F.get_json_object("value", "$.source")
-    return lines.groupBy(source.alias("source")).agg(F.count("*").alias("rows"), F.sum(F.octet_length("value") + 1).alias("bytes"))
-
-
 def write_csv(rows: DataFrame, path: str, columns: list[str]) -> None:
-    """Only the named columns, with a header."""
-    rows.select(*columns).write.csv(path, header=True, escape='"')
+    """Only the named columns, with a header and a byte order mark before it."""
+    named = rows.select(*(F.col(c).alias("\ufeff" + c if k == 0 else c) for k, c in enumerate(columns)))
+    named.write.csv(path, header=True, escape='"')

@@ -34,8 +34,9 @@ def test_markdown_and_sink(spark, tmp_path):
     (tmp_path / "d" / "x.md").write_text("# T\nbody")
     (tmp_path / "d" / "README.md").write_text("no")
     assert [r.text for r in files.read_markdown(spark, str(tmp_path / "d")).collect()] == ["# T\nbody"]
-    stats = files.write_jsonl(spark.createDataFrame([("s", "a"), ("s", "b")], "source string, x string"), str(tmp_path / "out")).collect()
-    assert [(r.source, r.rows, r.bytes) for r in stats] == [("s", 2, 2 * len('{"source":"s","x":"a"}\n'))]
+    files.write_csv(spark.createDataFrame([(1, "a", "b")], "k int, x string, extra string").coalesce(1), str(tmp_path / "csv"), ["k", "x"])
+    assert next((tmp_path / "csv").glob("part-*.csv")).read_bytes().startswith(b"\xef\xbb\xbfk,x\n")
+    assert [tuple(r) for r in files.with_whole_number(files.read_csv(spark, str(tmp_path / "csv")), "k", 1, 5).collect()] == [(1, "a")]
 
 
 def test_stream_takes_each_file_once(spark, tmp_path):
