@@ -17,7 +17,8 @@ Texts whose bands still span classes after SPLIT rounds meet by the shingles of
 in one order of all shingles, the rarest first, two texts within the similarity share one of those that
 make up the first 1 - SIMILARITY of a text's weight. Pivots grow in number every round up to PIVOTS,
 rounds go on until every band has ended, and no pair of a band goes unverified unless its texts are of
-one class, too unlike in weight, or without a common prefix shingle.
+one class, without a common prefix shingle, or bound to be unlike by their weights: two texts have at
+most the weight in common that either shares with any other row.
 
 Defined cases: a null text counts as empty; texts without words have no candidates; equal texts are
 of one class, empty ones too; repeated rows and null ids keep their rows; the class id is the least
@@ -47,11 +48,11 @@ HASHES = BANDS * ROWS
 #: Bytes of text in a block, and about how many bytes of text a shard of shingles stands for.
 BLOCK_BYTES, SHARD_BYTES = 2_000_000, 24_000_000
 #: The round in which bands that still span classes are split by prefix shingles.
-SPLIT = 2
+SPLIT = 1
 #: Pivots of a band in one round: a power of GROWTH, at most PIVOTS; what they don't settle goes to further rounds.
-GROWTH, PIVOTS = 8, 1024
-#: Pairs with one pivot that a task verifies.
-DEAL = 1024
+GROWTH, PIVOTS = 32, 1024
+#: Pivots that a task holds, and texts that it compares with them.
+BLOCK_PIVOTS, DEAL = 64, 4096
 #: Steps of a weight of one: weights are whole numbers of them, so that sums are exact.
 STEPS = 64
 _LOW = np.int64(-(1 << 63))
@@ -227,13 +228,14 @@ def _short(x: np.ndarray, coder: zstandard.ZstdCompressor) -> bytes:
     return coder.compress(x.tobytes()) if len(x) else b""
 
 
-SIGNED = "doc_id long, tid binary, bands array<long>, total long, h binary, q binary, t binary"
+SIGNED = "doc_id long, tid binary, bands array<long>, total long, shared long, h binary, q binary, t binary"
 
 
 def signatures(told: DataFrame, n_rows: int) -> DataFrame:
-    """Of each row: doc_id, tid, band keys (none for texts without words), total weight, and its payload.
+    """Of each row: doc_id, tid, band keys, total weight, weight of shingles that other rows have, and its payload.
 
-    The payload is the shingles (32 bits each, rising), their inverse document frequencies and counts.
+    Texts have no band keys that can have no partner: those without words, and those of which less than
+    SIMILARITY of the weight is shared, as the similarity is at most that share. The payload is the shingles (32 bits each, rising), their inverse document frequencies and counts.
     ``told`` holds the blocks with their frequencies.
     """
 
@@ -250,6 +252,8 @@ def signatures(told: DataFrame, n_rows: int) -> DataFrame:
                 ends = np.cumsum(sizes)
                 starts = ends - sizes
                 total = np.add.reduceat(np.append(w, 0), starts) * (sizes > 0)
+                shared = np.add.reduceat(np.append(w * (q < 2 * STEPS), 0), starts) * (sizes > 0)
+                paired = (shared >= SIMILARITY * total) & (sizes > 0)
                 short, q2, t4 = (h >> np.uint64(32)).astype("<u4"), q.astype("<u2"), times.astype("<u4")
                 first = 0
                 while first < len(ids):  # some 50,000 shingles at a time stay in the processor's caches
@@ -264,13 +268,14 @@ def signatures(told: DataFrame, n_rows: int) -> DataFrame:
                         [
                             pa.array(ids[first:last], pa.int64()),
                             pa.array(tids[first:last], pa.binary()),
-                            pa.array([k.tolist() if y > x else [] for k, (x, y) in zip(keys.view(np.int64), cuts, strict=True)], pa.list_(pa.int64())),
+                            pa.array([k.tolist() if some else [] for k, some in zip(keys.view(np.int64), paired[first:last].tolist(), strict=True)], pa.list_(pa.int64())),
                             pa.array(total[first:last], pa.int64()),
+                            pa.array(shared[first:last], pa.int64()),
                             pa.array([short[x:y].tobytes() for x, y in cuts], pa.binary()),
                             pa.array([_short(q2[x:y], coder) for x, y in cuts], pa.binary()),
                             pa.array([_short(t4[x:y], coder) for x, y in cuts], pa.binary()),
                         ],
-                        ["doc_id", "tid", "bands", "total", "h", "q", "t"],
+                        ["doc_id", "tid", "bands", "total", "shared", "h", "q", "t"],
                     )
                     first = last
 
@@ -301,29 +306,44 @@ def similarity(a: np.ndarray, x: np.ndarray, b: np.ndarray, y: np.ndarray) -> fl
     return both / (int(x.sum()) + int(y.sum()) - both)
 
 
-def verify(pairs: DataFrame, loads: DataFrame) -> DataFrame:
-    """sim of each pair (a, b). A pivot a with many pairs is dealt over tasks, each of which gets it once."""
-    met = pairs.groupBy("a").agg(F.count("*").alias("pairs"))
-    deals = stage(met.withColumn("deals", F.ceil(F.col("pairs") / DEAL).cast("int")), "pair-deals")
-    dealt = join_groups(pairs, deals, ["a"], "pairs", max(1, pairs.count())).select("a", F.pmod(F.xxhash64("b"), F.col("deals")).cast("int").alias("deal"), "b")
-    left = deals.join(loads.withColumnRenamed("uid", "a"), "a").select("a", F.explode(F.sequence(F.lit(0), F.col("deals") - 1)).alias("deal"), F.lit(_LOW.item()).alias("b"), "h", "q", "t")
-    right = dealt.join(loads.withColumnRenamed("uid", "b"), "b").select("a", "deal", "b", "h", "q", "t")
-    rows = left.unionByName(right).repartition("a", "deal").sortWithinPartitions("a", "deal", "b")
+def verify(pairs: DataFrame, homes: DataFrame, loads: DataFrame) -> DataFrame:
+    """sim of each pair (pivot a, b), from pairs and the pivots' homes (a, home).
+
+    The pivots of a home, a band that they were drawn from, stand together in blocks of BLOCK_PIVOTS, so that
+    a text that is compared with many of them is sent once a block. A block with many texts is dealt over
+    tasks, each of which gets its pivots once.
+    """
+    counts = homes.groupBy("home").agg(F.ceil(F.count("*") / BLOCK_PIVOTS).cast("int").alias("blocks"))
+    placed = homes.join(counts, "home").select("a", "home", F.pmod(F.xxhash64("a"), F.col("blocks")).cast("int").alias("block"))
+    placed = stage(placed.join(pairs.groupBy("a").agg(F.count("*").alias("n")), "a"), "pivot-blocks")
+    own = join_groups(pairs, placed, ["a"], "n", max(1, pairs.count()))
+    asked = stage(own.groupBy("home", "block", "b").agg(F.collect_list("a").alias("pivots")), "pivot-texts")
+    sizes = stage(asked.groupBy("home", "block").agg(F.count("*").alias("n")).withColumn("deals", F.ceil(F.col("n") / DEAL).cast("int")), "block-sizes")
+    dealt = join_groups(asked, sizes, ["home", "block"], "n", max(1, asked.count()))
+    right = dealt.withColumn("deal", F.pmod(F.xxhash64("b"), F.col("deals")).cast("int")).join(loads.withColumnRenamed("uid", "b"), "b")
+    left = placed.drop("n").join(sizes, ["home", "block"]).withColumn("deal", F.explode(F.sequence(F.lit(0), F.col("deals") - 1))).join(loads.withColumnRenamed("uid", "a"), "a")
+    columns = ["home", "block", "deal", "b", "pivots", "h", "q", "t"]
+    first = left.withColumn("b", F.lit(None).cast("long")).withColumn("pivots", F.array("a")).select(*columns)
+    rows = first.unionByName(right.select(*columns)).repartition("home", "block", "deal").sortWithinPartitions("home", "block", "deal", F.col("b").asc_nulls_first())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pivot: tuple = ()
+        now, held = None, {}
         for batch in batches:
             out = []
-            for a, b, h, q, t in zip(*(batch.column(k).to_pylist() for k in (0, 2, 3, 4, 5)), strict=True):
+            for home, block, deal, b, pivots, h, q, t in zip(*(batch.column(k).to_pylist() for k in range(8)), strict=True):
+                if (home, block, deal) != now:
+                    now, held = (home, block, deal), {}
                 names, _, weights = shingle_weights(h, q, t)
-                if b == _LOW:
-                    pivot = (names, weights)
+                if b is None:
+                    held[pivots[0]] = (names, weights)
                 else:
-                    out.append((a, b, similarity(*pivot, names, weights)))
+                    out += [(a, b, similarity(names, weights, *held[a])) for a in pivots]
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), (pa.int64(), pa.int64(), pa.float64()), strict=True)], ["a", "b", "sim"])
 
-    return map_arrow(rows, run, "a long, b long, sim double")
+    out = stage(map_arrow(rows, run, "a long, b long, sim double"), "band-sims")
+    discard(placed, asked, sizes)
+    return out
 
 
 def prefix(names: np.ndarray, idf: np.ndarray, weights: np.ndarray, least: float) -> np.ndarray:
@@ -334,12 +354,12 @@ def prefix(names: np.ndarray, idf: np.ndarray, weights: np.ndarray, least: float
 
 
 def split(active: DataFrame, loads: DataFrame, least: float = SIMILARITY) -> DataFrame:
-    """Bands (key, uid, total, root) of one prefix shingle each; texts of a band that are linked share one."""
+    """Bands (key, uid, total, shared, root) of one prefix shingle each; texts of a band that are linked share one."""
     single = 2 * STEPS  # the inverse document frequency of one row
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for uid, total, root, h, q, t in zip(*(batch.column(k).to_pylist() for k in range(6)), strict=True):
+            for uid, total, shared, root, h, q, t in zip(*(batch.column(k).to_pylist() for k in range(7)), strict=True):
                 names, idf, weights = shingle_weights(h, q, t)
                 at = prefix(names, idf, weights, least)
                 at = at[idf[at] < single]  # no other text has those of one row
@@ -348,10 +368,10 @@ def split(active: DataFrame, loads: DataFrame, least: float = SIMILARITY) -> Dat
                 own = names[at].astype(np.uint64) | (idf[at].astype(np.uint64) << np.uint64(32))
                 parts = np.unique(mix64(own))
                 n = len(parts)
-                yield pa.RecordBatch.from_arrays([pa.array(parts.view(np.int64)), pa.array(np.full(n, uid)), pa.array(np.full(n, total)), pa.array(np.full(n, root))], ["key", "uid", "total", "root"])
+                yield pa.RecordBatch.from_arrays([pa.array(parts.view(np.int64)), *(pa.array(np.full(n, x)) for x in (uid, total, shared, root))], ["key", "uid", "total", "shared", "root"])
 
-    texts = active.select("uid", "total", "root").distinct()
-    return map_arrow(texts.join(loads, "uid").select("uid", "total", "root", "h", "q", "t"), run, "key long, uid long, total long, root long")
+    texts = active.select("uid", "total", "shared", "root").distinct()
+    return map_arrow(texts.join(loads, "uid").select("uid", "total", "shared", "root", "h", "q", "t"), run, "key long, uid long, total long, shared long, root long")
 
 
 def spanning(active: DataFrame) -> DataFrame:
@@ -364,7 +384,7 @@ def spanning(active: DataFrame) -> DataFrame:
 
 
 def links(bands: DataFrame, loads: DataFrame, least: float = SIMILARITY, split_at: int = SPLIT) -> DataFrame:
-    """node and root of all texts that are linked within a band, from bands (key, uid, total)."""
+    """node and root of all texts that are linked within a band, from bands (key, uid, total, shared)."""
     active = spanning(bands.withColumn("root", F.col("uid")))
     tested = roots = None
     for turn in itertools.count():
@@ -377,24 +397,27 @@ def links(bands: DataFrame, loads: DataFrame, least: float = SIMILARITY, split_a
             discard(parts)
         # one pivot at first, the least of a band, as it is that of many bands; then more, single texts first
         if turn == 0:
-            pivots = active.groupBy("key").agg(F.first("n").alias("n"), F.min(F.struct("uid", "total", "root")).alias("p"))
+            pivots = active.groupBy("key").agg(F.first("n").alias("n"), F.min(F.struct("uid", "total", "shared", "root")).alias("p"))
             pivots = pivots.select("key", "n", F.array("p").alias("pivots"))
         else:
             slot = F.pmod(F.xxhash64("uid", "key", F.lit(turn)), F.lit(min(GROWTH**turn, PIVOTS)))
             single = F.lit(False) if turn < split_at else F.col("root") != F.col("uid")
-            pivots = active.groupBy("key", slot.alias("slot")).agg(F.first("n").alias("n"), F.min(F.struct(single.alias("joined"), "uid", "total", "root")).alias("p"))
-            pivots = pivots.groupBy("key").agg(F.first("n").alias("n"), F.collect_list(F.struct("p.uid", "p.total", "p.root")).alias("pivots"))
+            pivots = active.groupBy("key", slot.alias("slot")).agg(F.first("n").alias("n"), F.min(F.struct(single.alias("joined"), "uid", "total", "shared", "root")).alias("p"))
+            pivots = pivots.groupBy("key").agg(F.first("n").alias("n"), F.collect_list(F.struct("p.uid", "p.total", "p.shared", "p.root")).alias("pivots"))
         pivots = stage(pivots, "band-pivots")
         met = join_groups(active.drop("n"), pivots, ["key"], "n", max(1, active.count()))
-        unlike = f"least(total, p.total) < greatest(total, p.total) * {least - 1e-9}"
-        met = met.select("uid", F.explode(F.expr(f"transform(filter(pivots, p -> p.root <> root and p.uid <> uid and not {unlike}), p -> p.uid)")).alias("pivot"))
+        # two texts have at most what each shares with others in common, and neither can be much heavier
+        most = "least(shared, p.shared, total, p.total)"
+        near = f"p -> p.root <> root and p.uid <> uid and {most} >= {least - 1e-9} * (total + p.total - {most})"
+        met = met.select("uid", F.explode(F.expr(f"transform(filter(pivots, {near}), p -> p.uid)")).alias("pivot"))
         pairs = met.select(F.col("pivot").alias("a"), F.col("uid").alias("b")).distinct()
         if tested is not None:
             done = tested.select("a", "b").unionByName(tested.select(F.col("b").alias("a"), F.col("a").alias("b")))
             pairs = pairs.join(done, ["a", "b"], "left_anti")
         pairs = stage(pairs, "band-pairs")
         if not pairs.isEmpty():
-            sims = stage(verify(pairs, loads), "band-sims")
+            homes = pivots.select("key", F.explode("pivots.uid").alias("a")).groupBy("a").agg(F.min("key").alias("home"))
+            sims = verify(pairs, homes, loads)
             edges = sims.filter(F.col("sim") >= least).select(F.col("a").alias("u"), F.col("b").alias("v"))
             if roots is not None:
                 edges = edges.unionByName(roots.select(F.col("node").alias("u"), F.col("root").alias("v")))
@@ -422,12 +445,12 @@ def classes(docs: DataFrame) -> DataFrame:
     signed = stage(signatures(blocks.join(told, "block_id", "left"), n_rows), "near-signed")
     discard(blocks, told, shuffles=True)
     rows = stage(signed.select("doc_id", "tid"), "near-rows")
-    texts = signed.groupBy("tid").agg(F.count("*").alias("n"), F.min("doc_id").alias("first_id"), F.first("bands").alias("bands"), F.first("total").alias("total"))
+    texts = signed.groupBy("tid").agg(F.count("*").alias("n"), F.min("doc_id").alias("first_id"), F.first("bands").alias("bands"), F.first("total").alias("total"), F.first("shared").alias("shared"))
     texts = stage(texts.withColumn("uid", F.monotonically_increasing_id()), "near-texts")
     n_texts = max(1, texts.count())
-    keys = texts.select("uid", "total", F.posexplode("bands").alias("band", "value")).select(F.xxhash64("band", "value").alias("key"), "uid", "total")
+    keys = texts.select("uid", "total", "shared", F.posexplode("bands").alias("band", "value")).select(F.xxhash64("band", "value").alias("key"), "uid", "total", "shared")
     sizes = stage(keys.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1"), "near-sizes")
-    bands = stage(join_groups(keys, sizes, ["key"], "n", n_texts).select("key", "uid", "total"), "near-bands")
+    bands = stage(join_groups(keys, sizes, ["key"], "n", n_texts).select("key", "uid", "total", "shared"), "near-bands")
     # one row of each candidate text goes on: that of the least id, and one of those that repeat it
     low = F.lit(int(_LOW))
     wanted = bands.select("uid").distinct().join(texts.select("uid", "tid", F.coalesce("first_id", low).alias("at")), "uid")
