@@ -50,7 +50,9 @@ BLOCK_BYTES, SHARD_BYTES = 2_000_000, 24_000_000
 #: The round in which bands that still span classes are split by prefix shingles.
 SPLIT = 1
 #: Pivots of a band in one round: a power of GROWTH, at most PIVOTS; what they don't settle goes to further rounds.
-GROWTH, PIVOTS = 32, 1024
+GROWTH, PIVOTS = 32, 256
+#: Keys of a text, the least ones, that tell whether a pair met in another band.
+MET_KEYS = 8
 #: Pivots that a task holds, and texts that it compares with them.
 BLOCK_PIVOTS, DEAL = 64, 4096
 #: Steps of a weight of one: weights are whole numbers of them, so that sums are exact.
@@ -354,7 +356,7 @@ def prefix(names: np.ndarray, idf: np.ndarray, weights: np.ndarray, least: float
 
 
 def split(active: DataFrame, loads: DataFrame, least: float = SIMILARITY) -> DataFrame:
-    """Bands (key, uid, total, shared, root) of one prefix shingle each; texts of a band that are linked share one."""
+    """Bands (key, uid, total, shared, root, keys) of one prefix shingle each; texts of a band that are linked share one."""
     single = 2 * STEPS  # the inverse document frequency of one row
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -366,12 +368,12 @@ def split(active: DataFrame, loads: DataFrame, least: float = SIMILARITY) -> Dat
                 if not len(at):
                     continue
                 own = names[at].astype(np.uint64) | (idf[at].astype(np.uint64) << np.uint64(32))
-                parts = np.unique(mix64(own))
+                parts = np.unique(mix64(own).view(np.int64))
                 n = len(parts)
-                yield pa.RecordBatch.from_arrays([pa.array(parts.view(np.int64)), *(pa.array(np.full(n, x)) for x in (uid, total, shared, root))], ["key", "uid", "total", "shared", "root"])
+                yield pa.RecordBatch.from_arrays([pa.array(parts), *(pa.array(np.full(n, x)) for x in (uid, total, shared, root)), pa.array([parts[:MET_KEYS].tolist()] * n, pa.list_(pa.int64()))], ["key", "uid", "total", "shared", "root", "keys"])
 
     texts = active.select("uid", "total", "shared", "root").distinct()
-    return map_arrow(texts.join(loads, "uid").select("uid", "total", "shared", "root", "h", "q", "t"), run, "key long, uid long, total long, shared long, root long")
+    return map_arrow(texts.join(loads, "uid").select("uid", "total", "shared", "root", "h", "q", "t"), run, "key long, uid long, total long, shared long, root long, keys array<long>")
 
 
 def spanning(active: DataFrame) -> DataFrame:
@@ -384,7 +386,10 @@ def spanning(active: DataFrame) -> DataFrame:
 
 
 def links(bands: DataFrame, loads: DataFrame, least: float = SIMILARITY, split_at: int = SPLIT) -> DataFrame:
-    """node and root of all texts that are linked within a band, from bands (key, uid, total, shared)."""
+    """node and root of all texts that are linked within a band, from bands (key, uid, total, shared, keys).
+
+    ``keys`` holds the least keys of a text: a pair is made in the first band that it shares, as far as they tell.
+    """
     active = spanning(bands.withColumn("root", F.col("uid")))
     tested = roots = None
     for turn in itertools.count():
@@ -397,18 +402,20 @@ def links(bands: DataFrame, loads: DataFrame, least: float = SIMILARITY, split_a
             discard(parts)
         # one pivot at first, the least of a band, as it is that of many bands; then more, single texts first
         if turn == 0:
-            pivots = active.groupBy("key").agg(F.first("n").alias("n"), F.min(F.struct("uid", "total", "shared", "root")).alias("p"))
+            pivots = active.groupBy("key").agg(F.first("n").alias("n"), F.min(F.struct("uid", "total", "shared", "root", "keys")).alias("p"))
             pivots = pivots.select("key", "n", F.array("p").alias("pivots"))
         else:
             slot = F.pmod(F.xxhash64("uid", "key", F.lit(turn)), F.lit(min(GROWTH**turn, PIVOTS)))
             single = F.lit(False) if turn < split_at else F.col("root") != F.col("uid")
-            pivots = active.groupBy("key", slot.alias("slot")).agg(F.first("n").alias("n"), F.min(F.struct(single.alias("joined"), "uid", "total", "shared", "root")).alias("p"))
-            pivots = pivots.groupBy("key").agg(F.first("n").alias("n"), F.collect_list(F.struct("p.uid", "p.total", "p.shared", "p.root")).alias("pivots"))
+            pivots = active.groupBy("key", slot.alias("slot")).agg(F.first("n").alias("n"), F.min(F.struct(single.alias("joined"), "uid", "total", "shared", "root", "keys")).alias("p"))
+            pivots = pivots.groupBy("key").agg(F.first("n").alias("n"), F.collect_list(F.struct("p.uid", "p.total", "p.shared", "p.root", "p.keys")).alias("pivots"))
         pivots = stage(pivots, "band-pivots")
         met = join_groups(active.drop("n"), pivots, ["key"], "n", max(1, active.count()))
         # two texts have at most what each shares with others in common, and neither can be much heavier
         most = "least(shared, p.shared, total, p.total)"
-        near = f"p -> p.root <> root and p.uid <> uid and {most} >= {least - 1e-9} * (total + p.total - {most})"
+        # a pair is left to a lesser band that both are in: it is made there once one of them is a pivot, unless they are of one class by then
+        first = " and not exists(keys, x -> x < key and array_contains(p.keys, x))"
+        near = f"p -> p.root <> root and p.uid <> uid and {most} >= {least - 1e-9} * (total + p.total - {most}){first}"
         met = met.select("uid", F.explode(F.expr(f"transform(filter(pivots, {near}), p -> p.uid)")).alias("pivot"))
         pairs = met.select(F.col("pivot").alias("a"), F.col("uid").alias("b")).distinct()
         if tested is not None:
@@ -448,9 +455,11 @@ def classes(docs: DataFrame) -> DataFrame:
     texts = signed.groupBy("tid").agg(F.count("*").alias("n"), F.min("doc_id").alias("first_id"), F.first("bands").alias("bands"), F.first("total").alias("total"), F.first("shared").alias("shared"))
     texts = stage(texts.withColumn("uid", F.monotonically_increasing_id()), "near-texts")
     n_texts = max(1, texts.count())
-    keys = texts.select("uid", "total", "shared", F.posexplode("bands").alias("band", "value")).select(F.xxhash64("band", "value").alias("key"), "uid", "total", "shared")
+    least_keys = F.slice(F.array_sort(F.transform("bands", lambda v, i: F.xxhash64(i, v))), 1, MET_KEYS)
+    keys = texts.select("uid", "total", "shared", least_keys.alias("keys"), F.posexplode("bands").alias("band", "value"))
+    keys = keys.select(F.xxhash64("band", "value").alias("key"), "uid", "total", "shared", "keys")
     sizes = stage(keys.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1"), "near-sizes")
-    bands = stage(join_groups(keys, sizes, ["key"], "n", n_texts).select("key", "uid", "total", "shared"), "near-bands")
+    bands = stage(join_groups(keys, sizes, ["key"], "n", n_texts).select("key", "uid", "total", "shared", "keys"), "near-bands")
     # one row of each candidate text goes on: that of the least id, and one of those that repeat it
     low = F.lit(int(_LOW))
     wanted = bands.select("uid").distinct().join(texts.select("uid", "tid", F.coalesce("first_id", low).alias("at")), "uid")

@@ -40,13 +40,13 @@ def hold(spark, bands, **how):
         for own in sets:
             uid = int(near.mix64(np.array([len(loads) + 1], np.uint64)).view(np.int64)[0])
             loads[uid] = payload(own, 100)
-            keys.append((key, uid, 100 * len(own), 100 * len(own)))
+            keys.append((key, uid, 100 * len(own), 100 * len(own), [key]))
     want = []
     for key in range(len(bands)):
         own = [t for k, t, *_ in keys if k == key]
         want += [(a, b) for i, a in enumerate(own) for b in own[:i] if alike(loads[a], loads[b]) >= near.SIMILARITY]
     table = spark.createDataFrame([(uid, *x) for uid, x in loads.items()], "uid long, h binary, q binary, t binary")
-    found = near.links(spark.createDataFrame(keys, "key long, uid long, total long, shared long"), table, **how)
+    found = near.links(spark.createDataFrame(keys, "key long, uid long, total long, shared long, keys array<long>"), table, **how)
     got = [(r.node, r.root) for r in found.collect()]
     assert roots(loads, got) == roots(loads, want)
 
