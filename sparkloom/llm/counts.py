@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sparkloom.llm.common import delete_folder, discard, join_groups, map_arrow, shared_dir, stage
-from sparkloom.llm.units import encoder, sliced
+from sparkloom.llm.units import encoder, gathered
 
 LIMIT_TOKENS = 2048
 _CACHE = "digest binary, tokenizer string, n_tokens bigint"
@@ -53,10 +53,8 @@ def count_texts(texts: DataFrame, tokenizer_path: str) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = encoder(tokenizer_path)
-        for batch in batches:
-            values = [x or "" for x in batch.column(1).to_pylist()]
-            for a, b in sliced(values):
-                yield pa.RecordBatch.from_arrays([batch.column(0)[a:b], pa.array(coder.counts(values[a:b]), pa.int64())], ["digest", "n_tokens"])
+        for digests, values in gathered(batches):
+            yield pa.RecordBatch.from_arrays([pa.array(digests, pa.binary()), pa.array(coder.counts(values), pa.int64())], ["digest", "n_tokens"])
 
     return map_arrow(texts.select("digest", "text"), run, "digest binary, n_tokens long")
 

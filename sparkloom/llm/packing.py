@@ -18,8 +18,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sparkloom.llm.common import crc32_ids, map_arrow, stage, texts_of
-from sparkloom.llm.units import encoder, sliced
+from sparkloom.llm.common import crc32_ids, map_arrow, stage
+from sparkloom.llm.units import encoder, gathered
 
 SEQUENCE_TOKENS = 2048
 OPEN_BINS = 8192
@@ -40,23 +40,21 @@ def pieces(docs: DataFrame, tokenizer_path: str, most: int = SEQUENCE_TOKENS, en
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = encoder(tokenizer_path)
-        for batch in batches:
-            names, texts = batch.column(0).to_pylist(), texts_of(batch.column(1))
-            for a, b in sliced(texts):
-                ids, sizes = coder.encode(texts[a:b])
-                out: list[tuple] = []
-                at = 0
-                for name, size in zip(names[a:b], sizes.tolist(), strict=True):
-                    own = np.append(ids[at : at + size], np.uint32(end_id))
-                    at += size
-                    start = 0
-                    for k, length in enumerate(cut_lengths(len(own), most)):
-                        out.append((name, k, start, length, crc32_ids(own[start : start + length])))
-                        start += length
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(c, t) for c, t in zip(zip(*out, strict=True), (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64()), strict=True)],
-                    ["doc_id", "piece", "start", "length", "ids_crc32"],
-                )
+        for names, texts in gathered(batches):
+            ids, sizes = coder.encode(texts)
+            out: list[tuple] = []
+            at = 0
+            for name, size in zip(names, sizes.tolist(), strict=True):
+                own = np.append(ids[at : at + size], np.uint32(end_id))
+                at += size
+                start = 0
+                for k, length in enumerate(cut_lengths(len(own), most)):
+                    out.append((name, k, start, length, crc32_ids(own[start : start + length])))
+                    start += length
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(c, t) for c, t in zip(zip(*out, strict=True), (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64()), strict=True)],
+                ["doc_id", "piece", "start", "length", "ids_crc32"],
+            )
 
     return map_arrow(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), run, PIECES)
 

@@ -22,8 +22,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sparkloom.llm.common import crc32_ids, map_arrow, texts_of
-from sparkloom.llm.units import UnitEncoder, sliced
+from sparkloom.llm.common import crc32_ids, map_arrow
+from sparkloom.llm.units import UnitEncoder, gathered
 
 SPACE = "▁"
 UNIGRAM, BPE = 1, 2
@@ -191,19 +191,16 @@ def encode_documents(docs: DataFrame, model_path: str, verify: bool = True) -> D
             import sentencepiece
 
             other = sentencepiece.SentencePieceProcessor(model_file=model_path)
-        for batch in batches:
-            texts = texts_of(batch.column(1))
-            for a, b in sliced(texts):
-                own = texts[a:b]
-                ids, sizes = coder.encode(own)
-                decoded = coder.decode(ids, sizes)
-                ends = np.cumsum(sizes).tolist()
-                parts = [ids[e - s : e] for s, e in zip(sizes.tolist(), ends, strict=True)]
-                raw = [x.encode() for x in own]
-                same = [x.tolist() == y for x, y in zip(parts, other.encode(own, num_threads=1), strict=True)] if other else [None] * len(own)
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column(0)[a:b], pa.array([len(x) for x in raw], pa.int64()), pa.array(sizes, pa.int64()), pa.array([crc32_ids(x) for x in parts], pa.int64()), pa.array([hashlib.sha256(x).hexdigest() for x in decoded]), pa.array([x == y for x, y in zip(raw, decoded, strict=True)]), pa.array(same, pa.bool_())],
-                    ["doc_id", "n_bytes", "n_tokens", "ids_crc32", "decoded_sha256", "round_trip", "parity"],
-                )
+        for names, texts in gathered(batches):
+            ids, sizes = coder.encode(texts)
+            decoded = coder.decode(ids, sizes)
+            ends = np.cumsum(sizes).tolist()
+            parts = [ids[e - s : e] for s, e in zip(sizes.tolist(), ends, strict=True)]
+            raw = [x.encode() for x in texts]
+            same = [x.tolist() == y for x, y in zip(parts, other.encode(texts, num_threads=1), strict=True)] if other else [None] * len(texts)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(names, pa.int64()), pa.array([len(x) for x in raw], pa.int64()), pa.array(sizes, pa.int64()), pa.array([crc32_ids(x) for x in parts], pa.int64()), pa.array([hashlib.sha256(x).hexdigest() for x in decoded]), pa.array([x == y for x, y in zip(raw, decoded, strict=True)]), pa.array(same, pa.bool_())],
+                ["doc_id", "n_bytes", "n_tokens", "ids_crc32", "decoded_sha256", "round_trip", "parity"],
+            )
 
     return map_arrow(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), run, ENCODED)

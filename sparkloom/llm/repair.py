@@ -21,8 +21,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from sparkloom.llm.common import crc32_ids, map_arrow, shared_dir, texts_of
-from sparkloom.llm.units import encoder, sliced
+from sparkloom.llm.common import crc32_ids, map_arrow, shared_dir
+from sparkloom.llm.units import encoder, gathered
 
 MAGIC = b"RPG1"
 #: Null ids are stored as this value.
@@ -178,15 +178,13 @@ def write_corpus(docs: DataFrame, tokenizer_path: str, path: str, end_id: int =
             n, block = 0, block + 1
             return out
 
-        for batch in batches:
-            names, texts = batch.column(0).to_pylist(), texts_of(batch.column(1))
-            for a, b in sliced(texts):
-                ids, sizes = coder.encode(texts[a:b])
-                ids = np.insert(ids, np.cumsum(sizes), np.uint32(end_id))
-                held.append((names[a:b], ids, sizes + 1))
-                n += len(ids)
-                if n >= block_ids:
-                    yield flush()
+        for names, texts in gathered(batches):
+            ids, sizes = coder.encode(texts)
+            ids = np.insert(ids, np.cumsum(sizes), np.uint32(end_id))
+            held.append((names, ids, sizes + 1))
+            n += len(ids)
+            if n >= block_ids:
+                yield flush()
         if held:
             yield flush()
 

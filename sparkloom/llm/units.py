@@ -8,11 +8,14 @@ the ids of a text are those of its units in order. The memo is bounded.
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
+from sparkloom.llm.common import texts_of
+
 _ADJACENT = re.compile(r"\s\s")
 _CUT = re.compile(r"(?<=\S)(?= \S)")
 
@@ -40,29 +43,35 @@ class UnitEncoder:
         self.lengths = np.zeros(1 << 14, np.int64)
         self.units = 0
 
-    def _add(self, memo: dict[str, int], names: list[str], lead: str) -> None:
-        if not names:
-            return
-        units = [lead + x for x in names]
-        odd = [k for k, x in enumerate(units) if self.mark in x]
-        rows: list[tuple[str, np.ndarray]] = [(names[k], np.array(self.tokenizer.encode(units[k], add_special_tokens=False).ids, np.uint32)) for k in odd]
+    def _add(self, memo: dict[str, int], names: list[str], lead: str) -> np.ndarray:
+        """Encode new names and put them into the memo; their unit numbers."""
+        odd = [k for k, x in enumerate(names) if self.mark in lead + x]
         skip = set(odd)
-        plain = [k for k in range(len(units)) if k not in skip] if skip else range(len(units))
-        chunks = [plain[at : at + 64] for at in range(0, len(plain), 64)]
-        for at in range(0, len(chunks), 64):  # the library may spread a batch over threads
-            some = chunks[at : at + 64]
-            batch = self.tokenizer.encode_batch_fast([self.mark.join([units[k] for k in part]) for part in some], add_special_tokens=False)
-            for part, one in zip(some, batch, strict=True):
-                self._put(memo, [names[k] for k in part], np.array(one.ids, np.uint32), self.mark_id)
-        for name, ids in rows:
-            self._put(memo, [name], ids, -1)
-
-    def _put(self, memo: dict[str, int], names: list[str], ids: np.ndarray, mark: int) -> None:
-        """Store the ids of ``names``, which stand in ``ids`` with a mark between each two."""
-        cuts = np.flatnonzero(ids == mark) if mark >= 0 else np.zeros(0, np.int64)
-        starts = np.concatenate([[0], cuts + 1])
-        ends = np.concatenate([cuts, [len(ids)]])
-        assert len(starts) == len(names)
+        plain = [x for k, x in enumerate(names) if k not in skip] if skip else names
+        numbers = np.empty(len(names), np.int64)
+        numbers[[k for k in range(len(names)) if k not in skip] if skip else slice(None)] = self.units + np.arange(len(plain))
+        between = self.mark + lead
+        for at in range(0, len(plain), 4096):
+            some = plain[at : at + 4096]
+            # short texts, which the library may spread over threads
+            batch = self.tokenizer.encode_batch_fast([lead + between.join(some[k : k + 16]) for k in range(0, len(some), 16)], add_special_tokens=False)
+            ids: list[int] = []
+            for one in batch:
+                ids += one.ids
+                ids.append(self.mark_id)
+            self._put(memo, some, np.array(ids, np.uint32))
+        for k in odd:
+            numbers[k] = self.units
+            ids = np.array([*self.tokenizer.encode(lead + names[k], add_special_tokens=False).ids, 0], np.uint32)
+            self._put(memo, [names[k]], ids, np.array([len(ids) - 1]))
+        return numbers
+
+    def _put(self, memo: dict[str, int], names: list[str], ids: np.ndarray, ends: np.ndarray | None = None) -> None:
+        """Store the ids of ``names``, which stand in ``ids`` with a mark after each, or one id at each of ``ends``."""
+        if ends is None:
+            ends = np.flatnonzero(ids == self.mark_id)
+        assert len(ends) == len(names)
+        starts = np.append(0, ends[:-1] + 1)
         while self.units + len(names) > len(self.starts):
             self.starts, self.lengths = np.resize(self.starts, 2 * len(self.starts)), np.resize(self.lengths, 2 * len(self.lengths))
         while self.used + len(ids) > len(self.pool):
@@ -83,7 +92,7 @@ class UnitEncoder:
         # Arrow splits at each space and numbers the distinct units, so Python handles each of them once
         split = pc.split_pattern(pa.array([texts[k] for k in plain], pa.large_string()), " ")
         coded = split.flatten().dictionary_encode()
-        names, codes = coded.dictionary.to_pylist(), coded.indices.to_numpy()
+        names, codes = coded.dictionary.to_numpy(zero_copy_only=False).tolist(), coded.indices.to_numpy()
         begins = split.offsets.to_numpy()
         first = np.zeros(len(codes), bool)
         first[begins[:-1]] = True
@@ -93,8 +102,7 @@ class UnitEncoder:
         inside = [names[j] for j in used.tolist()]
         found = np.array([-1 if at is None else at for at in map(self.inner.get, inside)], np.int64)
         missing = np.flatnonzero(found < 0)
-        self._add(self.inner, [inside[j] for j in missing.tolist()], " ")
-        found[missing] = [self.inner[inside[j]] for j in missing.tolist()]
+        found[missing] = self._add(self.inner, [inside[j] for j in missing.tolist()], " ")
         self._add(self.outer, [x for x in {u for own in loose.values() for u in own} if x not in self.outer], "")
         number = np.zeros(len(names), np.int64)
         number[used] = found
@@ -138,13 +146,21 @@ def encoder(path: str) -> UnitEncoder:
     return _CACHE[path]
 
 
-def sliced(texts: list[str], most_chars: int = 2_000_000):
-    """Consecutive (first, last) index pairs of slices with about most_chars characters at most."""
-    first, chars = 0, 0
-    for k, text in enumerate(texts):
-        if k > first and chars + len(text) > most_chars:
-            yield first, k
-            first, chars = k, 0
-        chars += len(text)
-    if first < len(texts):
-        yield first, len(texts)
+def gathered(batches: Iterator[pa.RecordBatch], most_chars: int = 4_000_000) -> Iterator[tuple[list, list[str]]]:
+    """The first two columns, names and texts (null as empty), in lists of rows with about most_chars characters at most.
+
+    Rows of several batches stand together, as a unit that repeats in a list is looked up once there.
+    """
+    names: list = []
+    texts: list[str] = []
+    chars = 0
+    for batch in batches:
+        for name, text in zip(batch.column(0).to_pylist(), texts_of(batch.column(1)), strict=True):
+            if texts and chars + len(text) > most_chars:
+                yield names, texts
+                names, texts, chars = [], [], 0
+            names.append(name)
+            texts.append(text)
+            chars += len(text)
+    if texts:
+        yield names, texts
