@@ -27,26 +27,33 @@ from sparkloom.llm.units import encoder, gathered
 MAGIC = b"RPG1"
 #: Null ids are stored as this value.
 NULL_ID = -(1 << 63)
-ROUNDS = 6
+SYMBOL_BITS = 16
 PAIRS_A_ROUND = 4096
 LEAST_COUNT = 8
 #: About this many ids make a block.
 BLOCK_IDS = 2_000_000
 
 
-def compress(ids: np.ndarray, sizes: np.ndarray, vocabulary: int, rounds: int = ROUNDS, least: int = LEAST_COUNT) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Symbols, symbols of each document, and rules (one pair each) of a block of ids."""
-    seq = ids.astype(np.uint32)
-    doc = np.repeat(np.arange(len(sizes), dtype=np.int32), sizes)
+def compress(ids: np.ndarray, sizes: np.ndarray, vocabulary: int, rounds: int | None = None, least: int = LEAST_COUNT) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Symbols, symbols of each document, and rules (one pair each) of a block of ids.
+
+    Rounds go on until no pair stands ``least`` times or the symbols of SYMBOL_BITS run out. A vocabulary
+    that leaves less than PAIRS_A_ROUND of them gets symbols of 32 bits. Symbols that no chosen pair starts
+    or ends with are passed over by a table, so that only likely places are searched for.
+    """
+    most = 1 << SYMBOL_BITS
+    if vocabulary + PAIRS_A_ROUND > most:
+        most = 1 << 32
+    kind = np.uint32 if most <= 65_536 else np.uint64
+    shift = kind(16 if kind is np.uint32 else 32)
+    seq = ids.astype(kind)
+    last = np.zeros(len(seq), bool)  # ends of documents, over which no pair reaches
+    last[np.cumsum(sizes)[sizes > 0] - 1] = True
     rules: list[np.ndarray] = []
     fresh = vocabulary
-    room = max(0, 65_536 - vocabulary)
-    for _ in range(rounds):
-        if len(seq) < 2 or room <= 0:
-            break
-        keys = (seq[:-1].astype(np.uint64) << np.uint64(32)) | seq[1:]
-        inside = doc[:-1] == doc[1:]
-        ordered = np.sort(keys[inside])
+    while len(seq) > 1 and fresh < most and (rounds is None or len(rules) < rounds):
+        keys = (seq[:-1] << shift) | seq[1:]
+        ordered = np.sort(keys[~last[:-1]])
         if not len(ordered):
             break
         first = np.flatnonzero(np.concatenate([[True], ordered[1:] != ordered[:-1]]))
@@ -54,24 +61,31 @@ def compress(ids: np.ndarray, sizes: np.ndarray, vocabulary: int, rounds: int =
         good = np.flatnonzero(counts >= least)
         if not len(good):
             break
-        take = good[np.argsort(-counts[good], kind="stable")[: min(PAIRS_A_ROUND, room)]]
+        take = good[np.argsort(-counts[good], kind="stable")[: min(PAIRS_A_ROUND, most - fresh)]]
         chosen = np.sort(ordered[first[take]])
-        place = np.minimum(np.searchsorted(chosen, keys), len(chosen) - 1)
-        match = (chosen[place] == keys) & inside
+        left, right = chosen >> shift, chosen & ((kind(1) << shift) - kind(1))
+        starts_one, ends_one = np.zeros(fresh, bool), np.zeros(fresh, bool)
+        starts_one[left], ends_one[right] = True, True
+        likely = np.flatnonzero(starts_one[seq[:-1]] & ends_one[seq[1:]] & ~last[:-1])
+        place = np.minimum(np.searchsorted(chosen, keys[likely]), len(chosen) - 1)
+        match = chosen[place] == keys[likely]
+        at, place = likely[match], place[match]
         # of touching matches every other one is replaced, from the left
-        at = np.flatnonzero(match)
-        starts = np.concatenate([[True], np.diff(at) != 1])
-        run = at - np.maximum.accumulate(np.where(starts, at, 0))
-        at = at[run % 2 == 0]
-        seq[at] = fresh + place[at]
+        new_run = np.append(True, np.diff(at) != 1)
+        run = at - np.maximum.accumulate(np.where(new_run, at, 0))
+        at, place = at[run % 2 == 0], place[run % 2 == 0]
+        if not len(at):
+            break
+        seq[at] = (fresh + place).astype(kind)
+        last[at] = last[at + 1]
         keep = np.ones(len(seq), bool)
         keep[at + 1] = False
-        seq, doc = seq[keep], doc[keep]
-        rules.append(np.stack([chosen >> np.uint64(32), chosen & np.uint64(0xFFFFFFFF)], 1).astype(np.uint32))
+        seq, last = seq[keep], last[keep]
+        rules.append(np.stack([left, right], 1).astype(np.uint32))
         fresh += len(chosen)
-        room -= len(chosen)
-    symbols = np.bincount(doc, minlength=len(sizes)).astype(np.uint32)
-    return seq, symbols, np.concatenate(rules) if rules else np.zeros((0, 2), np.uint32)
+    symbols = np.zeros(len(sizes), np.uint32)
+    symbols[sizes > 0] = np.diff(np.flatnonzero(last), prepend=-1)
+    return seq.astype(np.uint32), symbols, np.concatenate(rules) if rules else np.zeros((0, 2), np.uint32)
 
 
 def expansion_lengths(rules: np.ndarray, vocabulary: int) -> np.ndarray:
