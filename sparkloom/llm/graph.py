@@ -22,7 +22,8 @@ def components(edges: DataFrame) -> DataFrame:
     """node and root for each node of edges (u, v); the root is the least node of its component.
 
     Large-star links each node's greater neighbours to its least one, small-star the others; both
-    keep the edges linear in number. Skewed nodes are split by AQE, as all joins are inner ones.
+    keep the edges linear in number. Skewed nodes are split by AQE, as all joins are inner ones. It ends
+    once large-star changes nothing and every node has one edge at most, the least of its component.
     """
     now = stage(edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).filter("u <> v").distinct(), "edges")
     seen = _print(now)
@@ -30,12 +31,14 @@ def components(edges: DataFrame) -> DataFrame:
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
         large = both.join(_least(both), "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").distinct()
         large = stage(large, "large-star")
+        # stars, where each node but the roots has one edge, are what small-star leaves as it is
+        if _print(large) == seen and large.select("u").distinct().count() == seen[0]:
+            discard(large)
+            break
         least = _least(large)
         small = large.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least.select("u", F.col("m").alias("v"))).filter("u <> v").distinct()
         after = stage(small, "small-star")
         discard(now, large)
-        now, before, seen = after, seen, _print(after)
-        if seen == before:
-            break
+        now, seen = after, _print(after)
     roots = now.select(F.col("u").alias("node"), F.col("v").alias("root"))
     return roots.unionByName(roots.select(F.col("root").alias("node"), "root").distinct())
