@@ -8,6 +8,10 @@ and how many symbols and ids each document has, so that one document is decoded
 Layout, little-endian: magic ``RPG1``; uint32 documents, first nonterminal, rules, symbols; int64
 doc_id, uint32 symbols and uint32 ids of each document; uint32 pairs of the rules; uint32
 expansion lengths; then the symbols as uint16, or uint32 where they need it.
+
+Defined cases: a null text counts as empty and still has its end id; null ids come first; rows of one
+id stand in the order of their texts, and repeated rows are written each; a text of any length is
+taken whole, in one worker's memory; an empty table gives no rows; further columns are ignored.
 """
 
 from __future__ import annotations
@@ -202,7 +206,7 @@ def write_corpus(docs: DataFrame, tokenizer_path: str, path: str, end_id: int =
         if held:
             yield flush()
 
-    dealt = rows.repartitionByRange(shards, "doc_id").sortWithinPartitions("doc_id")
+    dealt = rows.repartitionByRange(shards, "doc_id").sortWithinPartitions("doc_id", F.coalesce("text", F.lit("")))
     map_arrow(dealt, run, BLOCKS).write.parquet(path)
 
 

@@ -1,3 +1,5 @@
+import zlib
+
 import numpy as np
 import public_tokenizers
 import pyarrow as pa
@@ -42,3 +44,17 @@ def test_grammar_gives_back_each_document(vocabulary):
 def test_grammar_goes_on_until_no_pair_repeats():
     symbols, _, rules = compress(np.zeros(1 << 16, np.uint32), np.array([1 << 16]), 5)
     assert len(symbols) == 8 and len(rules) == 13  # halved until fewer than 8 pairs are left
+
+
+def test_rows_of_one_id_stand_in_the_order_of_their_texts(spark):
+    from sparkloom.llm.repair import token_files
+
+    texts = ["b b b", None, "a", "c " * 300, "a"]
+    docs = spark.createDataFrame([(7, x) for x in texts] + [(None, "n"), (1, "x")], "doc_id long, text string").repartition(3)
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    rows = token_files(docs, path).orderBy("start").collect()
+    coder = UnitEncoder(path)
+    want = [coder.tokenizer.encode(x, add_special_tokens=False).ids + [0] for x in ["n", "x", "", "a", "a", "b b b", "c " * 300]]
+    assert [r.doc_id for r in rows] == [None, 1, 7, 7, 7, 7, 7]
+    assert [r.n_tokens for r in rows] == [len(x) for x in want]
+    assert [r.ids_crc32 for r in rows] == [zlib.crc32(np.array(x, "<u4").tobytes()) for x in want]
