@@ -23,6 +23,15 @@ both(
     "SELECT count(*) AS total, count(gold) AS judged, CAST(sum(CASE WHEN gold = pred THEN 1 ELSE 0 END) AS BIGINT) AS hits FROM (SELECT CASE WHEN @like(raw, '^[1-9]0?$') THEN CAST(substring(raw, 1, 1) AS INT) END AS gold, pred FROM "
     "(SELECT CASE WHEN doc_id % 11 = 0 THEN '1,2' WHEN doc_id % 7 = 0 THEN concat(quality + 1, '0') ELSE CAST(quality + 1 AS STRING) END AS raw, toxic + 1 AS pred FROM {labels}) a) b",
 )
+# answers one to nine, or one to five as they stand; a composite code such as 30 counts as its first digit
+both(
+    "norm_gold",
+    r"SELECT k, CASE WHEN @like(a, '^0*[1-9]$') THEN right(a, 1) WHEN @like(a, '^[1-9]0$') THEN left(a, 1) END AS gold, "
+    r"CASE WHEN @like(a, '^0*[1-5]$') THEN a WHEN @like(a, '^[1-5]0$') THEN left(a, 1) END AS gold_of_five "
+    r"FROM (SELECT k, regexp_replace(coalesce(x, ''), @r'^\s+|\s+$', ''@all) AS a FROM "
+    + rows("k, x", "(1, '30')", "(2, '1,2')", "(3, '')", "(4, '7')", "(5, ' 4 ')", "(6, concat('70', chr(10)))", "(7, NULL)", "(8, '03')", "(9, '10')", "(10, '0')", "(11, '33')", "(12, 'none')")
+    + ") t",
+)
 both("retrieval_noise_filter", "SELECT doc_id, item_id FROM (SELECT d.doc_id, b.item_id, d.text FROM {documents} d JOIN {benchmark} b ON d.doc_id = b.item_id) j WHERE NOT @like(lower(text), 'official answer|answer key') AND length(text) >= 3 AND NOT contains(text, concat('case ', item_id))")
 both(
     "attachment_inclusion",

@@ -110,7 +110,6 @@ plan("html_strip_text", "SELECT page_id, md5(trim(regexp_replace(regexp_replace(
 # literal rows for branches that the tables never reach
 plan("think_strip", "SELECT k, trim(regexp_replace(x, '(?is)<think>.*?</think>[ \\\\n]*', '')) AS y FROM VALUES (1, '<THINK>a\\nb</think>\\n answer'), (2, '<think>x</think>  '), (3, 'plain') AS t(k, x)", "SELECT k, trim(regexp_replace(x, '(?is)<think>.*?</think>[ \\n]*', '', 'g')) AS y FROM (VALUES (1, '<THINK>a' || chr(10) || 'b</think>' || chr(10) || ' answer'), (2, '<think>x</think>  '), (3, 'plain')) AS t(k, x)")
 plan("condition_normalize", "SELECT k, CASE WHEN x LIKE '%cot%' THEN 'cot' WHEN x LIKE '%synth%' THEN 'synth' WHEN x LIKE '%noisy%' THEN 'noisy' ELSE 'direct' END AS c FROM (SELECT 1 AS k, 'synth,cot' AS x UNION ALL SELECT 2, 'noisy,direct' UNION ALL SELECT 3, 'weird') t")
-plan("norm_gold", "SELECT k, CASE WHEN x RLIKE '^[1-9]0?$' THEN CAST(substring(x, 1, 1) AS INT) END AS gold FROM (SELECT 1 AS k, '30' AS x UNION ALL SELECT 2, '1,2' UNION ALL SELECT 3, '' UNION ALL SELECT 4, '7') t", "SELECT k, CASE WHEN regexp_matches(x, '^[1-9]0?$') THEN CAST(substring(x, 1, 1) AS INT) END AS gold FROM (SELECT 1 AS k, '30' AS x UNION ALL SELECT 2, '1,2' UNION ALL SELECT 3, '' UNION ALL SELECT 4, '7') t")
 plan("parse_answer", "SELECT k, coalesce(nullif(regexp_extract(substring(x, 1, 120), 'answer: *([1-5])', 1), ''), nullif(regexp_extract(substring(x, 1, 60), '([1-5])', 1), '')) AS pred FROM (SELECT 1 AS k, 'so 4 but answer: 2' AS x UNION ALL SELECT 2, 'I take 3' UNION ALL SELECT 3, concat(repeat('x', 60), '5')) t")
 plan("last_option_letter", "SELECT k, coalesce(element_at(regexp_extract_all(x, '[(]([A-J])[)]', 1), -1), element_at(regexp_extract_all(x, '([A-J])', 1), -1)) AS letter FROM VALUES (1, 'A or (B) or (C) D'), (2, 'say E') AS t(k, x)".replace("element_at(", "try_element_at("), "SELECT k, coalesce(regexp_extract_all(x, '[(]([A-J])[)]', 1)[-1], regexp_extract_all(x, '([A-J])', 1)[-1]) AS letter FROM (VALUES (1, 'A or (B) or (C) D'), (2, 'say E')) AS t(k, x)")
 plan("numeric_truth", "SELECT k, CAST(CAST(replace(trim(split_part(x, '####', 2)), ',', '') AS DOUBLE) AS BIGINT) AS truth FROM (SELECT 1 AS k, 'so #### 1,234' AS x UNION ALL SELECT 2, 'then #### 7') t")
