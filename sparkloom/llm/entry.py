@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from sparkloom.llm import contexts, counts, exact, near, packing, pieces, repair, repeats, toxicity, vectors
+from sparkloom.llm import contexts, counts, divergence, exact, near, packing, pieces, repair, repeats, resample, toxicity, vectors
 from sparkloom.llm.common import read_table
 
 
@@ -32,6 +32,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_token_counts": _documents(counts.token_counts, "word_bpe_49k.json"),
     "op9_toxicity": lambda spark, sf_dir: toxicity.toxicity(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels")),
     "op10_near_dedup": _documents(near.near_duplicates),
+    "op11_source_divergence": _documents(divergence.divergence),
+    "op12_importance_resampling": lambda spark, sf_dir: resample.resample(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark")),
 }
 
-ORACLES: dict[str, str] = {"op4_exact_dedup": exact.ORACLE}
+ORACLES: dict[str, str] = {"op4_exact_dedup": exact.ORACLE, "op11_source_divergence": divergence.ORACLE, "op12_importance_resampling": resample.ORACLE}
