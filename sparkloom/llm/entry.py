@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from sparkloom.llm import contexts, counts, divergence, exact, near, packing, pieces, repair, repeats, resample, toxicity, vectors
+from sparkloom.llm import contexts, counts, divergence, exact, licenses, near, packing, pieces, repair, repeats, resample, toxicity, vectors
 from sparkloom.llm.common import read_table
 
 
@@ -34,6 +34,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_near_dedup": _documents(near.near_duplicates),
     "op11_source_divergence": _documents(divergence.divergence),
     "op12_importance_resampling": lambda spark, sf_dir: resample.resample(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark")),
+    "op13_license_scan": _documents(licenses.license_scan),
 }
 
 ORACLES: dict[str, str] = {"op4_exact_dedup": exact.ORACLE, "op11_source_divergence": divergence.ORACLE, "op12_importance_resampling": resample.ORACLE}
