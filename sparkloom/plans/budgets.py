@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from sparkloom.plans.dialects import both, ring, running
+from sparkloom.plans.dialects import both, ranges, ring, running
 
-_BLOCK = "CAST(floor(doc_id / 4096e0) AS BIGINT)"
+_BLOCK = ranges("doc_id", "{documents}")
 _BYTES = "SELECT doc_id, source, @bytes(coalesce(text, '')) + 1 AS n FROM {documents}"
 _WORDS = "SELECT doc_id, source, @len(@split(text, ' ')) AS n FROM {documents}"
 _FRAMES = "SELECT doc_id, source, 4 + @len(@split(split_part(text, chr(10), 1), ' ')) + @len(@split(text, ' ')) AS n FROM {documents}"

@@ -7,14 +7,13 @@ and 10 to 13 (conditions).
 
 from __future__ import annotations
 
-from sparkloom.plans.dialects import both, ring, running, spell
+from sparkloom.plans.dialects import both, ranges, ring, running, spell
 from sparkloom.plans.sqlplans import plan
 
 #: Most tokens of a sample, and of the instruction's head that survives truncation.
 CONTEXT, HEAD = 256, 96
 
-# fixed values: the conditions, the first of a composite that is named here wins
-CONDITIONS = ("cot", "synth", "noisy", "direct")
+_RANGE = ranges("doc_id", "{documents}")
 
 # every document is a raw row: its first line instructs, the rest responds; some fields are missing or composite
 _RAW = (
@@ -54,7 +53,7 @@ def _encoded(k: int) -> str:
     return spell(f"SELECT *, {room} AS room, {fate} AS fate FROM ({encoded}) e", k)
 
 
-def _framed(k: int) -> str:
+def framed(k: int) -> str:
     """doc_id, source, inst and resp: the ids of each sample that is written."""
     head = f"least({HEAD}, CAST(floor(greatest(room, 0) / 2e0) AS INT))"
     cut = _SLICE[k].format("i0", head, f"(greatest(room, 0) - {head})")
@@ -62,17 +61,17 @@ def _framed(k: int) -> str:
     return f"SELECT doc_id, source, fate, {_FRAME[k].format(_CONDITION_ID, chosen)} AS inst, {_REPLY[k].format('r0')} AS resp FROM ({_encoded(k)}) f WHERE fate IN ('kept', 'truncated')"
 
 
-def _spans(k: int) -> str:
+def spans(k: int) -> str:
     """Where each sample's ids stand in the concatenation of all, in the order of doc_id."""
-    sized = spell(f"SELECT doc_id, source, 0 AS whole, CAST(@len(inst) AS BIGINT) AS inst_len, CAST(@len(resp) AS BIGINT) AS resp_len FROM ({_framed(k)}) g", k)
-    return f"SELECT doc_id, source, before AS inst_start, inst_len, before + inst_len AS resp_start, resp_len FROM ({running(sized, 'whole', 'doc_id', '(inst_len + resp_len)', 'CAST(floor(doc_id / 4096e0) AS BIGINT)')}) q"
+    sized = spell(f"SELECT doc_id, source, 0 AS whole, CAST(@len(inst) AS BIGINT) AS inst_len, CAST(@len(resp) AS BIGINT) AS resp_len FROM ({framed(k)}) g", k)
+    return f"SELECT doc_id, source, before AS inst_start, inst_len, before + inst_len AS resp_start, resp_len FROM ({running(sized, 'whole', 'doc_id', '(inst_len + resp_len)', _RANGE)}) q"
 
 
 def _two(name: str, make) -> None:
-    plan(name, make(0), make(1))
+    plan(name, spell(make(0), 0), spell(make(1), 1))
 
 
-_two("frame_tokens", lambda k: spell(f"SELECT doc_id, fate, @len(inst) AS inst_len, @len(resp) AS resp_len, {_HASH[k].format('inst')} AS inst_md5, {_HASH[k].format('resp')} AS resp_md5 FROM ({_framed(k)}) g", k))
+_two("frame_tokens", lambda k: spell(f"SELECT doc_id, fate, @len(inst) AS inst_len, @len(resp) AS resp_len, {_HASH[k].format('inst')} AS inst_md5, {_HASH[k].format('resp')} AS resp_md5 FROM ({framed(k)}) g", k))
 _two("sample_policies", lambda k: f"SELECT fate, count(*) AS n FROM ({_encoded(k)}) g GROUP BY fate")
 _two(
     "sample_policies_direct",  # unknown conditions become direct, long rows are dropped
@@ -82,26 +81,26 @@ _two(
         k,
     ),
 )
-_two("written_lengths", lambda k: f"SELECT min(inst_len + resp_len) AS least, round(avg(inst_len + resp_len), 6) AS mean, max(inst_len + resp_len) AS most, CAST(sum(inst_len + resp_len) AS BIGINT) AS total_length FROM ({_spans(k)}) g")
-_two("v1_index", _spans)
+_two("written_lengths", lambda k: f"SELECT min(inst_len + resp_len) AS least, round(avg(inst_len + resp_len), 6) AS mean, max(inst_len + resp_len) AS most, CAST(sum(inst_len + resp_len) AS BIGINT) AS total_length FROM ({spans(k)}) g")
+_two("v1_index", spans)
 _two(
     "v1_epochs",  # two epochs over all samples, each in the order of its own hash
-    lambda k: " UNION ALL ".join(f"SELECT {e} AS epoch, pos, doc_id, inst_start, inst_len, resp_start, resp_len FROM ({ring('SELECT *, 0 AS whole FROM (' + _spans(k) + ') w', 'whole', 'doc_id', f'epoch{e}')}) e{e}" for e in (0, 1)),
+    lambda k: " UNION ALL ".join(f"SELECT {e} AS epoch, pos, doc_id, inst_start, inst_len, resp_start, resp_len FROM ({ring('SELECT *, 0 AS whole FROM (' + spans(k) + ') w', 'whole', 'doc_id', f'epoch{e}')}) e{e}" for e in (0, 1)),
 )
 _two(
     "v1_merge",  # the samples of a source stand after those of all sources before it by name
     lambda k: f"""SELECT s.doc_id, s.source, CAST(s.before + b.base AS BIGINT) AS inst_start
-FROM ({running(f'SELECT doc_id, source, inst_len + resp_len AS n FROM ({_spans(k)}) x', 'source', 'doc_id', 'n', 'CAST(floor(doc_id / 4096e0) AS BIGINT)')}) s
-JOIN (SELECT source, sum(t) OVER (ORDER BY source) - t AS base FROM (SELECT source, sum(inst_len + resp_len) AS t FROM ({_spans(k)}) y GROUP BY source) g) b ON s.source = b.source""",
+FROM ({running(f'SELECT doc_id, source, inst_len + resp_len AS n FROM ({spans(k)}) x', 'source', 'doc_id', 'n', _RANGE)}) s
+JOIN (SELECT source, sum(t) OVER (ORDER BY source NULLS FIRST) - t AS base FROM (SELECT source, sum(inst_len + resp_len) AS t FROM ({spans(k)}) y GROUP BY source) g) b ON s.source IS NOT DISTINCT FROM b.source""",
 )
 _two(
     "token_target_stop",  # rows until the target is reached, the crossing one included
-    lambda k: f"SELECT doc_id, inst_start FROM ({_spans(k)}) g WHERE inst_start < 20000",
+    lambda k: f"SELECT doc_id, inst_start FROM ({spans(k)}) g WHERE inst_start < 20000",
 )
 _two(
     "budget_mix",  # every source is sampled to a budget, then all are put together; parts add up to the whole
     lambda k: f"""SELECT source, count(*) AS samples, CAST(sum(n) AS BIGINT) AS tokens FROM (
-{running(f"SELECT doc_id, source, inst_len + resp_len AS n, md5(concat('mix|', doc_id)) AS h FROM ({_spans(k)}) x", 'source', 'h, doc_id', 'n', 'substring(h, 1, 2)')}) s
+{running(f"SELECT doc_id, source, inst_len + resp_len AS n, md5(concat('mix|', doc_id)) AS h FROM ({spans(k)}) x", 'source', 'h, doc_id', 'n', 'substring(h, 1, 2)')}) s
 WHERE before < 3000 GROUP BY ROLLUP(source)""",
 )
 

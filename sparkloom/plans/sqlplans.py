@@ -92,12 +92,6 @@ plan("asof_version", "SELECT o_custkey, max_by(o_orderkey, struct(o_orderdate, o
 plan("prefix_config_first_match", "SELECT p_partkey, coalesce(cap, 7) AS cap FROM (SELECT p.p_partkey, c.cap, row_number() OVER (PARTITION BY p.p_partkey ORDER BY c.ord NULLS LAST) AS r FROM {part} p LEFT JOIN (SELECT 1 AS ord, 'a' AS pre, 10 AS cap UNION ALL SELECT 2, 'al', 20 UNION ALL SELECT 3, 'b', 30) c ON substring(p.p_name, 1, length(c.pre)) = c.pre) t WHERE r = 1")
 
 # overlap with held-out texts and retrieval
-_TOK = "SELECT DISTINCT {0} AS id, w FROM (SELECT {0}, explode(split(lower(text), '[^a-z]+')) AS w FROM {{{1}}}) x WHERE length(w) >= 6"
-_DTOK = "SELECT DISTINCT {0} AS id, w FROM (SELECT {0}, unnest(regexp_split_to_array(lower(text), '[^a-z]+')) AS w FROM {1}) x WHERE length(w) >= 6"
-_OVER = "SELECT m.doc_id, m.item_id, round(CAST(m.n AS DOUBLE) / least(a.n, b.n), 9) AS overlap FROM (SELECT d.id AS doc_id, q.id AS item_id, count(*) AS n FROM (@D) d JOIN (@B) q ON d.w = q.w GROUP BY d.id, q.id) m JOIN (SELECT id, count(*) AS n FROM (@D) x GROUP BY id) a ON a.id = m.doc_id JOIN (SELECT id, count(*) AS n FROM (@B) y GROUP BY id) b ON b.id = m.item_id WHERE CAST(m.n AS DOUBLE) / least(a.n, b.n) >= 0.5"
-plan("decontaminate_token_overlap", _OVER.replace("@D", _TOK.format("doc_id", "documents")).replace("@B", _TOK.format("item_id", "benchmark")), _OVER.replace("@D", _DTOK.format("doc_id", "documents")).replace("@B", _DTOK.format("item_id", "benchmark")))
-_TOP = "SELECT item_id, doc_id, score FROM (SELECT item_id, doc_id, score, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS r FROM (SELECT q.id AS item_id, d.id AS doc_id, CAST(sum(CASE WHEN length(d.w) >= 8 THEN 2 ELSE 1 END) AS BIGINT) AS score FROM (@D) d JOIN (@B) q ON d.w = q.w GROUP BY q.id, d.id) s WHERE score >= 3) t WHERE r <= 5"
-plan("retrieve_topk_terms", _TOP.replace("@D", _TOK.format("doc_id", "documents")).replace("@B", _TOK.format("item_id", "benchmark")), _TOP.replace("@D", _DTOK.format("doc_id", "documents")).replace("@B", _DTOK.format("item_id", "benchmark")))
 plan("entity_match_alias", "SELECT doc_id, name FROM (SELECT d.doc_id, a.name, row_number() OVER (PARTITION BY d.doc_id ORDER BY a.ord) AS r FROM {documents} d JOIN (SELECT 1 AS ord, 'license' AS name UNION ALL SELECT 2, 'token' UNION ALL SELECT 3, 'rights') a ON instr(lower(d.text), a.name) > 0) t WHERE r <= 2")
 plan("snippet_window", "SELECT doc_id, substring(text, greatest(1, p - 40), 120) AS snippet FROM (SELECT doc_id, text, instr(lower(text), 'license') AS p FROM {documents}) t WHERE p > 0")
 plan("leak_scan", "SELECT count(*) AS leaks FROM {documents} WHERE regexp_like(lower(text), 'official answer|answer key')", "SELECT count(*) AS leaks FROM documents WHERE regexp_matches(lower(text), 'official answer|answer key')")

@@ -11,6 +11,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from sparkloom.session import settled
+
 SUFFIXES = (".jsonl", ".parquet")
 
 
@@ -189,17 +191,18 @@ def write_jsonl_with_stats(rows: DataFrame, path: str) -> dict:
 def write_capped_jsonl(rows: DataFrame, path: str, order: str, cap: int, first_row: bool = False) -> None:
     """Write JSON lines in an order up to a number of bytes: what would exceed it ends the file.
 
-    With ``first_row`` the first line is written whatever its size. Sums go by ranges of the order, so
-    that no task holds all lines.
+    With ``first_row`` the first line is written whatever its size. ``order`` is of any type, nulls
+    first; equal keys go by their lines. Lines are sorted by ranges and summed within each range, so that
+    no task holds all lines; the ranges' totals are one row per partition of the sort.
     """
     lines = rows.select(F.col(order).alias("o"), F.to_json(F.struct("*")).alias("value")).withColumn("n", F.octet_length("value") + 1)
-    block = F.floor(F.col("o") / 4096)
-    sums = lines.groupBy(block.alias("bk")).agg(F.sum("n").alias("v"))
+    placed = settled(lines.orderBy("o", "value").withColumn("at", F.monotonically_increasing_id()).withColumn("bk", F.shiftrightunsigned("at", 33)))
+    sums = placed.groupBy("bk").agg(F.sum("n").alias("v"))
     bases = sums.withColumn("base", F.sum("v").over(Window.orderBy("bk").rowsBetween(Window.unboundedPreceding, 0)) - F.col("v")).drop("v")
-    ends = lines.withColumn("bk", block).join(bases, "bk")
-    ends = ends.withColumn("end", F.col("base") + F.sum("n").over(Window.partitionBy("bk").orderBy("o").rowsBetween(Window.unboundedPreceding, 0)))
+    ends = placed.join(bases, "bk")
+    ends = ends.withColumn("end", F.col("base") + F.sum("n").over(Window.partitionBy("bk").orderBy("at").rowsBetween(Window.unboundedPreceding, 0)))
     kept = ends.filter((F.col("end") <= cap) | (F.lit(first_row) & (F.col("end") == F.col("n"))))
-    kept.orderBy("o").select("value").write.text(path)
+    kept.orderBy("at").select("value").write.text(path)
 
 
 def write_messages(rows: DataFrame, path: str) -> None:
