@@ -5,8 +5,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sparkloom.operators import chunking, multipack, similar
+from sparkloom.operators import chunking, multipack, similar, tensors
+from sparkloom.plans.stores import samples_of
 from sparkloom.registry import load, query
+from sparkloom.session import settled
+
+#: Shards that the packer's queries deal samples into at every size, and ids in a rank's sequence.
+SHARDS, TOKENS = 16, 1024
 
 
 def _chunks(spark: SparkSession, sf_dir: str, kind: str) -> DataFrame:
@@ -34,7 +39,16 @@ def chunk_newline(spark: SparkSession, sf_dir: str) -> DataFrame:
 def lpt_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Samples are at most as long as a rank's sequence: longer documents are taken as cut to it, as sample_policies does."""
     rows = load(spark, sf_dir, "documents").select(F.col("doc_id").alias("sample_id"), F.least(F.size(F.split("text", " ")), F.lit(2048)).alias("length"))
-    return multipack.pack(rows, capacity=2048, ranks=4)
+    return multipack.pack(rows, capacity=2048, ranks=4, shards=SHARDS)
+
+
+@query("packed_tensors")
+def packed_tensors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Samples with real ids, packed for two ranks, as the tensors of each rank's sequence; arrays by their md5."""
+    samples = settled(samples_of(load(spark, sf_dir, "documents")))
+    lengths = samples.select("sample_id", (F.size("inst") + F.size("resp") - 1).alias("length"))
+    rows = tensors.batch_tensors(multipack.pack(lengths, TOKENS, ranks=2, shards=SHARDS), samples, TOKENS)
+    return rows.select(*(F.md5(F.array_join(c, ",")).alias(c) if kind.startswith("array") else c for c, kind in rows.dtypes))
 
 
 @query("decontaminate_ratio")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from sparkloom.plans import budgets, conversations, custom, frames, matching, questions, records, rules, sqlplans, stores  # noqa: F401
+from sparkloom.plans import budgets, conversations, custom, frames, matching, questions, records, rules, sqlplans, stores, webpages  # noqa: F401
 from sparkloom.registry import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]
