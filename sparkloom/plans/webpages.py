@@ -9,7 +9,7 @@ from sparkloom.registry import load, query
 from sparkloom.sources.html import read_pages
 
 _BARE = r"regexp_replace(html, '<!--.*?-->|<!DOCTYPE[^>]*>|<(script|style)[^>]*>.*?</(script|style)>', '', 'gs')"
-_ENTITIES = "replace(replace(replace(replace(replace(replace({0}, '&lt;', '<'), '&gt;', '>'), '&quot;', '\"'), '&#39;', ''''), '&nbsp;', ' '), '&amp;', '&')"
+_ENTITIES = "replace(replace(replace(replace(replace(replace(replace(replace({0}, '&lt;', '<'), '&gt;', '>'), '&quot;', '\"'), '&#39;', ''''), '&nbsp;', ' '), '&copy;', '©'), '&middot;', '·'), '&amp;', '&')"
 _LINES = r"list_filter(list_transform(string_split({0}, chr(10)), lambda x: trim(regexp_replace(replace(x, chr(160), ' '), '[ \t]+', ' ', 'g'))), lambda x: x <> '')"
 
 
