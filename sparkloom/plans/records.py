@@ -90,4 +90,4 @@ plan(
     f"SELECT k, coalesce(CASE WHEN json_valid(x) THEN json_extract_string(x, '$[0].function.name') END, CASE WHEN x = '[]' THEN '' ELSE x END) AS call {_CALLS}",
 )
 _PATHS = "FROM (VALUES (1, 'law book/3'), (2, '민법')) AS t(k, x)"
-plan("url_quote", f"SELECT k, replace(url_encode(x), '+', '%20') AS url {_PATHS}", f"SELECT k, url_encode(x) AS url {_PATHS}")
+plan("url_quote", f"SELECT k, replace(replace(replace(url_encode(x), '+', '%20'), '*', '%2A'), '%7E', '~') AS url {_PATHS}", f"SELECT k, url_encode(x) AS url {_PATHS}")

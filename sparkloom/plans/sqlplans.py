@@ -13,6 +13,8 @@ from pyspark.sql import DataFrame, SparkSession
 from sparkloom.registry import ORACLES, QUERIES, load
 
 _TABLE = re.compile(r"\{(\w+)\}")
+#: Spark's and DuckDB's text of each query.
+TEXTS: dict[str, tuple[str, str]] = {}
 
 
 def plan(name: str, sql: str, duck: str | None = None) -> None:
@@ -23,6 +25,7 @@ def plan(name: str, sql: str, duck: str | None = None) -> None:
 
     if name in QUERIES:
         raise ValueError(f"two queries are named {name}")
+    TEXTS[name] = (sql, duck or sql)
     QUERIES[name] = run
     ORACLES[name] = _TABLE.sub(r"\1", duck or sql)
 

@@ -1,11 +1,15 @@
-"""Rules on literal rows against results worked out by hand, and base operators against brute force."""
+"""Rules on their model rows against results worked out by hand, and base operators against brute force."""
+
+import re
 
 import pytest
 
 from sparkloom import queries
 from sparkloom.operators import chunking, similar
+from sparkloom.plans.tabled import MODELS
 
 SF = "/root/testdata/sf0.001"
+TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 WANT = {
     "choice_parser": {(1, "다음 중 옳은 것은\n?", 4, "다음 중 옳은 것은 ?|① 하나 계속 , 끝|② 둘|③ 셋|④ 넷"), (2, "보기 ① 은 본문이다\n끝", 0, "보기 ① 은 본문이다 끝")},
     "statement_splitter": {(1, "ㄱ|첫째 진술은 참이라고 한다;ㄴ|둘째 진술은 거짓이라 한다"), (2, "①|하나의 진술이 여기에 있다")},
@@ -23,8 +27,13 @@ WANT = {
 
 
 @pytest.mark.parametrize("name", sorted(WANT))
-def test_literals(spark, name):
-    assert {tuple(r) for r in queries.QUERIES[name](spark, SF).collect()} == WANT[name]
+def test_models(spark, name):
+    assert {tuple(r) for r in MODELS[name](spark, SF).collect()} == WANT[name]
+
+
+def test_every_query_reads_a_table():
+    assert not [name for name, sql in queries.ORACLES.items() if not set(TABLES) & set(re.findall(r"\w+", sql))]
+    assert all("documents" in queries.ORACLES[name] for name in MODELS)
 
 
 def test_frames_hold_together(spark):
