@@ -5,8 +5,9 @@ the number of rows. New data is reduced to one row per digest, anti-joined with
 sort-merge, and what is new is appended.
 
 Defined cases: a null text counts as empty; of equal texts the row with the largest doc_id stays,
-null ids count least, and of rows that repeat id and text exactly one stays; an empty table gives
-no rows; further columns are ignored.
+null ids count least, and of rows that repeat id and text exactly one stays; against a named index, a
+text of an earlier batch stays there and drops here; an empty table gives no rows; a text of any length
+is one digest; further columns are ignored.
 """
 
 from __future__ import annotations
@@ -18,20 +19,24 @@ from pyspark.sql import functions as F
 
 from sparkloom.llm.common import discard, fresh, join_groups, stage
 
-BUCKETS = 16
-_COLUMNS = "digest binary, keep struct<doc_id:bigint,rid:bigint>, group_size bigint"
+#: Buckets of a new index: at least so many, and one for so many rows of its first batch.
+BUCKETS, BUCKET_ROWS = 16, 2_000_000
+_COLUMNS = "digest binary, keep struct<doc_id:bigint,rid:bigint>, group_size bigint, batch string"
 
 
 class DigestIndex:
-    """A bucketed, sorted table of digests in the session's warehouse."""
-
-    def __init__(self, spark: SparkSession, table: str, buckets: int = BUCKETS):
-        self.spark, self.table, self.buckets = spark, table, buckets
-        if not spark.catalog.tableExists(table):
+    """A bucketed, sorted table of digests in the session's warehouse, which knows its number of buckets."""
+
+    def __init__(self, spark: SparkSession, table: str, rows: int = 0):
+        self.spark, self.table = spark, table
+        self.buckets = max(BUCKETS, -(-rows // BUCKET_ROWS))
+        if spark.catalog.tableExists(table):
+            self.buckets = int(spark.sql(f"DESCRIBE EXTENDED {table}").filter("col_name = 'Num Buckets'").first()["data_type"])
+        else:
             self.append(spark.createDataFrame([], _COLUMNS))
 
     def append(self, groups: DataFrame) -> None:
-        groups.select("digest", "keep", "group_size").write.bucketBy(self.buckets, "digest").sortBy("digest").mode("append").saveAsTable(self.table)
+        groups.select("digest", "keep", "group_size", "batch").write.bucketBy(self.buckets, "digest").sortBy("digest").mode("append").saveAsTable(self.table)
 
     def read(self) -> DataFrame:
         return self.spark.table(self.table)
@@ -51,12 +56,13 @@ def digests(docs: DataFrame) -> DataFrame:
 
 
 def dedup_rows(rows: DataFrame, index: DigestIndex) -> DataFrame:
-    """Decide for staged rows of digests(); new digests go into the index.
+    """Decide for staged rows of digests(), a batch; new digests go into the index with the batch's name.
 
-    Digests already in the index drop all their rows, except that a row stays which the index names.
+    Digests that an earlier batch brought drop all their rows here, whatever their ids.
     """
+    batch = uuid.uuid4().hex
     groups = rows.groupBy("digest").agg(F.max(F.struct(F.coalesce("doc_id", F.lit(-(1 << 63))).alias("doc_id"), "rid")).alias("keep"), F.count("*").alias("group_size"))
-    groups = stage(groups, "digest-groups")
+    groups = stage(groups.withColumn("batch", F.lit(batch)), "digest-groups")
     index.append(index.fresh(groups))
     sizes = groups.select("digest", F.col("group_size").alias("rows_here"))
     known = stage(sizes.join(index.read(), "digest"), "digest-known")
@@ -67,7 +73,7 @@ def dedup_rows(rows: DataFrame, index: DigestIndex) -> DataFrame:
         "doc_id",
         F.when(F.col("keep.doc_id") > -(1 << 63), F.col("keep.doc_id")).alias("keep_id"),
         F.col("group_size").cast("long").alias("group_size"),
-        ((F.col("keep.rid") == F.col("rid")) & (F.coalesce("doc_id", F.lit(-(1 << 63))) == F.col("keep.doc_id"))).alias("kept"),
+        ((F.col("batch") == batch) & (F.col("keep.rid") == F.col("rid"))).alias("kept"),
         F.lower(F.hex("digest")).alias("text_sha256"),
     )
 
@@ -75,8 +81,9 @@ def dedup_rows(rows: DataFrame, index: DigestIndex) -> DataFrame:
 def exact_dedup(docs: DataFrame, table: str | None = None) -> DataFrame:
     """Decisions for every row of docs; with no table named, against a new and empty index."""
     spark = docs.sparkSession
-    index = DigestIndex(spark, table or f"digest_index_{uuid.uuid4().hex}")
-    out = dedup_rows(stage(digests(docs), "digests"), index).drop("rid")
+    rows = stage(digests(docs), "digests")
+    index = DigestIndex(spark, table or f"digest_index_{uuid.uuid4().hex}", rows.count())
+    out = dedup_rows(rows, index).drop("rid")
     if not table:
         spark.sql(f"DROP TABLE {index.table}")
     return out

@@ -10,7 +10,8 @@ many equal vectors never meets in one task.
 
 Defined cases: vectors that are null, zero, of another length than most, or that hold null or
 non-finite components take no part, as neighbour or query; ties go to the smaller vec_id; with few
-candidates all are returned; repeated ids are separate rows and never neighbours of their own id.
+candidates all are returned; repeated ids are separate rows, each with its own ranks as a query, and
+never neighbours of their own id.
 """
 
 from __future__ import annotations
@@ -165,19 +166,22 @@ def search(vectors: DataFrame, query_every: int = 100, k: int = NEIGHBOURS, prob
                     x = np.array(batch.column(1).to_pylist(), np.float64)
                     out = [(r, int(i), c) for r, own in enumerate(index.probes(x, probes)) for i in own for c in range(chunks[i])]
                     at = pa.array([r for r, _, _ in out], pa.int32())
-                    yield pa.RecordBatch.from_arrays([batch.column(0).take(at), pa.array([i for _, i, _ in out], pa.int32()), pa.array([c for _, _, c in out], pa.int32()), batch.column(1).take(at)], ["query_id", "list", "chunk", "query"])
+                    columns = [batch.column(0).take(at), batch.column(2).take(at), pa.array([i for _, i, _ in out], pa.int32()), pa.array([c for _, _, c in out], pa.int32()), batch.column(1).take(at)]
+                    yield pa.RecordBatch.from_arrays(columns, ["query_id", "query_row", "list", "chunk", "query"])
 
-        asked = queries.mapInArrow(ask, "query_id long, list int, chunk int, query array<double>")
+        # repeated ids are told apart by a row number; queries are read once, from staged rows
+        numbered = queries.select("vec_id", "embedding", F.monotonically_increasing_id().alias("query_row"))
+        asked = numbered.mapInArrow(ask, "query_id long, query_row long, list int, chunk int, query array<double>")
 
         def best(key, own: pd.DataFrame, asked: pd.DataFrame) -> pd.DataFrame:
             if not len(own) or not len(asked):
-                return pd.DataFrame({"query_id": [], "vec_id": [], "score": []}).astype({"query_id": "int64", "vec_id": "int64", "score": "float64"})
+                return pd.DataFrame({"query_id": [], "query_row": [], "vec_id": [], "score": []}).astype({"query_id": "int64", "query_row": "int64", "vec_id": "int64", "score": "float64"})
             own = own.sort_values("vec_id", kind="stable")
             ids = own["vec_id"].to_numpy()
             x = np.array(own["embedding"].tolist(), np.float64)
             codes = np.frombuffer(b"".join(own["code"]), np.uint8).reshape(len(own), -1)
             out = []
-            for query_id, query in zip(asked["query_id"], asked["query"], strict=True):
+            for query_id, query_row, query in zip(asked["query_id"], asked["query_row"], asked["query"], strict=True):
                 q = np.array(query, np.float64)
                 rough = index.distances(q, int(key[0]), codes)
                 rough[ids == query_id] = np.inf
@@ -185,11 +189,11 @@ def search(vectors: DataFrame, query_every: int = 100, k: int = NEIGHBOURS, prob
                 at = at[ids[at] != query_id]
                 exact = np.sqrt(((x[at] - q) ** 2).sum(1))
                 top = np.argsort(exact, kind="stable")[:k]
-                out.append(pd.DataFrame({"query_id": query_id, "vec_id": ids[at[top]], "score": exact[top]}))
+                out.append(pd.DataFrame({"query_id": query_id, "query_row": query_row, "vec_id": ids[at[top]], "score": exact[top]}))
             return pd.concat(out)
 
-        found = dealt.groupBy("list", "chunk").cogroup(asked.groupBy("list", "chunk")).applyInPandas(best, "query_id long, vec_id long, score double")
-        order = Window.partitionBy("query_id").orderBy("score", "vec_id")
+        found = dealt.groupBy("list", "chunk").cogroup(asked.groupBy("list", "chunk")).applyInPandas(best, "query_id long, query_row long, vec_id long, score double")
+        order = Window.partitionBy("query_id", "query_row").orderBy("score", "vec_id")
         return found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
     # the rows in picked are in hash order, so the first of them are a sample
@@ -207,4 +211,4 @@ def search(vectors: DataFrame, query_every: int = 100, k: int = NEIGHBOURS, prob
             if len(got & want) >= RECALL * len(want):
                 break
             rerank *= 2
-    return answers(rows.filter(F.col("vec_id") % query_every == 0), probes, rerank)
+    return answers(coded.filter(F.col("vec_id") % query_every == 0), probes, rerank)
