@@ -81,6 +81,11 @@ def stage(df: DataFrame, tag: str) -> DataFrame:
     return out
 
 
+def narrow(df: DataFrame, rows: int, per_task: int = 100_000) -> DataFrame:
+    """``df`` in about as many tasks as its rows are worth, so that rounds over few rows don't pay for a large input's partitions."""
+    return df.coalesce(max(8, -(-rows // per_task)))
+
+
 def discard(*staged: DataFrame, shuffles: bool = False) -> None:
     """Delete staged frames that nothing reads any more; with ``shuffles`` the shuffle files of finished jobs too."""
     for df in staged:

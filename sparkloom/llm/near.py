@@ -38,7 +38,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sparkloom.llm.common import SpanHash, by_shard, discard, free_shuffles, fresh, join_groups, map_arrow, mix64, pack_array, pack_keys, stage, texts_of, unpack_array, unpack_keys
+from sparkloom.llm.common import SpanHash, by_shard, discard, free_shuffles, fresh, join_groups, map_arrow, mix64, narrow, pack_array, pack_keys, stage, texts_of, unpack_array, unpack_keys
 from sparkloom.llm.graph import components
 
 WORDS = 5
@@ -315,18 +315,23 @@ def verify(pairs: DataFrame, homes: DataFrame, loads: DataFrame) -> DataFrame:
     a text that is compared with many of them is sent once a block. A block with many texts is dealt over
     tasks, each of which gets its pivots once.
     """
+    n_pairs, n_pivots = max(1, pairs.count()), homes.count()
     counts = homes.groupBy("home").agg(F.ceil(F.count("*") / BLOCK_PIVOTS).cast("int").alias("blocks"))
     placed = homes.join(counts, "home").select("a", "home", F.pmod(F.xxhash64("a"), F.col("blocks")).cast("int").alias("block"))
-    placed = stage(placed.join(pairs.groupBy("a").agg(F.count("*").alias("n")), "a"), "pivot-blocks")
-    own = join_groups(pairs, placed, ["a"], "n", max(1, pairs.count()))
-    asked = stage(own.groupBy("home", "block", "b").agg(F.collect_list("a").alias("pivots")), "pivot-texts")
-    sizes = stage(asked.groupBy("home", "block").agg(F.count("*").alias("n")).withColumn("deals", F.ceil(F.col("n") / DEAL).cast("int")), "block-sizes")
-    dealt = join_groups(asked, sizes, ["home", "block"], "n", max(1, asked.count()))
-    right = dealt.withColumn("deal", F.pmod(F.xxhash64("b"), F.col("deals")).cast("int")).join(loads.withColumnRenamed("uid", "b"), "b")
-    left = placed.drop("n").join(sizes, ["home", "block"]).withColumn("deal", F.explode(F.sequence(F.lit(0), F.col("deals") - 1))).join(loads.withColumnRenamed("uid", "a"), "a")
+    placed = stage(narrow(narrow(placed, n_pivots).join(narrow(pairs.groupBy("a").agg(F.count("*").alias("n")), n_pivots), "a"), n_pivots), "pivot-blocks")
+    own = narrow(join_groups(pairs, placed, ["a"], "n", n_pairs), n_pairs)
+    asked = stage(narrow(own.groupBy("home", "block", "b").agg(F.collect_list("a").alias("pivots")), n_pairs), "pivot-texts")
+    n_asked = max(1, asked.count())
+    sizes = stage(narrow(asked.groupBy("home", "block").agg(F.count("*").alias("n")).withColumn("deals", F.ceil(F.col("n") / DEAL).cast("int")), n_pivots), "block-sizes")
+    dealt = join_groups(asked, sizes, ["home", "block"], "n", n_asked)
+    # texts come with their shingles, so that fewer of them make a task
+    right = narrow(narrow(dealt, n_asked).withColumn("deal", F.pmod(F.xxhash64("b"), F.col("deals")).cast("int")).join(loads.withColumnRenamed("uid", "b"), "b"), n_asked, DEAL // 2)
+    left = narrow(placed.drop("n").join(sizes, ["home", "block"]), n_pivots).withColumn("deal", F.explode(F.sequence(F.lit(0), F.col("deals") - 1)))
+    left = narrow(left.join(loads.withColumnRenamed("uid", "a"), "a"), n_pivots, DEAL // 2)
     columns = ["home", "block", "deal", "b", "pivots", "h", "q", "t"]
     first = left.withColumn("b", F.lit(None).cast("long")).withColumn("pivots", F.array("a")).select(*columns)
-    rows = first.unionByName(right.select(*columns)).repartition("home", "block", "deal").sortWithinPartitions("home", "block", "deal", F.col("b").asc_nulls_first())
+    rows = narrow(first.unionByName(right.select(*columns)).repartition("home", "block", "deal"), n_asked + n_pivots, DEAL // 2)
+    rows = rows.sortWithinPartitions("home", "block", "deal", F.col("b").asc_nulls_first())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, held = None, {}
@@ -377,10 +382,11 @@ def split(active: DataFrame, loads: DataFrame, least: float = SIMILARITY) -> Dat
 
 
 def spanning(active: DataFrame) -> DataFrame:
-    """Staged members of the bands that hold more than one class, with the band's size n."""
+    """Staged members of the bands that hold more than one class, with the band's size n; ``active`` is staged."""
+    n = max(1, active.count())
     sizes = active.groupBy("key").agg(F.count("*").alias("n"), F.min("root").alias("low"), F.max("root").alias("high")).filter("low <> high").select("key", "n")
-    sizes = stage(sizes, "band-sizes")
-    out = stage(join_groups(active, sizes, ["key"], "n", max(1, active.count())), "band-members")
+    sizes = stage(narrow(sizes, n), "band-sizes")
+    out = stage(narrow(join_groups(active, sizes, ["key"], "n", n), n), "band-members")
     discard(sizes)
     return out
 
@@ -390,16 +396,18 @@ def links(bands: DataFrame, loads: DataFrame, least: float = SIMILARITY, split_a
 
     ``keys`` holds the least keys of a text: a pair is made in the first band that it shares, as far as they tell.
     """
-    active = spanning(bands.withColumn("root", F.col("uid")))
+    active = spanning(bands.withColumn("root", F.col("uid")))  # bands are staged
     tested = roots = None
     for turn in itertools.count():
-        if active.isEmpty():
+        n_active = active.count()
+        if not n_active:
             break
         if turn == split_at:
             parts = stage(split(active, loads, least), "band-parts")
             discard(active)
             active = spanning(parts)
             discard(parts)
+            n_active = max(1, active.count())
         # one pivot at first, the least of a band, as it is that of many bands; then more, single texts first
         if turn == 0:
             pivots = active.groupBy("key").agg(F.first("n").alias("n"), F.min(F.struct("uid", "total", "shared", "root", "keys")).alias("p"))
@@ -409,21 +417,21 @@ def links(bands: DataFrame, loads: DataFrame, least: float = SIMILARITY, split_a
             single = F.lit(False) if turn < split_at else F.col("root") != F.col("uid")
             pivots = active.groupBy("key", slot.alias("slot")).agg(F.first("n").alias("n"), F.min(F.struct(single.alias("joined"), "uid", "total", "shared", "root", "keys")).alias("p"))
             pivots = pivots.groupBy("key").agg(F.first("n").alias("n"), F.collect_list(F.struct("p.uid", "p.total", "p.shared", "p.root", "p.keys")).alias("pivots"))
-        pivots = stage(pivots, "band-pivots")
-        met = join_groups(active.drop("n"), pivots, ["key"], "n", max(1, active.count()))
+        pivots = stage(narrow(pivots, n_active), "band-pivots")
+        met = narrow(join_groups(active.drop("n"), pivots, ["key"], "n", n_active), n_active, 20_000)
         # two texts have at most what each shares with others in common, and neither can be much heavier
         most = "least(shared, p.shared, total, p.total)"
         # a pair is left to a lesser band that both are in: it is made there once one of them is a pivot, unless they are of one class by then
         first = " and not exists(keys, x -> x < key and array_contains(p.keys, x))"
         near = f"p -> p.root <> root and p.uid <> uid and {most} >= {least - 1e-9} * (total + p.total - {most}){first}"
         met = met.select("uid", F.explode(F.expr(f"transform(filter(pivots, {near}), p -> p.uid)")).alias("pivot"))
-        pairs = met.select(F.col("pivot").alias("a"), F.col("uid").alias("b")).distinct()
+        pairs = narrow(met.select(F.col("pivot").alias("a"), F.col("uid").alias("b")).distinct(), n_active)
         if tested is not None:
             done = tested.select("a", "b").unionByName(tested.select(F.col("b").alias("a"), F.col("a").alias("b")))
-            pairs = pairs.join(done, ["a", "b"], "left_anti")
+            pairs = narrow(pairs.join(done, ["a", "b"], "left_anti"), n_active)
         pairs = stage(pairs, "band-pairs")
         if not pairs.isEmpty():
-            homes = pivots.select("key", F.explode("pivots.uid").alias("a")).groupBy("a").agg(F.min("key").alias("home"))
+            homes = narrow(pivots.select("key", F.explode("pivots.uid").alias("a")).groupBy("a").agg(F.min("key").alias("home")), n_active)
             sims = verify(pairs, homes, loads)
             edges = sims.filter(F.col("sim") >= least).select(F.col("a").alias("u"), F.col("b").alias("v"))
             if roots is not None:
@@ -434,9 +442,10 @@ def links(bands: DataFrame, loads: DataFrame, least: float = SIMILARITY, split_a
         # pivots leave, as they have met their whole band
         left = active.drop("root", "n").join(pivots.select("key", F.explode("pivots.uid").alias("uid")), ["key", "uid"], "left_anti")
         if roots is not None:
-            left = left.join(roots.withColumnRenamed("node", "uid"), "uid", "left")
-        after = spanning(left.withColumn("root", F.coalesce("root", "uid") if roots is not None else F.col("uid")))
-        discard(active, pivots, shuffles=True)
+            left = narrow(left, n_active).join(roots.withColumnRenamed("node", "uid"), "uid", "left")
+        left = stage(narrow(left.withColumn("root", F.coalesce("root", "uid") if roots is not None else F.col("uid")), n_active), "band-left")
+        after = spanning(left)
+        discard(active, pivots, left, shuffles=True)
         active = after
     return roots if roots is not None else bands.select(F.col("uid").alias("node"), F.col("uid").alias("root")).limit(0)
 
