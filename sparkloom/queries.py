@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from sparkloom.plans import budgets, conversations, custom, draws, frames, matching, questions, records, rules, sqlplans, stores, streams, tabled, webpages  # noqa: F401
+from sparkloom.plans import budgets, conversations, custom, draws, frames, matching, outlines, questions, records, rules, sqlplans, stores, streams, tabled, webpages  # noqa: F401
 from sparkloom.registry import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]
