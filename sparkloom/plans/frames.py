@@ -138,3 +138,20 @@ both(
     "resume_step_offset",  # a stage begins where the one before ended
     "SELECT stage, steps, CAST(sum(steps) OVER (ORDER BY stage ROWS UNBOUNDED PRECEDING) - steps AS BIGINT) AS first_step FROM (VALUES (1, 300), (2, 120), (3, 80)) AS t(stage, steps)",
 )
+# every document's samples in batches of eight by hash: labels hold -100 over the prompt, rows are padded on the right to their batch's longest
+_REPEAT = {0: "array_repeat({0}, CAST({1} AS INT))", 1: "list_transform(range(CAST({1} AS BIGINT)), lambda z: {0})"}
+_CAT = {0: "concat({0})", 1: "list_concat({0})"}
+_JOINED = {0: "md5(array_join({0}, ','))", 1: "md5(array_to_string({0}, ','))"}
+
+
+def _padded_rows(k: int) -> str:
+    placed = spell(ring(f"SELECT doc_id, 0 AS whole, inst, resp FROM ({framed(k)}) g", "whole", "doc_id", "sft"), k)
+    sized = spell(f"SELECT doc_id, batch, inst, resp, @len(inst) AS i, @len(resp) AS r, max(@len(inst) + @len(resp)) OVER (PARTITION BY batch) AS most FROM (SELECT *, CAST(floor(pos / 8e0) AS BIGINT) AS batch FROM ({placed}) p) q", k)
+    pad = lambda x: _REPEAT[k].format(x, "(most - i - r)")
+    ids = _CAT[k].format(f"inst, resp, {pad(0)}")
+    labels = _CAT[k].format(f"{_REPEAT[k].format(-100, 'i')}, resp, {pad(-100)}")
+    mask = _CAT[k].format(f"{_REPEAT[k].format(1, '(i + r)')}, {pad(0)}")
+    return f"SELECT doc_id, batch, most AS width, {_JOINED[k].format(ids)} AS ids_md5, {_JOINED[k].format(labels)} AS labels_md5, {_JOINED[k].format(mask)} AS mask_md5 FROM ({sized}) s"
+
+
+_two("sft_padded_rows", _padded_rows)

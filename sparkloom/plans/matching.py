@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sparkloom.operators import aliases, retrieval, setjoin
-from sparkloom.registry import load, query
+from sparkloom.registry import ORACLES, load, query
 
 #: Fewest letters of a word that counts; a retrieval term of this many weighs two.
 WORD, LONG_TERM = 6, 8
@@ -100,3 +100,42 @@ def entity_names(spark: SparkSession, sf_dir: str) -> DataFrame:
     table = table.select(F.expr("row_number() OVER (ORDER BY length(w) DESC, w)").alias("ord"), F.col("w").alias("alias"), F.concat(F.lit("item "), "item").alias("canonical"))
     fallback = F.when(F.col("lang") == "en", F.array(F.lit("item 1"), F.lit("item 2"))).otherwise(F.array(F.lit("item 3")))
     return aliases.entities(load(spark, sf_dir, "documents"), table, "lang", fallback).select("doc_id", F.array_join("names", "|").alias("names"))
+
+
+_LEAKS = ("official answer", "answer key", "password")
+_FOUND = ORACLES["retrieve_ranked_contexts"]
+
+
+@query(
+    "retrieval_kept_contexts",
+    f"SELECT item_id, rank, doc_id, score FROM ({_FOUND}) f JOIN (SELECT doc_id, text, source FROM documents) d USING (doc_id) WHERE score >= 4 AND source <> 'src7' AND NOT regexp_matches(lower(text), '{'|'.join(_LEAKS)}')",
+)
+def retrieval_kept_contexts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Retrieved contexts without those of an excluded source, of a low score, or whose document speaks of answers."""
+    docs = load(spark, sf_dir, "documents").select("doc_id", "text", "source")
+    kept = retrieve_ranked_contexts(spark, sf_dir).filter("score >= 4").join(docs, "doc_id").filter((F.col("source") != "src7") & ~F.lower("text").rlike("|".join(_LEAKS)))
+    return kept.select("item_id", "rank", "doc_id", "score")
+
+
+_SHOTS = 2
+
+
+@query(
+    "rag_prompt_messages",
+    f"""WITH c AS (SELECT item_id, string_agg('[' || rank || '] ' || snippet, chr(10) ORDER BY rank) AS context FROM ({_FOUND}) f GROUP BY item_id),
+s AS (SELECT string_agg('[user]' || chr(10) || text || chr(10) || '[assistant]' || chr(10) || length(text), chr(10) ORDER BY item_id) AS shots FROM (SELECT * FROM benchmark ORDER BY item_id LIMIT {_SHOTS}) x)
+SELECT b.item_id, c.context IS NOT NULL AS has_context, md5('[system]' || chr(10) || 'Answer by number.' || chr(10) || s.shots || chr(10) || '[user]' || chr(10) || coalesce('Context:' || chr(10) || c.context || chr(10) || chr(10), '') || b.text) AS messages_md5
+FROM benchmark b CROSS JOIN s LEFT JOIN c ON c.item_id = b.item_id WHERE b.item_id NOT IN (SELECT item_id FROM benchmark ORDER BY item_id LIMIT {_SHOTS})""",
+)
+def rag_prompt_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The messages of each item: the system's, the first items as worked examples, then the item behind its retrieved contexts."""
+    items = load(spark, sf_dir, "benchmark").select("item_id", "text")
+    shots = items.orderBy("item_id").limit(_SHOTS)  # a few rows, which go to all
+    told = F.concat(F.lit("[user]\n"), "text", F.lit("\n[assistant]\n"), F.length("text"))
+    one = shots.agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("item_id", told.alias("m")))), lambda x: x["m"]), "\n").alias("shots"))
+    line = F.concat(F.lit("["), "rank", F.lit("] "), "snippet")
+    contexts = retrieve_ranked_contexts(spark, sf_dir).groupBy("item_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("rank", line.alias("m")))), lambda x: x["m"]), "\n").alias("context"))
+    rows = items.join(F.broadcast(shots.select("item_id")), "item_id", "left_anti").join(contexts, "item_id", "left").crossJoin(F.broadcast(one))
+    context = F.coalesce(F.concat(F.lit("Context:\n"), "context", F.lit("\n\n")), F.lit(""))
+    message = F.concat(F.lit("[system]\nAnswer by number.\n"), "shots", F.lit("\n[user]\n"), context, "text")
+    return rows.select("item_id", F.col("context").isNotNull().alias("has_context"), F.md5(message).alias("messages_md5"))

@@ -249,3 +249,8 @@ both("term_extraction", "SELECT item_id, @join(@head(@keep(regexp_extract_all(lo
 # batch forms of watching rules
 both("stable_items", "SELECT user_id, event_id FROM (SELECT user_id, event_id, ts, lead(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS later FROM {events}) t WHERE later IS NULL OR later >= ts + INTERVAL '12' HOUR")
 both("grace_restart", "SELECT user_id, event_id FROM (SELECT user_id, event_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS r FROM (SELECT user_id, event_id, ts, lead(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS later FROM {events}) a WHERE later > ts + INTERVAL '1' DAY) b WHERE r = 1")
+both(
+    "attachments_expanded",  # customers with each of their orders as an attachment, those without once
+    "SELECT c_custkey, o_orderkey, CASE WHEN o_orderkey IS NULL THEN NULL ELSE concat('order_', o_orderkey, CASE WHEN o_orderstatus = 'F' THEN '.pdf' ELSE '.hwp' END) END AS filename, "
+    "CAST(row_number() OVER (PARTITION BY c_custkey ORDER BY o_orderkey) AS BIGINT) AS number FROM {customer} LEFT JOIN {orders} ON o_custkey = c_custkey",
+)
