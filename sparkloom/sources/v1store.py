@@ -36,7 +36,7 @@ _SPANS = "sample_id long, inst_start long, inst_len long, resp_start long, resp_
 SCHEMA = _SPANS + ", inst array<int>, resp array<int>"
 
 
-def _open(path: str) -> tuple[pafs.FileSystem, str]:
+def open_store(path: str) -> tuple[pafs.FileSystem, str]:
     return pafs.FileSystem.from_uri(path) if "://" in path or path.startswith(("/", "file:")) else (pafs.LocalFileSystem(), path)
 
 
@@ -57,7 +57,7 @@ class _Writer(DataSourceArrowWriter):
 
     def write(self, iterator: Iterator[pa.RecordBatch]) -> Part:
         number = TaskContext.get().partitionId()
-        store, root = _open(self.path)
+        store, root = open_store(self.path)
         name = f"part-{number:06d}-{uuid.uuid4().hex}"
         store.create_dir(f"{root}/tokens", recursive=True)
         samples = tokens = longest = 0
@@ -78,7 +78,7 @@ class _Writer(DataSourceArrowWriter):
         return Part(number, name, samples, tokens, longest)
 
     def commit(self, messages: list[Part | None]) -> None:
-        store, root = _open(self.path)
+        store, root = open_store(self.path)
         found = [m for m in messages if m is not None]
         old = [] if self.overwrite or not _exists(store, f"{root}/metadata.json") else read_metadata(self.path)["parts"]
         parts, base = list(old), sum(p["tokens"] for p in old)
@@ -95,7 +95,7 @@ class _Writer(DataSourceArrowWriter):
             out.write(json.dumps(meta).encode())
 
     def abort(self, messages: list[Part | None]) -> None:
-        store, root = _open(self.path)
+        store, root = open_store(self.path)
         for part in messages:
             for end in ("ids", "idx") if part is not None else ():
                 if _exists(store, f"{root}/tokens/{part.name}.{end}"):
@@ -107,7 +107,7 @@ def _exists(store: pafs.FileSystem, path: str) -> bool:
 
 
 def read_metadata(path: str) -> dict:
-    store, root = _open(path)
+    store, root = open_store(path)
     with store.open_input_stream(f"{root}/metadata.json") as f:
         return json.loads(f.read())
 
@@ -133,7 +133,7 @@ class _Reader(DataSourceReader):
     def read(self, partition: _Range) -> Iterator[pa.RecordBatch]:
         if partition.first == partition.last:
             return
-        store, root = _open(self.path)
+        store, root = open_store(self.path)
         with store.open_input_file(f"{root}/tokens/{partition.name}.idx") as index, store.open_input_file(f"{root}/tokens/{partition.name}.ids") as ids:
             at, done = 0, 0
             while done < partition.last:  # lengths before the range are read, their ids are not
@@ -210,7 +210,7 @@ def gather(spans: DataFrame, path: str) -> DataFrame:
     columns = spans.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        store, root = _open(path)
+        store, root = open_store(path)
         held, file = -1, None
         for batch in batches:
             lists: dict[str, list[np.ndarray]] = {"inst": [], "resp": []}

@@ -74,3 +74,15 @@ def test_framing_runs_once_behind_the_deal(spark):
     docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
     text = stores.samples_of(docs)._jdf.queryExecution().executedPlan().toString()
     assert text.count("Exchange") == 1 and text.count("FileScan") == 1
+
+
+def test_a_file_for_each_page(spark, tmp_path):
+    from sparkloom.sources.pagefiles import write_page_files
+
+    path = tmp_path / "pages"
+    write_page_files(spark.createDataFrame([(f"q{k}", f"# Question {k}\n\nÉ") for k in range(9)] + [("none", None)], "name string, body string").repartition(3), str(path))
+    assert sorted(x.name for x in path.iterdir()) == sorted([*(f"q{k}.md" for k in range(9)), "none.md"])
+    assert (path / "q3.md").read_text() == "# Question 3\n\nÉ" and (path / "none.md").read_text() == ""
+    with pytest.raises(Exception, match="no name for a file"):
+        write_page_files(spark.createDataFrame([("a/b", "x")], "name string, body string"), str(path))
+    assert len(list(path.glob("*.md"))) == 10
