@@ -11,37 +11,11 @@ def strip(x: Column) -> Column:
     return F.regexp_replace(x, r"(?U)^\s+|\s+$", "")
 
 
-def squeeze(x: Column) -> Column:
-    """Runs of white space as one space, none at the ends."""
-    return strip(F.regexp_replace(x, r"(?U)\s+", " "))
-
-
-def compact(x: Column) -> Column:
-    """No white space at all."""
-    return F.regexp_replace(x, r"(?U)\s+", "")
-
-
 def blank(x: Column) -> Column:
     """Whether null or nothing but white space."""
     return x.isNull() | (F.length(strip(x)) == 0)
 
 
-def strip_think(x: Column) -> Column:
-    """Without reasoning blocks, whatever their case and lines."""
-    return strip(F.regexp_replace(x, r"(?is)<think>.*?</think>\s*", ""))
-
-
 def trim_left(x: Column, limit: int, marker: str = "[truncated]\n") -> Column:
     """The last ``limit`` characters after a marker line, where x is longer; the marker comes on top."""
     return F.when(F.length(x) > limit, F.concat(F.lit(marker), F.right(x, F.lit(limit)))).otherwise(x)
-
-
-def middle_cut(ids: Column, budget: Column, head: int) -> Column:
-    """An array cut in its middle to ``budget`` items: a head of at most half the budget, and a tail."""
-    front = F.least(F.lit(head), F.greatest(F.lit(0), F.floor(budget / 2).cast("int")))
-    back = budget - front
-    return (
-        F.when(budget <= 0, F.slice(ids, 1, 0))
-        .when(F.size(ids) <= budget, ids)
-        .otherwise(F.concat(F.slice(ids, F.lit(1), front), F.when(back > 0, F.slice(ids, F.size(ids) - back + 1, back)).otherwise(F.slice(ids, 1, 0))))
-    )
