@@ -2,11 +2,14 @@
 
 The packer keeps at most ``open_bins`` bins. A bitset has bit f set while some open bin has f free
 tokens, so the best fit for n tokens is the lowest set bit from n up. When a bin more is needed
-than may be open, the fullest bin closes. Bins of different groups never mix, so groups pack in
+than may be open, the fullest bin closes. Pieces come in the order of their ids; the packer looks
+WINDOW pieces ahead and places the longest of them first, so that what it holds is bounded by the
+window and the open bins, whatever comes. Bins of different groups never mix, so groups pack in
 parallel. Ids are made by a tokenizers file; only documents longer than a sequence are cut.
 
 Defined cases: a null text counts as empty and still has its end id; a null doc_id packs like any
-other; repeated rows are packed each; an empty table gives no rows; further columns are ignored.
+other; repeated rows are packed each; pieces of equal length are placed in their order; a text of any
+length is cut whole; an empty table gives no rows; further columns are ignored.
 """
 
 from __future__ import annotations
@@ -22,7 +25,9 @@ from sparkloom.llm.common import crc32_ids, map_arrow, stage
 from sparkloom.llm.units import encoder, gathered
 
 SEQUENCE_TOKENS = 2048
-OPEN_BINS = 8192
+OPEN_BINS = 512
+#: Pieces that the packer looks ahead.
+WINDOW = 1024
 #: Pieces in a packing group; a group packs in one task.
 GROUP_PIECES = 16_384
 
@@ -98,31 +103,52 @@ class BestFit:
         return place, self.most - free
 
 
-def pack(rows: DataFrame, most: int = SEQUENCE_TOKENS, open_bins: int = OPEN_BINS, group_pieces: int = GROUP_PIECES) -> DataFrame:
+def windows(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.RecordBatch]:
+    """The rows again, ``size`` at a time where that many of one _group follow each other."""
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        group = batch.column("_group").to_numpy()
+        cuts = [0, *(np.flatnonzero(np.diff(group)) + 1).tolist(), len(group)]
+        for a, b in zip(cuts, cuts[1:], strict=False):
+            while a < b:
+                if held and held[0].column("_group")[0].as_py() != group[a]:
+                    yield pa.concat_batches(held)
+                    held = []
+                take = min(b - a, size - sum(x.num_rows for x in held))
+                held.append(batch.slice(a, take))
+                a += take
+                if sum(x.num_rows for x in held) == size:
+                    yield pa.concat_batches(held)
+                    held = []
+    if held:
+        yield pa.concat_batches(held)
+
+
+def pack(rows: DataFrame, most: int = SEQUENCE_TOKENS, open_bins: int = OPEN_BINS, group_pieces: int = GROUP_PIECES, window: int = WINDOW) -> DataFrame:
     """Add sequence_id and offset to rows with doc_id, piece and length.
 
-    Rows are dealt evenly into groups by a hash, so no group grows with the input. Within a group the
-    long ones come first, which makes the packing about as tight as best-fit decreasing.
+    Rows are dealt evenly into groups by a hash, so no group grows with the input.
     """
     spark = rows.sparkSession
     groups = max(1, -(-rows.count() // group_pieces))
     schema = rows.schema
     dealt = rows.withColumn("_group", F.pmod(F.xxhash64("doc_id", "piece", "start"), F.lit(groups)).cast("int"))
     parts = max(1, min(groups, int(spark.conf.get("spark.sql.shuffle.partitions"))))
-    dealt = dealt.repartition(parts, "_group").sortWithinPartitions("_group", F.desc("length"), "doc_id", "piece")
+    dealt = dealt.repartition(parts, "_group").sortWithinPartitions("_group", "doc_id", "piece")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         group, packer = None, BestFit(most, open_bins)
-        for batch in batches:
-            sequence, offset = [], []
-            for g, length in zip(batch.column("_group").to_pylist(), batch.column("length").to_pylist(), strict=True):
-                if g != group:
-                    group, packer = g, BestFit(most, open_bins)
-                place, at = packer.put(length)
-                sequence.append((g << 32) | place)
-                offset.append(at)
+        for batch in windows(batches, window):
+            here = batch.column("_group")[0].as_py()
+            if here != group:
+                group, packer = here, BestFit(most, open_bins)
+            length = batch.column("length").to_numpy()
+            sequence, offset = np.empty(len(length), np.int64), np.empty(len(length), np.int64)
+            for k in np.argsort(-length, kind="stable").tolist():
+                place, offset[k] = packer.put(int(length[k]))
+                sequence[k] = (here << 32) | place
             kept = [batch.column(x.name) for x in schema]
-            yield pa.RecordBatch.from_arrays([*kept, pa.array(sequence, pa.int64()), pa.array(offset, pa.int64())], [*schema.names, "sequence_id", "offset"])
+            yield pa.RecordBatch.from_arrays([*kept, pa.array(sequence), pa.array(offset)], [*schema.names, "sequence_id", "offset"])
 
     out = ", ".join(f"`{x.name}` {x.dataType.simpleString()}" for x in schema) + ", sequence_id long, offset long"
     return dealt.mapInArrow(run, out)

@@ -148,3 +148,36 @@ def test_the_pipeline_takes_what_was_planted_and_nothing_else(spark, tmp_path):
     for k in (303, 304):
         left = docs[k].replace(passage, "")
         assert size(left) - 3 <= sums[k] <= size(left) + 3  # a space beside the passage goes too
+
+
+def test_packing_looks_ahead_within_bounds(spark):
+    import random
+
+    from sparkloom.llm import packing
+
+    rng = random.Random(3)
+    rows = [(k if k % 50 else None, 0, 0, rng.choice((rng.randint(1, 64), rng.randint(1, 64), 64)), 0) for k in range(3000)]
+    frame = spark.createDataFrame(rows, packing.PIECES)
+    for open_bins, window, groups in ((512, 1024, 16_384), (8, 16, 500), (1, 1, 100)):
+        got = packing.pack(frame, 64, open_bins, groups, window).collect()
+        assert sorted((r.doc_id or -1, r.length) for r in got) == sorted((r[0] or -1, r[3]) for r in rows)
+        places = {}
+        for r in got:
+            places.setdefault(r.sequence_id, []).append((r.offset, r.length))
+        for own in places.values():
+            at = 0
+            for offset, length in sorted(own):
+                assert offset == at
+                at += length
+            assert at <= 64
+        if open_bins == 512:
+            assert len(places) <= 1.01 * sum(r[3] for r in rows) / 64 + 1
+
+
+def test_windows_keep_groups_apart():
+    import pyarrow as pa
+
+    from sparkloom.llm.packing import windows
+
+    batches = [pa.RecordBatch.from_pydict({"_group": g, "x": list(range(len(g)))}) for g in ([1, 1, 1], [1, 1, 2], [2, 3, 3, 3, 3], [3])]
+    assert [b.column("_group").to_pylist() for b in windows(iter(batches), 3)] == [[1, 1, 1], [1, 1], [2, 2], [3, 3, 3], [3, 3]]
