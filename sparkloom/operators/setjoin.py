@@ -21,6 +21,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from sparkloom.session import settled
+
 HOT = 10_000
 
 
@@ -71,7 +73,8 @@ def candidate_pairs(left: DataFrame, right: DataFrame, threshold: float) -> Data
 
 def overlap_join(left: DataFrame, right: DataFrame, threshold: float) -> DataFrame:
     """a, b, overlap of all pairs of (id, words) that reach the threshold."""
-    own = [x.select("id", "words").filter(F.size("words") > 0) for x in (left, right)]
+    # sets are made once: each side is read for its frequent words, as the smaller, as the larger, and to verify
+    own = [settled(x.select("id", "words").filter(F.size("words") > 0)) for x in (left, right)]
     pairs = candidate_pairs(*own, threshold)
     full = pairs.join(own[0].select(F.col("id").alias("a"), F.col("words").alias("x")), "a").join(own[1].select(F.col("id").alias("b"), F.col("words").alias("y")), "b")
     share = F.size(F.array_intersect("x", "y")) / F.least(F.size("x"), F.size("y"))

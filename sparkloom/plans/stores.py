@@ -18,7 +18,9 @@ EPOCHS = 2
 
 def samples_of(docs: DataFrame) -> DataFrame:
     """sample_id, inst and resp of the documents that become samples, in the order of doc_id; texts are framed after they are dealt."""
-    dealt = docs.select("doc_id", "source", "text").repartitionByRange("doc_id").sortWithinPartitions("doc_id")
+    # framing costs more than reading, so that small inputs are dealt over all cores too
+    parts = max(docs.sparkSession.sparkContext.defaultParallelism, docs.rdd.getNumPartitions())
+    dealt = docs.select("doc_id", "source", "text").repartitionByRange(parts, "doc_id").sortWithinPartitions("doc_id")
     return docs.sparkSession.sql(f"SELECT doc_id AS sample_id, inst, resp FROM ({framed(0)}) f", documents=dealt)
 
 
