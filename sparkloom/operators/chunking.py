@@ -1,9 +1,13 @@
-"""Cutting long texts into chunks at headings, paragraphs or lines, as an Arrow-batched function."""
+"""Cutting long texts into chunks at headings, paragraphs or lines, by few texts at a time."""
 
 from __future__ import annotations
 
-import pandas as pd
-from pyspark.sql import functions as F
+from collections.abc import Iterator
+
+import pyarrow as pa
+from pyspark.sql import DataFrame
+
+from sparkloom.session import slices
 
 
 def boundary(text: str, start: int, end: int, marks: tuple[str, ...], least: int) -> int:
@@ -31,11 +35,16 @@ def cut(text: str, most: int, overlap: int, marks: tuple[str, ...], floor: float
 KINDS = {"heading": (("\n#", "\n\n"), 0.55, True), "paragraph": (("\n\n",), 0.55, True), "newline": (("\n",), 0.6, False)}
 
 
-def chunks(kind: str, most: int, overlap: int = 0):
+def chunks(docs: DataFrame, kind: str, most: int, overlap: int = 0, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """key, chunk_index and body of the chunks of each text; null and blank texts have none."""
     marks, floor, overlaps = KINDS[kind]
 
-    @F.pandas_udf("array<string>")
-    def run(texts: pd.Series) -> pd.Series:
-        return texts.fillna("").map(lambda x: cut(x, most, overlap if overlaps else 0, marks, floor))
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches):
+            found = [cut(x or "", most, overlap if overlaps else 0, marks, floor) for x in batch.column(1).to_pylist()]
+            rows = pa.array([row for row, own in enumerate(found) for _ in own], pa.int64())
+            places = pa.array([k for own in found for k in range(len(own))], pa.int32())
+            bodies = pa.array([x for own in found for x in own], pa.string())
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(rows), places, bodies], [key, "chunk_index", "body"])
 
-    return run
+    return docs.select(key, text).mapInArrow(run, f"{key} {docs.schema[key].dataType.simpleString()}, chunk_index int, body string")

@@ -15,8 +15,7 @@ SHARDS, TOKENS = 16, 1024
 
 
 def _chunks(spark: SparkSession, sf_dir: str, kind: str) -> DataFrame:
-    docs = load(spark, sf_dir, "documents").select("doc_id", "text")
-    rows = docs.select("doc_id", F.posexplode(chunking.chunks(kind, 1200, 160)("text")).alias("chunk_index", "body"))
+    rows = chunking.chunks(load(spark, sf_dir, "documents"), kind, 1200, 160)
     return rows.select("doc_id", "chunk_index", F.length("body").alias("n"), F.md5("body").alias("h"))
 
 
