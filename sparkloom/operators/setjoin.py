@@ -17,11 +17,12 @@ from __future__ import annotations
 import math
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sparkloom.session import settled
+from sparkloom.session import settled, slices
 
 HOT = 10_000
 
@@ -43,16 +44,19 @@ def _placed(sets: DataFrame, hot: dict[str, int], threshold: float, prefix: bool
     """id, size, word, place of all words of each set, or of those that a smaller set has to show."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            rows = []
-            for key, words in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+        for batch in slices(batches):
+            kept, sizes, found, places = [], [], [], []
+            for row, words in enumerate(batch.column(1).to_pylist()):
                 if words:
                     n = len(words)
-                    order = sorted(words, key=lambda w: (hot.get(w, 0), w))
-                    rows += [(key, n, w, k) for k, w in enumerate(order[: n - needed(threshold, n) + 1] if prefix else order)]
-            if rows:
-                ids, sizes, found, places = zip(*rows, strict=True)
-                yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(sizes, pa.int32()), pa.array(found, pa.string()), pa.array(places, pa.int32())], ["id", "size", "word", "place"])
+                    order = sorted(words, key=lambda w: (hot.get(w, 0), w))[: n - needed(threshold, n) + 1 if prefix else n]
+                    kept.append(np.full(len(order), row))
+                    sizes.append(np.full(len(order), n, np.int32))
+                    places.append(np.arange(len(order), dtype=np.int32))
+                    found.append(pa.array(order, pa.string()))
+            if kept:
+                columns = [batch.column(0).take(pa.array(np.concatenate(kept))), pa.array(np.concatenate(sizes)), pa.concat_arrays(found), pa.array(np.concatenate(places))]
+                yield pa.RecordBatch.from_arrays(columns, ["id", "size", "word", "place"])
 
     return sets.mapInArrow(run, "id long, size int, word string, place int")
 

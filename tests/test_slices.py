@@ -6,7 +6,7 @@ import pyarrow as pa
 from pyspark.sql.types import LongType
 
 from sparkloom import session
-from sparkloom.operators import chunking
+from sparkloom.operators import chunking, setjoin
 
 
 class Rows:
@@ -35,3 +35,13 @@ def test_chunks_leave_by_slices():
     assert len(out) > 10
     got = [(r["doc_id"], r["chunk_index"], r["body"]) for b in out for r in b.to_pylist()]
     assert got == [(d, k, x) for d, t in enumerate(texts) for k, x in enumerate(chunking.cut(t or "", 100, 0, ("\n",), 0.6))]
+
+
+def test_sets_leave_by_slices():
+    sets = [None, []] + [[f"w{k % 7}", f"v{k % 11}", "hot"] for k in range(3000)]
+    batch = pa.record_batch({"id": pa.array(range(len(sets))), "words": pa.array(sets, pa.list_(pa.string()))})
+    for prefix in (False, True):
+        out = setjoin._placed(Rows(), {"hot": 1}, 0.5, prefix)(batch)
+        assert len(out) > 10
+        got = [(r["id"], r["size"], r["word"], r["place"]) for b in out for r in b.to_pylist()]
+        assert got == [(i, 3, w, k) for i, own in enumerate(sets) if own for k, w in enumerate(sorted(own, key=lambda w: (w == "hot", w))[: 2 if prefix else 3])]
