@@ -49,3 +49,23 @@ def test_a_text_is_cleaned_once_and_ids_are_made_of_written_rows(spark, odd):
     text = spark.sql(frames.framed(0), documents=docs)._jdf.queryExecution().optimizedPlan().toString()
     assert text.count("(?is)<think>") == 1
     assert text.index("md5(") < text.index("Filter") and "md5(" not in text[text.index("Filter") :]
+
+
+@pytest.mark.parametrize("name", ["v1_epochs"])
+def test_texts_are_framed_once_before_sums_and_places(spark, odd, name):
+    assert "(?is)<think>" not in queries.QUERIES[name](spark, odd)._jdf.queryExecution().optimizedPlan().toString()
+
+
+@pytest.mark.parametrize("name", ["frame_tokens", "sample_policies", "sample_policies_direct", "v1_index"])
+def test_texts_beyond_the_counted_words_equal_sql(spark, tmp_path, name):
+    # a split that stops holds CONTEXT + 4 pieces; edges of a text are empty ones
+    many = lambda n: " ".join(f"w{k}" for k in range(n))
+    texts = [f"{a}{many(n)}{b}" for n in (250, 252, 253, *range(frames.CONTEXT - 1, frames.CONTEXT + 9)) for a in ("", " ") for b in ("", "\n", " \n ")]
+    texts += [f"{a}<think>{many(n)}\n</think> a <b\n" for n in (90, 252, *range(frames.CONTEXT, frames.CONTEXT + 9), 400) for a in ("", "  ")]
+    rows = [(23 * 19 * 17 * 5 * 2 * k + c, x, "a") for k, x in enumerate(texts) for c in (1, 3)]
+    spark.createDataFrame(rows, "doc_id long, text string, source string").write.parquet(f"{tmp_path}/documents.parquet")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+    there = con.execute(queries.ORACLES[name])
+    names = [x[0] for x in there.description]
+    assert sorted(map(repr, map(tuple, queries.QUERIES[name](spark, str(tmp_path)).select(*names).collect()))) == sorted(map(repr, there.fetchall()))
