@@ -51,7 +51,7 @@ def test_a_text_is_cleaned_once_and_ids_are_made_of_written_rows(spark, odd):
     assert text.index("md5(") < text.index("Filter") and "md5(" not in text[text.index("Filter") :]
 
 
-@pytest.mark.parametrize("name", ["v1_epochs", "sft_padded_rows"])
+@pytest.mark.parametrize("name", ["v1_epochs", "sft_padded_rows", "written_lengths"])
 def test_texts_are_framed_once_before_sums_and_places(spark, odd, name):
     assert "(?is)<think>" not in queries.QUERIES[name](spark, odd)._jdf.queryExecution().optimizedPlan().toString()
 
