@@ -8,20 +8,25 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sparkloom.plans.dialects import ring, spell
-from sparkloom.plans.frames import framed, spans
+from sparkloom.plans.frames import framed, spans, written_rows
 from sparkloom.registry import load, query
-from sparkloom.session import shared_folder
+from sparkloom.session import shared_folder, written
 from sparkloom.sources import v1store
 
 EPOCHS = 2
 
 
 def samples_of(docs: DataFrame) -> DataFrame:
-    """sample_id, inst and resp of the documents that become samples, in the order of doc_id; texts are framed after they are dealt."""
+    """sample_id, inst and resp of the documents that become samples, in the order of doc_id.
+
+    Those documents are told first and written, so that no text of another is dealt; they are framed after they are dealt.
+    """
+    spark = docs.sparkSession
     # framing costs more than reading, so that small inputs are dealt over all cores too
-    parts = max(docs.sparkSession.sparkContext.defaultParallelism, docs.rdd.getNumPartitions())
-    dealt = docs.select("doc_id", "source", "text").repartitionByRange(parts, "doc_id").sortWithinPartitions("doc_id")
-    return docs.sparkSession.sql(f"SELECT doc_id AS sample_id, inst, resp FROM ({framed(0)}) f", documents=dealt)
+    parts = max(spark.sparkContext.defaultParallelism, docs.rdd.getNumPartitions())
+    rows = written(spark.sql(written_rows(), documents=docs), "samples")
+    dealt = rows.repartitionByRange(parts, "doc_id").sortWithinPartitions("doc_id")
+    return spark.sql(f"SELECT doc_id AS sample_id, inst, resp FROM ({framed(0, 'SELECT * FROM {dealt}')}) f", dealt=dealt)
 
 
 def stored(spark: SparkSession, sf_dir: str) -> str:

@@ -28,6 +28,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, InputPartition, WriterCommitMessage
 
 from sparkloom.plans.dialects import ring, spell
+from sparkloom.session import written
 
 #: Samples that a reading task takes, and that a batch holds.
 READ_SAMPLES, BATCH_SAMPLES = 65_536, 1024
@@ -194,9 +195,10 @@ def read_store(spark: SparkSession, path: str, ids: bool = True) -> DataFrame:
 
 def write_epochs(spark: SparkSession, path: str, epochs: int, seed: str = "epoch") -> None:
     """For each epoch the spans of all samples in the order of a hash, as Parquet under the store."""
-    spans = read_store(spark, path, ids=False).withColumn("whole", F.lit(0))
+    # a ring reads its rows twice, and so does a deal by ranges
+    spans = written(read_store(spark, path, ids=False).withColumn("whole", F.lit(0)), "spans")
     for k in range(epochs):
-        placed = spark.sql(spell(ring("SELECT * FROM {spans}", "whole", "sample_id", f"{seed}{k}"), 0), spans=spans)
+        placed = written(spark.sql(spell(ring("SELECT * FROM {spans}", "whole", "sample_id", f"{seed}{k}"), 0), spans=spans), "places")
         placed.select("pos", *(x.split()[0] for x in _SPANS.split(", "))).repartitionByRange("pos").sortWithinPartitions("pos").write.mode("overwrite").parquet(f"{path}/epoch_{k}")
 
 

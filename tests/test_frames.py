@@ -4,7 +4,7 @@ import duckdb
 import pytest
 
 from sparkloom import queries
-from sparkloom.plans import frames
+from sparkloom.plans import frames, stores
 
 NAMES = "v1_index v1_merge v1_epochs written_lengths token_target_stop frame_tokens sample_policies sample_policies_direct sft_padded_rows".split()
 
@@ -56,6 +56,12 @@ def test_texts_are_framed_once_before_sums_and_places(spark, odd, name):
     assert "(?is)<think>" not in queries.QUERIES[name](spark, odd)._jdf.queryExecution().optimizedPlan().toString()
 
 
+def test_samples_are_told_before_texts_are_dealt(spark, odd):
+    rows = stores.samples_of(spark.read.parquet(f"{odd}/documents.parquet"))
+    assert "(?is)<think>" not in rows._jdf.queryExecution().optimizedPlan().toString()
+    assert rows.count() > 0
+
+
 @pytest.mark.parametrize("name", ["frame_tokens", "sample_policies", "sample_policies_direct", "v1_index"])
 def test_texts_beyond_the_counted_words_equal_sql(spark, tmp_path, name):
     # a split that stops holds CONTEXT + 4 pieces; edges of a text are empty ones
