@@ -1,6 +1,7 @@
 """Repeated ids, batches, warm caches and whole contracts, against the libraries themselves or brute force."""
 
 import hashlib
+import tracemalloc
 import uuid
 import zlib
 
@@ -9,7 +10,7 @@ import public_tokenizers as P
 import sentencepiece
 from tokenizers import Tokenizer
 
-from sparkloom.llm import counts, exact, pieces, toxicity, vectors
+from sparkloom.llm import counts, exact, induced, pieces, toxicity, vectors
 
 SCHEMA = "doc_id long, text string, digest string, batch string, query_row long, n int"
 
@@ -181,3 +182,15 @@ def test_windows_keep_groups_apart():
 
     batches = [pa.RecordBatch.from_pydict({"_group": g, "x": list(range(len(g)))}) for g in ([1, 1, 1], [1, 1, 2], [2, 3, 3, 3, 3], [3])]
     assert [b.column("_group").to_pylist() for b in windows(iter(batches), 3)] == [[1, 1, 1], [1, 1], [2, 2], [3, 3, 3], [3, 3]]
+
+
+def test_memory_of_suffix_order():
+    rng = np.random.default_rng(7)
+    words = [bytes(rng.integers(97, 123, rng.integers(2, 9)).astype(np.uint8)) for _ in range(3000)]
+    strings = [b" ".join(words[k] for k in rng.integers(0, len(words), 110)) for _ in range(600)]
+    size = sum(map(len, strings))
+    tracemalloc.start()
+    induced.repeated_windows(strings, 250)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 80 * size
