@@ -164,7 +164,15 @@ class Block:
         return expand(own[a:b], self.rules, self.vocabulary)[start - skipped : stop - skipped]
 
     def all(self) -> np.ndarray:
-        return expand(self.symbols, self.rules, self.vocabulary)
+        """All ids: each rule is expanded once, and each symbol is a span of those ids."""
+        pool = np.concatenate([np.arange(self.vocabulary, dtype=np.uint32), expand(self.vocabulary + np.arange(len(self.rules)), self.rules, self.vocabulary)])
+        sizes = np.concatenate([np.ones(self.vocabulary, np.int64), self.lengths])
+        starts = np.cumsum(sizes) - sizes
+        width = sizes[self.symbols]
+        place = np.cumsum(width) - width
+        at = np.repeat(starts[self.symbols] - place, width)
+        at += np.arange(len(at))
+        return pool[at]
 
 
 BLOCKS = "part int, block int, docs long, tokens long, payload binary"

@@ -5,6 +5,7 @@ import public_tokenizers
 import pyarrow as pa
 import pytest
 
+from sparkloom.llm import repair
 from sparkloom.llm.repair import compress, expand
 from sparkloom.llm.units import UnitEncoder, gathered
 
@@ -58,3 +59,14 @@ def test_rows_of_one_id_stand_in_the_order_of_their_texts(spark):
     assert [r.doc_id for r in rows] == [None, 1, 7, 7, 7, 7, 7]
     assert [r.n_tokens for r in rows] == [len(x) for x in want]
     assert [r.ids_crc32 for r in rows] == [zlib.crc32(np.array(x, "<u4").tobytes()) for x in want]
+
+
+def test_a_block_expands_each_rule_once(monkeypatch):
+    rng = np.random.default_rng(5)
+    ids = np.tile(rng.integers(0, 300, 400), 50).astype(np.uint32)
+    block = repair.Block(repair.write_block(np.arange(100), ids, np.full(100, 200), 300))
+    sizes = []
+    plain = repair.expand
+    monkeypatch.setattr(repair, "expand", lambda symbols, *rest: sizes.append(len(symbols)) or plain(symbols, *rest))
+    assert len(block.rules) and (block.all() == ids).all()
+    assert sizes == [len(block.rules)]
