@@ -26,6 +26,9 @@ from sparkloom.llm.packing import pack_documents
 from sparkloom.llm.repeats import PASSAGE_BYTES, without_repeats
 from sparkloom.llm.toxicity import drop_toxic
 
+#: Units that a worker remembers when it packs, fewer than alone, as executors have grown in the stages before.
+MEMO_UNITS = 200_000
+
 Step = Callable[[SparkSession, DataFrame, str], DataFrame]
 _SCRATCH = Scratch()
 
@@ -70,7 +73,7 @@ def suffix_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 @step
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token sequences: one row per piece of a document."""
-    return pack_documents(docs, vocabulary("byte_bpe_50k.json"))
+    return pack_documents(docs, vocabulary("byte_bpe_50k.json"), memo_units=MEMO_UNITS)
 
 
 STAGES = [("toxicity", toxicity), ("exact dedup", exact_dedup), ("near dedup", near_dedup), ("suffix dedup", suffix_dedup), ("packing", packing)]

@@ -40,6 +40,7 @@ from pyspark.sql import functions as F
 
 from sparkloom.llm.common import SpanHash, by_shard, discard, free_shuffles, fresh, join_groups, map_arrow, mix64, narrow, pack_array, pack_keys, stage, texts_of, unpack_array, unpack_keys
 from sparkloom.llm.graph import components
+from sparkloom.llm.units import forget
 
 WORDS = 5
 SIMILARITY = 0.8
@@ -153,6 +154,7 @@ def text_blocks(docs: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
+        forget()
         number = TaskContext.get().partitionId() << 32
         ids, tids, sizes, parts = [], [], [], []
         total = 0
@@ -187,6 +189,30 @@ def block_multisets(payload: bytes, words: list[int]) -> tuple[np.ndarray, np.nd
     return multisets(*shingles(zstandard.ZstdDecompressor().decompress(payload), np.array(words, np.int64)))
 
 
+def totals_in_place(keys: np.ndarray, counts: np.ndarray, part: int = 250_000) -> np.ndarray:
+    """Of each key the sum of the counts of all keys equal to it, written over ``keys``.
+
+    Keys are sorted in parts by ranges of some ``part`` keys, so that beside keys and counts only their order
+    by parts is held whole.
+    """
+    if not len(keys):
+        return keys
+    parts = min(65_536, len(keys) // part + 1)
+    low, high = keys.min(), keys.max()
+    width = (high - low) // np.uint64(parts) + np.uint64(1)
+    of = ((keys - low) // width).astype(np.uint16)
+    order = np.argsort(of, kind="stable")
+    cuts = np.append(0, np.cumsum(np.bincount(of, minlength=parts))).tolist()
+    for a, b in itertools.pairwise(cuts):
+        at = order[a:b]
+        at = at[np.argsort(keys[at], kind="stable")]
+        own = keys[at]
+        first = np.flatnonzero(np.append(True, own[1:] != own[:-1])) if len(own) else np.zeros(0, np.int64)
+        if len(first):
+            keys[at] = np.repeat(np.add.reduceat(counts[at].astype(np.uint64), first), np.diff(np.append(first, len(own))))
+    return keys
+
+
 def frequencies(blocks: DataFrame, shards: int) -> DataFrame:
     """block_id and, by shard, the numbers of rows of all blocks that have each of its distinct shingles.
 
@@ -205,18 +231,15 @@ def frequencies(blocks: DataFrame, shards: int) -> DataFrame:
                     yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), (pa.int32(), pa.int64(), pa.binary(), pa.binary()), strict=True)], ["shard", "block_id", "keys", "counts"])
 
     def answer(shard: int, held: list) -> Iterator[pa.RecordBatch]:
-        parts = [unpack_keys(keys) for _, keys, _ in held]
-        keys = np.concatenate(parts)
-        order = np.argsort(keys, kind="stable")
-        ordered = keys[order]
-        first = np.flatnonzero(np.append(True, ordered[1:] != ordered[:-1]))
-        counts = np.concatenate([unpack_array(counts, "<u4") for _, _, counts in held])
-        totals = np.empty(len(keys), np.int64)
-        totals[order] = np.repeat(np.add.reduceat(counts[order].astype(np.int64), first), np.diff(np.append(first, len(keys))))
-        at = 0
-        for (block_id, _, _), own in zip(held, parts, strict=True):
-            yield pa.RecordBatch.from_arrays([pa.array([block_id]), pa.array([shard], pa.int32()), pa.array([pack_array(totals[at : at + len(own)].astype("<i8"))], pa.binary())], ["block_id", "shard", "found"])
-            at += len(own)
+        forget()
+        counts = [unpack_array(counts, "<u4") for _, _, counts in held]
+        ends = np.cumsum([len(own) for own in counts]).tolist()
+        keys = np.empty(ends[-1], np.uint64)
+        for k, (_, own, _) in enumerate(held):
+            keys[ends[k] - len(counts[k]) : ends[k]] = unpack_keys(own)
+        totals = totals_in_place(keys, np.concatenate(counts))
+        for (block_id, _, _), own, end in zip(held, counts, ends, strict=True):
+            yield pa.RecordBatch.from_arrays([pa.array([block_id]), pa.array([shard], pa.int32()), pa.array([pack_array(totals[end - len(own) : end].astype("<i8"))], pa.binary())], ["block_id", "shard", "found"])
 
     asked = map_arrow(blocks.select("block_id", "words", "payload"), ask, "shard int, block_id long, keys binary, counts binary")
     told = by_shard(asked, shards, answer, "block_id long, shard int, found binary")

@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sparkloom.llm.common import crc32_ids, map_arrow, stage
-from sparkloom.llm.units import encoder, gathered
+from sparkloom.llm.units import MEMO_UNITS, encoder, gathered
 
 SEQUENCE_TOKENS = 2048
 OPEN_BINS = 512
@@ -40,12 +40,12 @@ def cut_lengths(n: int, most: int) -> list[int]:
     return [rest] * bool(rest) + [most] * full
 
 
-def pieces(docs: DataFrame, tokenizer_path: str, most: int = SEQUENCE_TOKENS, end_id: int = 0) -> DataFrame:
+def pieces(docs: DataFrame, tokenizer_path: str, most: int = SEQUENCE_TOKENS, end_id: int = 0, memo_units: int = MEMO_UNITS) -> DataFrame:
     """One row per piece of each document: its place in the document, length and crc32 of its ids."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        coder = encoder(tokenizer_path)
-        for names, texts in gathered(batches):
+        coder = encoder(tokenizer_path, memo_units)
+        for names, texts in gathered(batches, min(4_000_000, 10 * memo_units)):
             ids, sizes = coder.encode(texts)
             out: list[tuple] = []
             at = 0
@@ -154,6 +154,6 @@ def pack(rows: DataFrame, most: int = SEQUENCE_TOKENS, open_bins: int = OPEN_BIN
     return dealt.mapInArrow(run, out)
 
 
-def pack_documents(docs: DataFrame, tokenizer_path: str, most: int = SEQUENCE_TOKENS) -> DataFrame:
+def pack_documents(docs: DataFrame, tokenizer_path: str, most: int = SEQUENCE_TOKENS, memo_units: int = MEMO_UNITS) -> DataFrame:
     """Tokenize and pack; the pieces are staged, as they are counted before they are dealt."""
-    return pack(stage(pieces(docs, tokenizer_path, most), "pieces"), most)
+    return pack(stage(pieces(docs, tokenizer_path, most, memo_units=memo_units), "pieces"), most)

@@ -25,6 +25,7 @@ from pyspark.sql import functions as F
 
 from sparkloom.llm.common import crc_of_id, map_arrow, stage, texts_of
 from sparkloom.llm.trees import BoostedTrees, isotonic
+from sparkloom.llm.units import forget
 
 #: Labelled training rows used, at most.
 FIT_ROWS = 12_000
@@ -199,6 +200,7 @@ def drop_toxic(docs: DataFrame, labels: DataFrame) -> DataFrame:
     fields = docs.schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget()
         lexicon = Lexicon(model.weights)
         for batch in batches:
             if batch.num_rows:

@@ -135,15 +135,22 @@ class UnitEncoder:
         return self.pool[take], total[ends] - total[ends - sizes]
 
 
-_CACHE: dict[str, UnitEncoder] = {}
+#: Units that a worker remembers.
+MEMO_UNITS = 700_000
+_CACHE: dict[tuple[str, int], UnitEncoder] = {}
 
 
-def encoder(path: str) -> UnitEncoder:
+def encoder(path: str, memo_units: int = MEMO_UNITS) -> UnitEncoder:
     """The worker's encoder for a vocabulary file; kept between tasks of a worker."""
-    if path not in _CACHE:
+    if (path, memo_units) not in _CACHE:
         _CACHE.clear()
-        _CACHE[path] = UnitEncoder(path)
-    return _CACHE[path]
+        _CACHE[path, memo_units] = UnitEncoder(path, memo_units)
+    return _CACHE[path, memo_units]
+
+
+def forget() -> None:
+    """Drop the worker's encoder; for tasks of other operators, which the worker would hold its words beside."""
+    _CACHE.clear()
 
 
 def gathered(batches: Iterator[pa.RecordBatch], most_chars: int = 4_000_000) -> Iterator[tuple[list, list[str]]]:
