@@ -54,6 +54,8 @@ SPLIT = 1
 GROWTH, PIVOTS = 32, 256
 #: Keys of a text, the least ones, that tell whether a pair met in another band.
 MET_KEYS = 8
+#: Parts of a text's shingles, by hash, whose weights bound what two texts have in common.
+PARTS = 32
 #: Pivots that a task holds, and texts that it compares with them.
 BLOCK_PIVOTS, DEAL = 64, 4096
 #: Steps of a weight of one: weights are whole numbers of them, so that sums are exact.
@@ -384,7 +386,11 @@ def prefix(names: np.ndarray, idf: np.ndarray, weights: np.ndarray, least: float
 
 
 def split(active: DataFrame, loads: DataFrame, least: float = SIMILARITY) -> DataFrame:
-    """Bands (key, uid, total, shared, root, keys) of one prefix shingle each; texts of a band that are linked share one."""
+    """Bands (key, uid, total, shared, root, keys, parts) of one prefix shingle each; texts of a band that are linked share one.
+
+    ``parts`` holds the weight of a text's shared shingles in each of PARTS parts by hash: two texts have at most
+    the lesser weight of each part in common, which tells apart texts that were edited in different places.
+    """
     single = 2 * STEPS  # the inverse document frequency of one row
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -398,10 +404,12 @@ def split(active: DataFrame, loads: DataFrame, least: float = SIMILARITY) -> Dat
                 own = names[at].astype(np.uint64) | (idf[at].astype(np.uint64) << np.uint64(32))
                 parts = np.unique(mix64(own).view(np.int64))
                 n = len(parts)
-                yield pa.RecordBatch.from_arrays([pa.array(parts), *(pa.array(np.full(n, x)) for x in (uid, total, shared, root)), pa.array([parts[:MET_KEYS].tolist()] * n, pa.list_(pa.int64()))], ["key", "uid", "total", "shared", "root", "keys"])
+                common = idf < single
+                held = np.bincount(names[common] % PARTS, weights[common], PARTS).astype(np.int64).tolist()
+                yield pa.RecordBatch.from_arrays([pa.array(parts), *(pa.array(np.full(n, x)) for x in (uid, total, shared, root)), pa.array([parts[:MET_KEYS].tolist()] * n, pa.list_(pa.int64())), pa.array([held] * n, pa.list_(pa.int64()))], ["key", "uid", "total", "shared", "root", "keys", "parts"])
 
     texts = active.select("uid", "total", "shared", "root").distinct()
-    return map_arrow(texts.join(loads, "uid").select("uid", "total", "shared", "root", "h", "q", "t"), run, "key long, uid long, total long, shared long, root long, keys array<long>")
+    return map_arrow(texts.join(loads, "uid").select("uid", "total", "shared", "root", "h", "q", "t"), run, "key long, uid long, total long, shared long, root long, keys array<long>, parts array<long>")
 
 
 def spanning(active: DataFrame) -> DataFrame:
@@ -419,7 +427,7 @@ def links(bands: DataFrame, loads: DataFrame, least: float = SIMILARITY, split_a
 
     ``keys`` holds the least keys of a text: a pair is made in the first band that it shares, as far as they tell.
     """
-    active = spanning(bands.withColumn("root", F.col("uid")))  # bands are staged
+    active = spanning(bands.withColumns({"root": F.col("uid"), "parts": F.lit(None).cast("array<long>")}))  # bands are staged
     tested = roots = None
     for turn in itertools.count():
         n_active = active.count()
@@ -433,13 +441,13 @@ def links(bands: DataFrame, loads: DataFrame, least: float = SIMILARITY, split_a
             n_active = max(1, active.count())
         # one pivot at first, the least of a band, as it is that of many bands; then more, single texts first
         if turn == 0:
-            pivots = active.groupBy("key").agg(F.first("n").alias("n"), F.min(F.struct("uid", "total", "shared", "root", "keys")).alias("p"))
+            pivots = active.groupBy("key").agg(F.first("n").alias("n"), F.min(F.struct("uid", "total", "shared", "root", "keys", "parts")).alias("p"))
             pivots = pivots.select("key", "n", F.array("p").alias("pivots"))
         else:
             slot = F.pmod(F.xxhash64("uid", "key", F.lit(turn)), F.lit(min(GROWTH**turn, PIVOTS)))
             single = F.lit(False) if turn < split_at else F.col("root") != F.col("uid")
-            pivots = active.groupBy("key", slot.alias("slot")).agg(F.first("n").alias("n"), F.min(F.struct(single.alias("joined"), "uid", "total", "shared", "root", "keys")).alias("p"))
-            pivots = pivots.groupBy("key").agg(F.first("n").alias("n"), F.collect_list(F.struct("p.uid", "p.total", "p.shared", "p.root", "p.keys")).alias("pivots"))
+            pivots = active.groupBy("key", slot.alias("slot")).agg(F.first("n").alias("n"), F.min(F.struct(single.alias("joined"), "uid", "total", "shared", "root", "keys", "parts")).alias("p"))
+            pivots = pivots.groupBy("key").agg(F.first("n").alias("n"), F.collect_list(F.struct("p.uid", "p.total", "p.shared", "p.root", "p.keys", "p.parts")).alias("pivots"))
         pivots = stage(narrow(pivots, n_active), "band-pivots")
         met = narrow(join_groups(active.drop("n"), pivots, ["key"], "n", n_active), n_active, 20_000)
         # two texts have at most what each shares with others in common, and neither can be much heavier
@@ -447,6 +455,9 @@ def links(bands: DataFrame, loads: DataFrame, least: float = SIMILARITY, split_a
         # a pair is left to a lesser band that both are in: it is made there once one of them is a pivot, unless they are of one class by then
         first = " and not exists(keys, x -> x < key and array_contains(p.keys, x))"
         near = f"p -> p.root <> root and p.uid <> uid and {most} >= {least - 1e-9} * (total + p.total - {most}){first}"
+        if turn >= split_at:  # nor have they more in common than in each part of their shingles
+            both = "aggregate(zip_with(parts, p.parts, (x, y) -> least(x, y)), 0L, (s, x) -> s + x)"
+            near += f" and {both} * {1 + least - 1e-9}D >= {least - 1e-9}D * (total + p.total)"
         met = met.select("uid", F.explode(F.expr(f"transform(filter(pivots, {near}), p -> p.uid)")).alias("pivot"))
         pairs = narrow(met.select(F.col("pivot").alias("a"), F.col("uid").alias("b")).distinct(), n_active)
         if tested is not None:

@@ -71,6 +71,47 @@ def test_shared_passage(spark):
     hold(spark, [sets], split_at=2)
 
 
+def test_near_misses_are_told_apart_by_parts(spark, monkeypatch):
+    """Texts that were edited in different places, and so are never alike, are hardly verified against each other."""
+    rng = np.random.default_rng(5)
+    base = np.sort(rng.integers(0, 1 << 32, 150, np.uint64))
+    loads, keys = {}, []
+    for uid in range(1, 121):
+        gone = rng.choice(30, 2 if uid > 4 else 1, replace=False)  # runs of five shingles
+        own = np.setdiff1d(base, np.concatenate([base[5 * g : 5 * g + 5] for g in gone]))
+        new = rng.integers(0, 1 << 32, 5 * len(gone), np.uint64)
+        h = np.sort(np.concatenate([own, new])).astype("<u4")
+        q = np.where(np.isin(h, new), 128, 84).astype("<u2")
+        loads[uid] = (h.tobytes(), near.pack_array(q), np.array([1], "<u4").tobytes())
+        keys.append((7, uid, int(q.sum()), int(q[q < 128].sum()), [7]))
+    made = []
+    verify = near.verify
+    monkeypatch.setattr(near, "verify", lambda *x: made.append(x[0].count()) or verify(*x))
+    table = spark.createDataFrame([(uid, *x) for uid, x in loads.items()], "uid long, h binary, q binary, t binary")
+    found = near.links(spark.createDataFrame(keys, "key long, uid long, total long, shared long, keys array<long>"), table)
+    want = [(a, b) for a in loads for b in range(1, a) if alike(loads[a], loads[b]) >= near.SIMILARITY]
+    assert roots(loads, [(r.node, r.root) for r in found.collect()]) == roots(loads, want)
+    # 7,140 pairs in all, of which 6,670 are between texts of two edits
+    assert want and sum(made) < 2000, made
+
+
+def test_totals_take_little_memory():
+    import tracemalloc
+
+    rng = np.random.default_rng(0)
+    for n, kinds in ((0, 1), (1, 1), (9, 2), (1_500_000, 600_000)):
+        keys = near.mix64(rng.integers(0, kinds, n).astype(np.uint64))
+        counts = rng.integers(1, 9, n).astype("<u4")
+        names, back = np.unique(keys, return_inverse=True)
+        want = np.bincount(back, counts, len(names))[back].astype(np.int64).tolist() if n else []
+        tracemalloc.start()
+        got = near.totals_in_place(keys, counts)
+        most = tracemalloc.get_traced_memory()[1]
+        tracemalloc.stop()
+        assert got.tolist() == want
+    assert most < 30 * n  # keys and counts not counted
+
+
 def weighted_classes(rows):
     """class_id by doc_id from the weighted Jaccard similarity of all pairs of texts."""
     bags = {}
