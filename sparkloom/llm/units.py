@@ -3,6 +3,10 @@
 Both vocabularies split texts before a BPE merge, and no split token reaches over a single space
 between two non-spaces. A text is therefore cut there, the library encodes each distinct unit, and
 the ids of a text are those of its units in order. The memo is bounded.
+
+A byte-level vocabulary marks the space that leads a unit in its first token, and in no other token
+of a unit without spaces. Units that neither begin nor end with a space are therefore encoded as one
+text, with a space before each, and its ids are cut where such tokens stand; others get a mark between.
 """
 
 from __future__ import annotations
@@ -31,9 +35,23 @@ class UnitEncoder:
 
         self.tokenizer = tokenizer or Tokenizer.from_file(path)
         self.memo_units = memo_units
+        self.leads = self._leads()
         self.mark_id, self.mark = next((k, x.content) for k, x in sorted(self.tokenizer.get_added_tokens_decoder().items()) if x.special)
         self._clear()
 
+    def _leads(self) -> np.ndarray | None:
+        """Which ids begin with a space, if the vocabulary is byte-level and splits at spaces."""
+        from tokenizers import models, pre_tokenizers
+
+        split, model = self.tokenizer.pre_tokenizer, self.tokenizer.model
+        if not isinstance(split, pre_tokenizers.ByteLevel) or not split.use_regex or split.add_prefix_space or self.tokenizer.normalizer is not None:
+            return None
+        if not isinstance(model, models.BPE) or model.dropout or model.continuing_subword_prefix or model.end_of_word_suffix:
+            return None
+        out = np.zeros(self.tokenizer.get_vocab_size(), bool)
+        out[[k for x, k in self.tokenizer.get_vocab(with_added_tokens=False).items() if x.startswith("\u0120")]] = True
+        return out
+
     def _clear(self) -> None:
         self.inner: dict[str, int] = {}  # unit without the space that leads it
         self.outer: dict[str, int] = {}  # unit as it stands
@@ -45,33 +63,45 @@ class UnitEncoder:
 
     def _add(self, memo: dict[str, int], names: list[str], lead: str) -> np.ndarray:
         """Encode new names and put them into the memo; their unit numbers."""
-        odd = [k for k, x in enumerate(names) if self.mark in lead + x]
-        skip = set(odd)
-        plain = [x for k, x in enumerate(names) if k not in skip] if skip else names
         numbers = np.empty(len(names), np.int64)
-        numbers[[k for k in range(len(names)) if k not in skip] if skip else slice(None)] = self.units + np.arange(len(plain))
+        odd, edged, plain = [], [], []
+        for k, x in enumerate(names):
+            word = x if lead else x[1:]
+            if self.mark in lead + x:
+                odd.append(k)
+            elif self.leads is None or not (lead or x[:1] == " ") or not word or word[0].isspace() or word[-1].isspace() or " " in word:
+                edged.append(k)
+            else:
+                plain.append(k)
         between = self.mark + lead
-        for at in range(0, len(plain), 4096):
-            some = plain[at : at + 4096]
-            # short texts, which the library may spread over threads
-            batch = self.tokenizer.encode_batch_fast([lead + between.join(some[k : k + 16]) for k in range(0, len(some), 16)], add_special_tokens=False)
-            ids: list[int] = []
-            for one in batch:
-                ids += one.ids
-                ids.append(self.mark_id)
-            self._put(memo, some, np.array(ids, np.uint32))
+        for own, join, size in ((plain, lead, 256), (edged, between, 16)):
+            for at in range(0, len(own), 4096):
+                numbers[own[at : at + 4096]] = self.units + np.arange(len(own[at : at + 4096]))
+                some = [names[k] for k in own[at : at + 4096]]
+                # short texts, which the library may spread over threads
+                batch = self.tokenizer.encode_batch_fast([lead + join.join(some[k : k + size]) for k in range(0, len(some), size)], add_special_tokens=False)
+                ids: list[int] = []
+                for one in batch:
+                    ids += one.ids
+                    if own is edged:
+                        ids.append(self.mark_id)
+                found = np.array(ids, np.uint32)
+                if own is edged:
+                    ends = np.flatnonzero(found == self.mark_id)
+                    starts = np.append(0, ends[:-1] + 1)
+                else:
+                    starts = np.flatnonzero(self.leads[found])
+                    ends = np.append(starts[1:], len(found))
+                self._put(memo, some, found, starts, ends)
         for k in odd:
             numbers[k] = self.units
-            ids = np.array([*self.tokenizer.encode(lead + names[k], add_special_tokens=False).ids, 0], np.uint32)
-            self._put(memo, [names[k]], ids, np.array([len(ids) - 1]))
+            ids = np.array(self.tokenizer.encode(lead + names[k], add_special_tokens=False).ids, np.uint32)
+            self._put(memo, [names[k]], ids, np.zeros(1, np.int64), np.array([len(ids)]))
         return numbers
 
-    def _put(self, memo: dict[str, int], names: list[str], ids: np.ndarray, ends: np.ndarray | None = None) -> None:
-        """Store the ids of ``names``, which stand in ``ids`` with a mark after each, or one id at each of ``ends``."""
-        if ends is None:
-            ends = np.flatnonzero(ids == self.mark_id)
+    def _put(self, memo: dict[str, int], names: list[str], ids: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> None:
+        """Store the ids of ``names``, those from ``starts`` to ``ends`` of ``ids``."""
         assert len(ends) == len(names)
-        starts = np.append(0, ends[:-1] + 1)
         while self.units + len(names) > len(self.starts):
             self.starts, self.lengths = np.resize(self.starts, 2 * len(self.starts)), np.resize(self.lengths, 2 * len(self.lengths))
         while self.used + len(ids) > len(self.pool):

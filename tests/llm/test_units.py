@@ -70,3 +70,34 @@ def test_a_block_expands_each_rule_once(monkeypatch):
     monkeypatch.setattr(repair, "expand", lambda symbols, *rest: sizes.append(len(symbols)) or plain(symbols, *rest))
     assert len(block.rules) and (block.all() == ids).all()
     assert sizes == [len(block.rules)]
+
+
+class Counted:
+    """A tokenizer that counts the texts of its batches and keeps them."""
+
+    def __init__(self, inner):
+        self.inner, self.texts = inner, []
+
+    def __getattr__(self, name):
+        return getattr(self.inner, name)
+
+    def encode_batch_fast(self, texts, **how):
+        self.texts += texts
+        return self.inner.encode_batch_fast(texts, **how)
+
+
+def test_units_of_byte_vocabularies_need_no_marks():
+    from tokenizers import Tokenizer
+
+    plain = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    counted = Counted(plain)
+    coder = UnitEncoder("", tokenizer=counted)
+    words = [f"w{k}'s" for k in range(600)] + ["\u0120x", "d\u00e9j\u00e0", "a\nb", "a\x1cb", "'ll", "9,9", "\u3000", "x\u00a0y", "<|endoftext|>z"]
+    texts = [" ".join(words), "a b\n", "a b ", " a b", "a  b c", "", "x \t y z", "b " + "\u2003", "p\n q r", " ".join(w for w in reversed(words) if not w.isspace())]
+    ids, sizes = coder.encode(texts)
+    want = [plain.encode(x, add_special_tokens=False).ids for x in texts]
+    assert sizes.tolist() == [len(x) for x in want]
+    assert ids.tolist() == [y for x in want for y in x]
+    # hundreds of words go as one text, without a mark between
+    assert len(counted.texts) < 20 and max(map(len, counted.texts)) > 1000
+    assert UnitEncoder(public_tokenizers.path("word_bpe_49k.json")).leads is None
