@@ -307,10 +307,10 @@ def log_scores(docs: DataFrame, held_rule=None, depth: int = DEPTH) -> DataFrame
         for block_id, own, _ in held:
             yield pa.RecordBatch.from_arrays([pa.array([block_id]), pa.array([shard], pa.int32()), pa.array([pack_array(values[np.searchsorted(keys, unpack_keys(own))])], pa.binary())], ["block_id", "shard", "found"])
 
-    told = by_shard(asked, shards, answers, "block_id long, shard int, found binary").groupBy("block_id").agg(F.collect_list(F.struct("shard", "found")).alias("told"))
-    told = stage(told, "lm-answers")
+    # answers are staged as they come, so that requests go before answers are dealt to blocks, which is done once
+    told = stage(by_shard(asked, shards, answers, "block_id long, shard int, found binary"), "lm-answers")
     discard(asked, shuffles=True)
-    joined = staged.join(told, "block_id")
+    joined = staged.join(told.groupBy("block_id").agg(F.collect_list(F.struct("shard", "found")).alias("told")), "block_id")
 
     def total(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         floor = np.log10(train_tokens + 0.5 * (known + 1))

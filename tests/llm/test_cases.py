@@ -194,3 +194,12 @@ def test_memory_of_suffix_order():
     peak = tracemalloc.get_traced_memory()[1]
     tracemalloc.stop()
     assert peak < 80 * size
+
+
+def test_answers_of_contexts_are_dealt_once(spark):
+    from sparkloom.llm import contexts
+
+    scores = contexts.log_scores(table(spark, [(1, "a b"), (2, "b c"), (None, None)]))
+    # what comes back is gathered and joined by one exchange, without a staged copy of the gathered answers between
+    plan = scores._jdf.queryExecution().optimizedPlan().toString()
+    assert "collect_list" in plan and "lm-answers" in scores._jdf.queryExecution().executedPlan().toString()
