@@ -88,14 +88,16 @@ def _pack_shards(dealt: DataFrame, capacity: int, ranks: int) -> DataFrame:
     return dealt.groupBy("shard").applyInPandas(run, PACKED)
 
 
-def pack(rows: DataFrame, capacity: int, ranks: int, shards: int) -> DataFrame:
+def pack(rows: DataFrame, capacity: int, ranks: int, shards: int | None = None, shard_rows: int = 100_000) -> DataFrame:
     """shard, batch, rank, slot, sample_id of the packed samples of rows (sample_id, length).
 
     Samples are dealt into ``shards`` by a hash of their ids, whatever their number; choose it so that
-    a task holds a shard's ids and lengths (some 100,000 samples). What a shard leaves over, fewer samples
-    than ranks, goes to one more shard, numbered after the others; only there are samples dropped.
-    Within a rank's sequence samples stand by slot.
+    a task holds a shard's ids and lengths. Without it they are counted, and about ``shard_rows`` make a
+    shard. What a shard leaves over, fewer samples than ranks, goes to one more shard, numbered after the
+    others; only there are samples dropped. Within a rank's sequence samples stand by slot.
     """
+    if shards is None:
+        shards = max(1, -(-rows.count() // shard_rows))
     dealt = rows.withColumn("shard", F.pmod(F.xxhash64("sample_id"), F.lit(shards)).cast("int"))
     first = _pack_shards(dealt, capacity, ranks)
     left = first.filter(F.col("batch").isNull()).select("sample_id").join(rows, "sample_id").withColumn("shard", F.lit(shards))
