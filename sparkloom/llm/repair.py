@@ -34,6 +34,8 @@ NULL_ID = -(1 << 63)
 SYMBOL_BITS = 16
 PAIRS_A_ROUND = 4096
 LEAST_COUNT = 8
+#: Places of the table that finds a round's pairs by hash.
+SLOT_BITS = 20
 #: About this many ids make a block.
 BLOCK_IDS = 2_000_000
 
@@ -42,44 +44,54 @@ def compress(ids: np.ndarray, sizes: np.ndarray, vocabulary: int, rounds: int |
     """Symbols, symbols of each document, and rules (one pair each) of a block of ids.
 
     Rounds go on until no pair stands ``least`` times or the symbols of SYMBOL_BITS run out. A vocabulary
-    that leaves less than PAIRS_A_ROUND of them gets symbols of 32 bits. Symbols that no chosen pair starts
-    or ends with are passed over by a table, so that only likely places are searched for.
+    that leaves less than PAIRS_A_ROUND of them gets symbols of 32 bits. Chosen pairs are found by a table
+    of hashes; only pairs that share their slot with another are searched for.
     """
     most = 1 << SYMBOL_BITS
     if vocabulary + PAIRS_A_ROUND > most:
         most = 1 << 32
     kind = np.uint32 if most <= 65_536 else np.uint64
-    shift = kind(16 if kind is np.uint32 else 32)
+    half = 4 * kind().itemsize
+    shift, odd, down = kind(half), kind(0x9E3779B97F4A7C15 >> (64 - 2 * half) | 1), kind(2 * half - SLOT_BITS)
     seq = ids.astype(kind)
     last = np.zeros(len(seq), bool)  # ends of documents, over which no pair reaches
     last[np.cumsum(sizes)[sizes > 0] - 1] = True
+    ends = int(np.count_nonzero(last))
     rules: list[np.ndarray] = []
     fresh = vocabulary
     while len(seq) > 1 and fresh < most and (rounds is None or len(rules) < rounds):
-        keys = (seq[:-1] << shift) | seq[1:]
-        ordered = np.sort(keys[~last[:-1]])
-        if not len(ordered):
+        keys = seq[:-1] << shift
+        keys |= seq[1:]
+        keys[last[:-1]] = ~kind(0)  # no pair: its symbol would be the last, after which rounds end
+        ordered = np.sort(keys)[: len(keys) - ends + 1]
+        # a key that stands n times equals the key least - 1 places on n - least + 1 times
+        pairs = ordered[np.flatnonzero(ordered[least - 1 :] == ordered[: max(0, len(ordered) - least + 1)])]
+        if not len(pairs):
             break
-        first = np.flatnonzero(np.concatenate([[True], ordered[1:] != ordered[:-1]]))
-        counts = np.diff(np.append(first, len(ordered)))
-        good = np.flatnonzero(counts >= least)
-        if not len(good):
-            break
-        take = good[np.argsort(-counts[good], kind="stable")[: min(PAIRS_A_ROUND, most - fresh)]]
-        chosen = np.sort(ordered[first[take]])
+        first = np.flatnonzero(np.append(True, pairs[1:] != pairs[:-1]))
+        counts = np.diff(first, append=len(pairs))
+        chosen = np.sort(pairs[first[np.argsort(-counts, kind="stable")[: min(PAIRS_A_ROUND, most - fresh)]]])
         left, right = chosen >> shift, chosen & ((kind(1) << shift) - kind(1))
-        starts_one, ends_one = np.zeros(fresh, bool), np.zeros(fresh, bool)
-        starts_one[left], ends_one[right] = True, True
-        likely = np.flatnonzero(starts_one[seq[:-1]] & ends_one[seq[1:]] & ~last[:-1])
-        place = np.minimum(np.searchsorted(chosen, keys[likely]), len(chosen) - 1)
-        match = chosen[place] == keys[likely]
-        at, place = likely[match], place[match]
+        slots = np.full(1 << SLOT_BITS, -1, np.int16)
+        slots[(chosen * odd) >> down] = np.arange(len(chosen))
+        hashed = keys * odd
+        hashed >>= down
+        place = slots[hashed]
+        at = np.flatnonzero(place >= 0)
+        place, found = place[at].astype(np.int64), keys[at]
+        # other keys of a slot, and chosen pairs that lost theirs to another
+        other = np.flatnonzero(chosen[place] != found)
+        place[other] = np.minimum(np.searchsorted(chosen, found[other]), len(chosen) - 1)
+        match = np.ones(len(at), bool)
+        match[other] = chosen[place[other]] == found[other]
+        at, place = at[match], place[match]
         # of touching matches every other one is replaced, from the left
-        new_run = np.append(True, np.diff(at) != 1)
-        run = at - np.maximum.accumulate(np.where(new_run, at, 0))
-        at, place = at[run % 2 == 0], place[run % 2 == 0]
-        if not len(at):
-            break
+        touch = np.flatnonzero(at[1:] == at[:-1] + 1) + 1
+        new_run = np.append(True, np.diff(touch) != 1)[: len(touch)]
+        begin = np.maximum.accumulate(np.where(new_run, touch, 0))
+        alone = np.ones(len(at), bool)
+        alone[touch[(touch - begin) % 2 == 0]] = False
+        at, place = at[alone], place[alone]
         seq[at] = (fresh + place).astype(kind)
         last[at] = last[at + 1]
         keep = np.ones(len(seq), bool)

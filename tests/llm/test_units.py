@@ -101,3 +101,46 @@ def test_units_of_byte_vocabularies_need_no_marks():
     # hundreds of words go as one text, without a mark between
     assert len(counted.texts) < 20 and max(map(len, counted.texts)) > 1000
     assert UnitEncoder(public_tokenizers.path("word_bpe_49k.json")).leads is None
+
+
+def test_words_are_encoded_once_whatever_follows_them():
+    from tokenizers import Tokenizer
+
+    plain = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    counted = Counted(plain)
+    coder = UnitEncoder("", tokenizer=counted)
+    words = [f"w{chr(97 + k // 26)}{chr(97 + k % 26)}" for k in range(400)]
+    joined = [f"{a}.\n{b}{end}" for a, b, end in zip(words, reversed(words), [".", ",", "", "\n"] * 100, strict=True)]
+    odd = ["9.", "9,\n8.", "é.", "中.", "b.\n\n", "\nb.", "b'.\nc", "'s,", "b.,", ".\n,", "b.\nc.\n　", "<|endoftext|>.\nb,", "b,<|endoftext|>."]
+    texts = ["a " + " ".join(words), "a " + " ".join(x + "," for x in words), "a " + " ".join(joined), *(f"a {x} b" for x in odd), *(f"a {x}" for x in odd)]
+    for some in (texts, texts[::-1], odd):
+        ids, sizes = coder.encode(some)
+        want = [plain.encode(x, add_special_tokens=False).ids for x in some]
+        assert sizes.tolist() == [len(x) for x in want]
+        assert ids.tolist() == [y for x in want for y in x]
+    # each word once with a space before it and once after a line end
+    given = " ".join(counted.texts)
+    assert all(given.count(x) <= 3 for x in words)
+
+
+def test_units_know_the_white_space_of_python():
+    import sys
+
+    import pyarrow.compute as pc
+
+    from sparkloom.llm.units import _ADJACENT
+
+    chars = [chr(k) for k in range(sys.maxunicode + 1) if not 0xD800 <= k < 0xE000]
+    found = pc.match_substring_regex(pa.array([x + x for x in chars]), _ADJACENT).to_pylist()
+    assert [x for x, own in zip(chars, found, strict=True) if own != x.isspace()] == []
+
+
+def test_few_pairs_are_searched_for(monkeypatch):
+    rng = np.random.default_rng(3)
+    ids = np.minimum(rng.zipf(1.3, 200_000), 50_000).astype(np.uint32)
+    asked = []
+    plain = np.searchsorted
+    monkeypatch.setattr(np, "searchsorted", lambda a, v, *rest, **how: asked.append(len(v)) or plain(a, v, *rest, **how))
+    symbols, _, rules = compress(ids, np.array([200_000]), 50_257)
+    assert (expand(symbols, rules, 50_257) == ids).all() and len(rules) > 1000
+    assert sum(asked) < 20_000
